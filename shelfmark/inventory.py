@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.runtime import materialize
 from shelfmark.tables import current_rows, delivered_snapshots, read_table
 
 COLUMNS = (
@@ -36,6 +37,28 @@ def all_entries(entries: DataFrame, snapshots: DataFrame, paths: DataFrame, late
     )
 
 
+_prepared: dict[tuple, DataFrame] = {}
+
+
+def _signature(*tables: DataFrame) -> tuple:
+    """The tables' files with their sizes and times of change."""
+    spark = tables[0].sparkSession
+    jvm, conf, out = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for name in sorted(f for t in tables for f in t.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
 def load(spark: SparkSession, folder: str, latest_only: bool = True) -> DataFrame:
-    """:func:`all_entries` of the tables in ``folder``."""
-    return all_entries(*[read_table(spark, folder, t) for t in ("entries_core", "snapshots", "paths")], latest_only=latest_only)
+    """:func:`all_entries` of the tables in ``folder``, written once per application.
+
+    This is the index that searches and reports read: it is made on first use and
+    again when a file of the tables has changed, and lies in the shared scratch folder.
+    """
+    tables = [read_table(spark, folder, t) for t in ("entries_core", "snapshots", "paths")]
+    key = (spark.sparkContext.applicationId, latest_only, _signature(*tables))
+    if key not in _prepared:
+        _prepared[key] = materialize(all_entries(*tables, latest_only=latest_only), "inventory")
+    return _prepared[key]

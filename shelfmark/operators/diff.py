@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.columns import top_folder
 from shelfmark.functions.text import nfc
+from shelfmark.runtime import materialize
 
 
 def last_two(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -33,6 +34,7 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
         .when(F.coalesce(F.col("old_size") != F.col("new_size"), F.lit(False)) | ~F.col("old_hash").eqNullSafe(F.col("new_hash")), "modified")
     )
     rows = j.select("drive_id", change.alias("change"), F.coalesce("new_path", "old_path").alias("rel_path"), "path_id", "old_size", "new_size").where("change is not null")
+    rows = materialize(rows, "changes")
     loose = rows.where("change <> 'modified'").withColumn("form", nfc(F.col("rel_path")))
     gone = (
         loose.where("change = 'removed'").groupBy("drive_id", "form").agg(F.max(F.struct("rel_path", "path_id", "old_size")).alias("g"))

@@ -85,7 +85,6 @@ def drop_materialized(*dfs: DataFrame) -> None:
 
 
 
-
 def ship(spark: SparkSession) -> None:
     """Give this package to the executors' Python workers, once per application."""
     app = spark.sparkContext.applicationId
@@ -108,3 +107,13 @@ def map_arrow(df: DataFrame, function: Callable, schema: StructType | str) -> Da
     """``df.mapInArrow`` with this package at hand in the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """A plain scan dealt out over all cores where its few files would leave some idle.
+
+    Only for costly work per row: a table with at least a partition per core, as
+    every large one has, isn't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
