@@ -9,6 +9,7 @@ from shelfmark.llm.packing import pack_corpus, packing_summary
 from shelfmark.llm.quality import not_prose, text_quality
 from shelfmark.llm.survivors import golden_entries, surviving_entries
 from shelfmark.llm.tokenizer import decode_corpus, encode_corpus
+from shelfmark.runtime import spread_scan
 from shelfmark.tables import read_table
 
 
@@ -16,6 +17,10 @@ def _tables(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
     return [read_table(spark, folder, n) for n in names]
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread_scan(read_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return surviving_entries(*_tables(spark, folder, "entries_core", "snapshots"))
 
@@ -33,29 +38,29 @@ def p5_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return encode_corpus(*_tables(spark, folder, "documents"))
+    return encode_corpus(_documents(spark, folder))
 
 
 def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """The texts decoded from their ids; null texts come back empty."""
-    return decode_corpus(encode_corpus(*_tables(spark, folder, "documents")))
+    return decode_corpus(encode_corpus(_documents(spark, folder)))
 
 
 def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
-    return pack_corpus(*_tables(spark, folder, "documents", "containers"))
+    return pack_corpus(_documents(spark, folder), *_tables(spark, folder, "containers"))
 
 
 def p8_summary(spark: SparkSession, folder: str) -> DataFrame:
-    docs, containers = _tables(spark, folder, "documents", "containers")
-    return packing_summary(pack_corpus(docs, containers), containers)
+    (containers,) = _tables(spark, folder, "containers")
+    return packing_summary(pack_corpus(_documents(spark, folder), containers), containers)
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return not_prose(*_tables(spark, folder, "documents", "common_words"))
+    return not_prose(_documents(spark, folder), *_tables(spark, folder, "common_words"))
 
 
 def p9_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return text_quality(*_tables(spark, folder, "documents", "common_words"))
+    return text_quality(_documents(spark, folder), *_tables(spark, folder, "common_words"))
 
 
 QUERIES = {
