@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ SURE_COMMON, LEAST_COMMON, MOST_COMMON = 0.15, 0.05, 0.75
 LEAST_VOWELS = 0.28
 MOST_WORDS_A_SENTENCE = 60
 
+_VOWELS = "αεηιουωάέήίόύώаеёиоуыэюяіїє"
 _BREAKS = regex.compile(r"\r\n|[\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 _HIDDEN = regex.compile(r"\p{Cf}+")
 _TAG = regex.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->")
@@ -80,6 +82,40 @@ def _is(lines: pa.Array, pattern: str) -> np.ndarray:
     return pc.match_substring_regex(lines, pattern).to_numpy(zero_copy_only=False)
 
 
+@lru_cache(maxsize=1)
+def _character_classes() -> np.ndarray:
+    """For each code point, the bits of the classes it is in."""
+    bits = np.zeros(0x110000, np.uint16)
+
+    def add(bit: int, *ranges: tuple[int, int]) -> None:
+        for low, high in ranges:
+            bits[low : high + 1] |= 1 << bit
+
+    add(0, (0, 0x10FFFF))
+    bits[[c for c in range(0x3100) if chr(c).isspace()]] = 0
+    add(1, (0x3040, 0x309F))
+    add(2, (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7A3))
+    add(3, (0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x370, 0x52F))
+    vowels = [c for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250)) if unicodedata.normalize("NFD", chr(c))[0].lower() in "aeiouyæøœ"]
+    bits[[*vowels, *map(ord, _VOWELS + _VOWELS.upper())]] |= 1 << 4
+    for bit, signs in ((5, ";；"), (6, ",、"), (7, "|")):
+        bits[list(map(ord, signs))] |= 1 << bit
+    return bits
+
+
+#: Bits of _character_classes.
+_SOLID, _KANA, _CJK, _LETTER, _VOWEL, _SEMI, _COMMA, _BAR = range(8)
+
+
+def _class_counts(lines: list[str], chars: np.ndarray) -> list[np.ndarray]:
+    """How many characters of each class every line has."""
+    if not lines:
+        return [np.zeros(0, np.int64)] * 8
+    bits = _character_classes()[np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    starts = np.concatenate(([0], np.cumsum(chars)[:-1]))
+    return [np.add.reduceat((bits >> k) & 1, starts, dtype=np.int64) for k in range(8)]
+
+
 def _split(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Lines without blank ones, the document of each, and the block of each."""
     lines, docs, blocks, block = [], [], [], -1
@@ -111,7 +147,8 @@ def measure(texts: list[str | None], common: pa.Array) -> dict[str, np.ndarray]:
     lines = pa.array(raw, pa.string())
     n, n_blocks = len(raw), int(block[-1]) + 1 if len(block) else 0
     chars = pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
-    solid = _count(lines, r"\S")
+    classes = _class_counts(raw, chars)
+    solid, kana, cjk, latin, vowels = (classes[k] for k in (_SOLID, _KANA, _CJK, _LETTER, _VOWEL))
 
     # Words and tokens of all lines, flat.
     word_lists = pc.split_pattern_regex(pc.utf8_lower(lines), r"[^\pL\pM]+")
@@ -131,8 +168,6 @@ def measure(texts: list[str | None], common: pa.Array) -> dict[str, np.ndarray]:
 
     terminals, ends = _count(lines, _TERMINAL), _is(lines, _ENDS)
     slashes = _count(lines, r"[\pL_)][/\\]|[/\\][\pL_.(]")
-    kana, cjk = _count(lines, r"[\x{3040}-\x{309F}]"), _count(lines, r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7A3}]")
-    latin, vowels = _count(lines, r"(?i)[a-z\x{00C0}-\x{024F}\x{0370}-\x{052F}]"), _count(lines, r"(?i)[aeiouy\x{00C0}-\x{00C6}\x{00C8}-\x{00CF}\x{00D2}-\x{00D6}\x{00D8}-\x{00DD}\x{00E0}-\x{00E6}\x{00E8}-\x{00EF}\x{00F2}-\x{00F6}\x{00F8}-\x{00FD}αεηιουωάέήίόύώаеёиоуыэюяії]")
     is_cjk = cjk >= 0.3 * solid
 
     # The shape of each line.
@@ -152,11 +187,11 @@ def measure(texts: list[str | None], common: pa.Array) -> dict[str, np.ndarray]:
     for name, pattern in SHAPES.items():
         hit = _is(lines, pattern)
         if name in ("table", "fields", "code"):
-            hit &= ~(sentence_like & (_count(lines, r"\|") < 2))
+            hit &= ~(sentence_like & (classes[_BAR] < 2))
         mark(name, hit)
     bare = terminals == 0
-    for separator, least in ((r"[;\x{FF1B}]", 3), (r"\s[\x{00B7}\x{30FB}\x{2022}|/~]\s", 3), (r"[,\x{3001}]", 4)):
-        k = _count(lines, separator)
+    spaced = _count(lines, r"\s[\x{00B7}\x{30FB}\x{2022}|/~]\s")
+    for k, least in ((classes[_SEMI], 3), (spaced, 3), (classes[_COMMA], 4)):
         mark("items", bare & (k >= least) & np.where(is_cjk, solid <= 10 * (k + 1), n_words <= 4.5 * (k + 1)))
     lone = (n_tokens <= 1) & ~is_cjk & ~ends
     mark("items", lone & (_sum(n_blocks, block, lone)[block] >= 3) if n else lone)
