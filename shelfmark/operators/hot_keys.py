@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.runtime import materialize
+from shelfmark.runtime import drop_materialized, materialize
 
 #: Rows of a key that one task takes at a time. Keys with fewer rows are one chunk.
 CHUNK_ROWS = 100_000
@@ -108,6 +108,7 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str], value: str,
     by = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
     spread = materialize(_tagged(df.repartitionByRange(*by).sortWithinPartitions(*by)), "ordered")
     chunked = materialize(_chunked(spread, keys, chunk_rows), "chunked")
+    drop_materialized(spread)
     by_order = [F.col(c).asc_nulls_first() for c in order]
     inside = Window.partitionBy(*keys, "chunk").orderBy(*by_order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import field61
-from shelfmark.runtime import map_arrow, materialize
+from shelfmark.runtime import drop_materialized, map_arrow, materialize
 from shelfmark.tables import latest_file_rows
 
 #: Rows of one copy in a bucket, on average.
@@ -130,6 +130,7 @@ def differing_rows(rows: DataFrame, key: list[str], fields: list[str], bucket_ro
     laid = hashed.withColumn("bucket", F.pmod(F.xxhash64(F.lit("bucket"), "job", *key), F.lit(buckets)))
     # Each copy is laid out by bucket once; from then on only sketches travel.
     laid = materialize(laid.repartition("bucket").sortWithinPartitions("bucket", "job", "side"), "laid")
+    drop_materialized(hashed)
     schema = laid.select(*names).schema
     pending, bound, found = None, first_bound, []
     while True:

@@ -80,9 +80,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def drop_materialized(*dfs: DataFrame) -> None:
     """Remove tables of :func:`materialize` that nothing reads any more."""
     for df in dfs:
-        for file in df.inputFiles()[:1]:
-            _remove(df.sparkSession, file.rsplit("/", 1)[0])
-
+        own = scratch_dir(df.sparkSession).rsplit("/", 1)[-1]
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.rsplit("/", 2)[-2] == own:
+                _remove(df.sparkSession, folder)
 
 
 def ship(spark: SparkSession) -> None:
