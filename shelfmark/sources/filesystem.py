@@ -76,8 +76,8 @@ class Top(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, root: str, full: bool, pruning: Pruning) -> None:
-        self.root, self.full, self.pruning = root, full, pruning
+    def __init__(self, root: str, partial: bool, full: bool, pruning: Pruning) -> None:
+        self.root, self.partial, self.full, self.pruning = root, partial, full, pruning
 
     def partitions(self) -> list[InputPartition]:
         tops = []
@@ -130,7 +130,7 @@ class _Reader(DataSourceReader):
             return (rel, parent, int(folder), None if folder else 0, info.st_mtime, None, None, 1, None, *place)
         if stat.S_ISDIR(info.st_mode):
             return (rel, parent, 1, None, info.st_mtime, None, None, 0, None, *place)
-        partial = partial_file_digest(path, info.st_size)
+        partial = partial_file_digest(path, info.st_size) if self.partial else None
         full = full_file_digest(path) if self.full else None
         return (rel, parent, 0, info.st_size, info.st_mtime, partial, full, 0, None, *place)
 
@@ -138,7 +138,8 @@ class _Reader(DataSourceReader):
 class FolderTree(DataSource):
     """``spark.read.format("foldertree").load(root)``; a partition for each top folder.
 
-    Options: full (hash whole files), exclusions (JSON list), skip_cloud, one_fs.
+    Options: partial (sampled hash, on by default), full (hash whole files),
+    exclusions (JSON list), skip_cloud, one_fs.
     The tree must be visible to the executors.
     """
 
@@ -154,9 +155,9 @@ class FolderTree(DataSource):
 
         o = self.options
         root = o["path"]
-        flag = lambda k: str(o.get(k, "false")).lower() == "true"
+        flag = lambda k, default="false": str(o.get(k, default)).lower() == "true"
         pruning = Pruning(tuple(json.loads(o.get("exclusions", "[]"))), flag("skip_cloud"), flag("one_fs"), os.stat(root).st_dev)
-        return _Reader(root, flag("full"), pruning)
+        return _Reader(root, flag("partial", "true"), flag("full"), pruning)
 
 
 def register(spark: SparkSession) -> None:

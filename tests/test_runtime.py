@@ -1,10 +1,11 @@
 import os
+from urllib.parse import urlparse
 
 from shelfmark.runtime import drop_materialized, materialize, scratch_dir, spread_scan
 
 
 def local(path):
-    return path.removeprefix("file:")
+    return urlparse(path).path
 
 
 def test_materialized_tables_keep_rows_and_schema_and_can_go(spark):
