@@ -110,7 +110,7 @@ def _sql(table: dict[str, str], found: list[str], first: str) -> str:
 
 def _rewrite(table: dict[str, str], columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         for batch in batches:
             if not batch.num_rows:
                 continue
