@@ -35,12 +35,13 @@ MAX_SHORT_LINES = 0.67
 # What a block of lines must show to count as running sentences.
 SURE_COMMON, LEAST_COMMON, MOST_COMMON = 0.15, 0.05, 0.75
 LEAST_VOWELS = 0.28
+LEAST_KANA = 0.08
 MOST_WORDS_A_SENTENCE = 60
 
 _VOWELS = "αεηιουωάέήίόύώаеёиоуыэюяіїє"
 _BREAKS = regex.compile(r"\r\n|[\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 _HIDDEN = regex.compile(r"\p{Cf}+")
-_TAG = regex.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->")
+_TAG = regex.compile(r"<\|[\w ]{1,40}\|>|</?[A-Za-z][^<>]{0,200}>|<!--.*?-->")
 
 # Fixed patterns: the shapes of lines that aren't sentences, in order of precedence.
 SHAPES = {
@@ -225,6 +226,8 @@ def measure(texts: list[str | None], common: pa.Array) -> dict[str, np.ndarray]:
         | sentences & (b_words >= 3) & (b_words <= 30 * b_terminals)
     )
     prose |= (b_cjk >= 0.3 * b_solid) & (b_kana >= 0.15 * b_cjk) & ((b_terminals > 0) | (b_cjk >= 15 * b_lines)) & (b_solid > 0)
+    # Japanese sentences may name long paths in other letters.
+    prose |= (b_terminals > 0) & (b_kana >= np.maximum(3, LEAST_KANA * b_solid))
     good = free & (prose[block] if n_blocks else free)
     kind[free & ~good] = _KINDS.index("junk")
     # A wrapped sentence can look like a path or a field on one line: the block decides.

@@ -14,6 +14,8 @@ PROSE = [
     "O relatório ficou na pasta de fotografias e não foi lido.",
     "Между тем отчёт не был прочитан, и в папке ничего не изменилось.",
     "古いディスクをもう一度調べました。合計は同じでした。",
+    "Vídeos/férias/run_b_366の大きさは28/07/2020に696 MBでした。",
+    "Most of the duplic<|endoftext|>ates sit in exports, and the index was left out of it.",
     "<p>The box was under the desk for a year.</p>",
     "About Fotos/2018, Música/ao vivo and lab/run_07: the totals agree in all of them.",
     "# Heading\nThe plan was put on hold because the cable had come loose in the night.",
