@@ -55,7 +55,8 @@ def index(spark: SparkSession, store: Store, root: str, drive_id: int, taken_at:
     to_read = files.drop("partial_hash", "full_hash").join(known, "id", "left").select("rel_path", "size", "partial_hash", "full_hash")
     hashed = map_arrow(to_read, _hash_files(root, full), "rel_path string, partial_hash binary, full_hash binary")
     rows = found.drop("partial_hash", "full_hash", "id", "drive_id").join(hashed, "rel_path", "left")
-    return store.write(rows, drive_id, taken_at, label, mode)
+    # Written first: a refresh replaces the very snapshot that the hashes come from.
+    return store.write(materialize(rows, "indexed"), drive_id, taken_at, label, mode)
 
 
 def confirm(latest: DataFrame, root: str, min_size: int = 1024) -> DataFrame:

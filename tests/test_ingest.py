@@ -28,6 +28,9 @@ def test_a_whole_journey(spark, tmp_path):
     first = store.entries().where("snapshot_id = 1")
     hashes = {r.rel_path: bytes(r.hash) for r in ingest.stored_folder_hashes(first).collect()}
     assert hashes["a"] == hashes["b"] == hashlib.blake2b(b"Fx.bam" + whole, digest_size=32).digest() and set(hashes) == {"a", "b", "."}
+    assert ingest.index(spark, store, str(root), 1, "2024-02-02T00:00:00", mode="refresh") == 2
+    again = {r.rel_path: r.full_hash for r in store.entries().where("snapshot_id = 2").collect()}
+    assert bytes(again["a/x.bam"]) == whole and len(again) == 6
     assert ingest.index(spark, store, str(root), 1, "2024-03-01T00:00:00", mode="fresh", exclusions=("b",)) == 1
     latest = store.entries().selectExpr("*", "monotonically_increasing_id() AS id")
     assert {r.rel_path for r in latest.collect()} == {".", "a", "a/x.bam", "own.txt"}
