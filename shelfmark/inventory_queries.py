@@ -11,6 +11,7 @@ from shelfmark.inventory import load
 from shelfmark.operators import cleanup, cross, diff, duplicates, folders, totals, upkeep
 from shelfmark.plans.search import search
 from shelfmark.problem_queries import CURRENT, DELIVERED
+from shelfmark.runtime import materialize
 from shelfmark.tables import delivered_snapshots, read_table
 
 MIN = 4096
@@ -50,13 +51,10 @@ def _verify(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _merkle(spark: SparkSession, folder: str) -> DataFrame:
-    """Folder hashes over the links of paths; a path's content is the md5 of its text where it is a leaf."""
-    paths = read_table(spark, folder, "paths")
-    parents = paths.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct().withColumn("d", F.lit(1))
-    rows = paths.join(parents, "id", "left").select(
-        "id", "parent_id", F.col("segment").alias("name"), F.coalesce("d", F.lit(0)).alias("is_dir"), F.when(F.col("d").isNull() & F.col("full_path").isNotNull(), F.unhex(F.md5("segment"))).alias("hash")
-    )
-    return folders.folder_hashes(rows, "md5").select(F.col("id").alias("path_id"), F.lower(F.hex("hash")).alias("hash"))
+    """Groups of folders with equal contents inside the latest snapshot of a drive."""
+    rows = materialize(folders.linked_rows(load(spark, folder), read_table(spark, folder, "entries_core"), read_table(spark, folder, "paths")), "folder-links")
+    hashed = folders.folder_hashes(rows).join(rows.select("id", "drive_id"), "id")
+    return folders.duplicate_folders(hashed).select("drive_id", F.lower(F.hex("hash")).alias("hash"), "n", "first_id")
 
 
 def _retention(spark: SparkSession, folder: str) -> DataFrame:

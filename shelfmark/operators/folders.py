@@ -161,6 +161,27 @@ def folder_hashes(rows: DataFrame, algorithm: str = "blake2b", finish_rows: int
     return known
 
 
+def linked_rows(latest: DataFrame, entries: DataFrame, paths: DataFrame) -> DataFrame:
+    """Rows of ``latest`` as :func:`folder_hashes` takes them, with ``drive_id``.
+
+    ``parent_id`` names a folder's row as delivered in ``entries``; it becomes the
+    id of the current row of that folder in the same snapshot, as a folder may
+    have been delivered again. Where no such row exists, the folder of the path
+    counts, so that no folder is hashed without one of its children. Names are
+    the paths' own, since a stored full_path may be missing or out of date.
+    """
+    given = entries.where("is_dir = 1 and path_id is not null").groupBy(F.col("id").alias("parent_id"), "snapshot_id").agg(F.min("path_id").alias("linked"))
+    own = paths.where("id is not null").select(F.col("id").alias("path_id"), "segment", F.col("parent_id").alias("path_parent"))
+    up = latest.where("is_dir = 1").select("snapshot_id", F.col("path_id").alias("up"), F.col("id").alias("folder"))
+    return (
+        latest.join(given, ["parent_id", "snapshot_id"], "left")
+        .join(own, "path_id", "left")
+        .withColumn("up", F.when(F.col("parent_id").isNotNull(), F.coalesce("linked", "path_parent")))
+        .join(up, ["snapshot_id", "up"], "left")
+        .select("drive_id", "id", F.col("folder").alias("parent_id"), F.coalesce("segment", base_name(F.col("rel_path"))).alias("name"), "is_dir", F.col("full_hash").alias("hash"))
+    )
+
+
 def duplicate_folders(hashed: DataFrame) -> DataFrame:
     """Groups of folders of a drive with equal hash: drive_id, hash, n, first id."""
     return hashed.groupBy("drive_id", "hash").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).where("n > 1")

@@ -197,3 +197,31 @@ def test_llm_is_used_by_nothing_else():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert "shelfmark.llm" not in f.read_text(encoding="utf-8")
+
+
+def test_equal_folders_come_out_as_groups(spark, tmp_path):
+    from shelfmark.inventory_queries import QUERIES
+
+    t1, t2 = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    paths = [
+        (1, None, "a", "a"), (2, 1, "f", "a/f"), (3, None, "b", "b"), (4, 3, "f", None), (5, None, "c", "c"), (6, 5, "f", "c/f"), (7, 5, "g", None),
+        (8, None, "d", "d"), (9, 8, "f", "d/f"), (10, 8, "x", "d/x"), (11, None, "e", "e"), (12, 11, "s", "old/s"), (13, 12, "f", "e/s/f"),
+    ]
+    x, y = b"x" * 32, b"y" * 32
+    entries = [
+        # Drive 1: a, b and e/s hold the same file; b's folder was delivered again after its child; c and d hold more, d's second file by a broken link.
+        (1, 1, 10, 1, None, 1, None, t1), (2, 1, 10, 2, 1, 0, x, t1), (3, 1, 10, 3, None, 1, None, t1), (4, 1, 10, 4, 3, 0, x, t1), (30, 1, 10, 3, None, 1, None, t2),
+        (5, 1, 10, 5, None, 1, None, t1), (6, 1, 10, 6, 5, 0, x, t1), (7, 1, 10, 7, 5, 0, y, t1), (8, 1, 10, 8, None, 1, None, t1), (9, 1, 10, 9, 8, 0, x, t1), (10, 1, 10, 10, 999, 0, y, t1),
+        (11, 1, 10, 11, None, 1, None, t1), (12, 1, 10, 12, 11, 1, None, t1), (13, 1, 10, 13, 12, 0, x, t1),
+        # Drive 2: one folder like a, and one whose file has no hash; an older snapshot of it doesn't count.
+        (21, 2, 20, 1, None, 1, None, t1), (22, 2, 20, 2, 21, 0, x, t1), (23, 2, 20, 3, None, 1, None, t1), (24, 2, 20, 4, 23, 0, None, t1),
+        (25, 2, 19, 1, None, 1, None, t1), (26, 2, 19, 2, 25, 0, x, t1), (27, 2, 19, 3, None, 1, None, t1), (28, 2, 19, 4, 27, 0, x, t1),
+    ]
+    spark.createDataFrame(paths, "id long, parent_id long, segment string, full_path string").write.parquet(f"{tmp_path}/paths.parquet")
+    rows = spark.createDataFrame(entries, "id long, drive_id long, snapshot_id long, path_id long, parent_id long, is_dir int, full_hash binary, loaded_at timestamp")
+    for c in ("size long", "mtime double", "partial_hash binary", "is_symlink int", "error string", "inode long", "device long"):
+        rows = rows.withColumn(c.split()[0], F.lit(None).cast(c.split()[1]))
+    rows.write.parquet(f"{tmp_path}/entries_core.parquet")
+    snapshots = [(10, 1, "2024-01-01T00:00:00", None), (19, 2, "2024-01-01T00:00:00", None), (20, 2, "2024-01-02T00:00:00", None)]
+    spark.createDataFrame(snapshots, "id long, drive_id long, taken_at string, label string").write.parquet(f"{tmp_path}/snapshots.parquet")
+    assert rows_of(QUERIES["merkle_dir_groups"](spark, str(tmp_path)), "drive_id", "hash", "n", "first_id") == [(1, digest(b"Ff", x).hex(), 3, 1)]
