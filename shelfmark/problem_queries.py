@@ -28,12 +28,17 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return copy_differences(*_tables(spark, folder, "entries_core", "snapshots", "drive", "copy_pairs"))
 
 
+def _hex_keys(keys: DataFrame) -> DataFrame:
+    """Content keys with the hash as text, as results give it."""
+    return keys.withColumn("partial_hash", F.lower(F.hex("partial_hash")))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return heavy_content_keys(*_tables(spark, folder, "entries_core"))
+    return _hex_keys(heavy_content_keys(*_tables(spark, folder, "entries_core")))
 
 
 def p4_key_totals(spark: SparkSession, folder: str) -> DataFrame:
-    return content_key_totals(*_tables(spark, folder, "entries_core"))
+    return _hex_keys(content_key_totals(*_tables(spark, folder, "entries_core")))
 
 
 def p4_running(spark: SparkSession, folder: str) -> DataFrame:

@@ -62,3 +62,16 @@ def test_content_keys_with_nulls(spark):
     assert totals == {(None, b"a"): (60, None, 1), (5, b"a"): (39, 195, 3), (7, b"b"): (1, 7, 0)}
     assert {tuple(r) for r in heavy_content_keys(e, 50, 10, stable=False).collect()} == {(None, b"a"), (5, b"a")}
     assert heavy_content_keys(e.where("false"), stable=False).count() == 0
+
+
+def test_queries_give_hashes_as_hex(spark, tmp_path):
+    from shelfmark.problem_queries import QUERIES
+
+    hot, rare = bytes([0xAB, 0x00, 0xFF, *range(13)]), bytes(range(16))
+    rows = [(0, 5, hot, 1)] * 60 + [(0, None, rare, 2)] + [(1, 5, rare, 2), (0, 5, None, 2)]
+    spark.createDataFrame(rows, "is_dir int, size long, partial_hash binary, drive_id long").write.parquet(f"{tmp_path}/entries_core.parquet")
+    found = QUERIES["p4_found"](spark, str(tmp_path))
+    assert found.dtypes == [("size", "bigint"), ("partial_hash", "string")]
+    assert [tuple(r) for r in found.collect()] == [(5, hot.hex())]
+    totals = {(r["size"], r["partial_hash"]): (r["n_rows"], r["n_bytes"], r["n_drives"]) for r in QUERIES["p4_key_totals"](spark, str(tmp_path)).collect()}
+    assert totals == {(5, hot.hex()): (60, 300, 1), (None, rare.hex()): (1, None, 1)}
