@@ -80,11 +80,11 @@ def prototypes(spark: SparkSession) -> dict[str, str]:
     they stand for; other characters the prototype of their shape, but only one
     of the same case. Raised, lowered, circled and fraction forms and dotless
     letters stay. Accented letters get the prototype of the bare letter and keep
-    their accent.
+    their accent. Left out are Hangul syllables, whose prototypes only spell them
+    in single letters (no two have the same), and the variation selectors from
+    U+E0000 on, which are taken out as invisible.
     """
-    points = tuple(
-        p for p in range(0x80, 0x30000) if unicodedata.category(chr(p)) not in ("Cn", "Cs", "Co", "Cc") and not 0x3400 <= p <= 0x9FFF and not 0xAC00 <= p <= 0xD7A3 and p < 0x20000
-    )
+    points = tuple(p for p in range(0x80, 0xE0000) if unicodedata.category(chr(p)) not in ("Cn", "Cs", "Co", "Cc") and not 0xAC00 <= p <= 0xD7A3)
     checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
     # One call for all characters; a line end is its own prototype and separates them.
     skeletons = tuple(checker.getSkeleton("\n".join(map(chr, points))).split("\n"))
@@ -121,6 +121,8 @@ def _rewrite(table: dict[str, str], columns: list[str]):
                 name = '"' + c.replace('"', '""') + '"'
                 joined = f"regexp_replace({name}, '{_PICTURE_JOINER}', '\\1{_KEPT_JOINER}\\2', 'g')"
                 seen = rf"regexp_replace(replace(replace({joined}, chr(9), ' '), chr(0), ''), '{_HIDDEN}', '', 'g')"
+                # Hangul is composed first: its single letters have prototypes of their own, syllables don't.
+                seen = rf"CASE WHEN regexp_matches({name}, '[\x{{1100}}-\x{{11FF}}]') THEN nfc_normalize({seen}) ELSE {seen} END"
                 seen = f"CASE WHEN regexp_full_match({name}, '[ -~]*') THEN {name} ELSE {seen} END"
                 # Most batches use few characters; the tables are cut to those that occur.
                 found = con.sql(

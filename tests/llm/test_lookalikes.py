@@ -64,3 +64,11 @@ def test_a_text_held_by_most_rows(spark):
 def test_long_texts_are_rewritten_whole(spark):
     (form,) = forms(spark, ["ж" + "е" * 200_000 + "​."])
     assert form == "ж" + "e" * 200_000 + "."
+
+
+def test_ideographs_and_hangul(spark):
+    same = [("一", "ー", "—"), ("囗", "口", "ロ"), ("戸", "戶"), ("黒", "黑"), ("\U00021fe8", "❬"), ("\uac01\ud55c", "\u1100\u1161\u11a8\u1112\u1161\u11ab")]
+    got = iter(forms(spark, [f"a/{t}.txt" for group in same for t in group]))
+    found = [{next(got) for _ in group} for group in same]
+    assert all(len(f) == 1 for f in found) and len(set.union(*found)) == len(same)
+    assert len(set(forms(spark, ["가각", "가갂", "각가", "一二", "一三"]))) == 5
