@@ -69,6 +69,10 @@ def _health(spark: SparkSession, folder: str) -> DataFrame:
     return upkeep.health_checks(*[read_table(spark, folder, t) for t in ("drive", "snapshots", "paths", "entries_core")])
 
 
+def _entry_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return upkeep.entry_counts(read_table(spark, folder, "snapshots"), read_table(spark, folder, "entries_core"))
+
+
 def _single(then: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, folder: then(cross.single_copies(load(spark, folder), MIN))
 
@@ -121,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "reuse_hits": _reuse,
     "verify_status": _verify,
     "doctor_checks": _health,
+    "doctor_entry_counts": _entry_counts,
 }
 
 _E = f"""WITH {CURRENT}, {DELIVERED},

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.columns import same_mtime
 from shelfmark.functions.text import nfc
+from shelfmark.tables import current_rows
 
 
 def parsed_tags(folder_meta: DataFrame) -> DataFrame:
@@ -94,3 +95,26 @@ def health_checks(drives: DataFrame, snapshots: DataFrame, paths: DataFrame, ent
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def entry_counts(snapshots: DataFrame, entries: DataFrame) -> DataFrame:
+    """(drive_id, snapshot_id, ok, total_files, n_files, total_dirs, n_dirs): recorded totals against current rows.
+
+    Folders may differ by 1, files (without links) by 5 %; a total that is null,
+    or 0 files, isn't compared. A snapshot that records something and has no rows
+    is never ok.
+    """
+    link = F.coalesce("is_symlink", F.lit(0)) != 0
+    found = (
+        current_rows(entries, "snapshot_id", "path_id", "is_dir", "is_symlink")
+        .groupBy(F.col("snapshot_id").alias("id"))
+        .agg(F.count_if((F.col("is_dir") == 0) & ~link).alias("n_files"), F.count_if(F.col("is_dir") == 1).alias("n_dirs"), F.count(F.lit(1)).alias("n"))
+    )
+    files, dirs = F.coalesce("total_files", F.lit(0)), F.coalesce("total_dirs", F.lit(0))
+    near = ((files <= 0) | (F.abs(F.col("n_files") - files) * 20 <= files)) & (F.col("total_dirs").isNull() | (F.abs(F.col("n_dirs") - dirs) <= 1))
+    empty = (F.col("n") == 0) & ((files > 0) | (dirs > 0))
+    return (
+        snapshots.join(found, "id", "left")
+        .fillna(0, ["n_files", "n_dirs", "n"])
+        .select("drive_id", F.col("id").alias("snapshot_id"), (near & ~empty).alias("ok"), "total_files", "n_files", "total_dirs", "n_dirs")
+    )

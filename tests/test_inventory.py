@@ -225,3 +225,15 @@ def test_equal_folders_come_out_as_groups(spark, tmp_path):
     snapshots = [(10, 1, "2024-01-01T00:00:00", None), (19, 2, "2024-01-01T00:00:00", None), (20, 2, "2024-01-02T00:00:00", None)]
     spark.createDataFrame(snapshots, "id long, drive_id long, taken_at string, label string").write.parquet(f"{tmp_path}/snapshots.parquet")
     assert rows_of(QUERIES["merkle_dir_groups"](spark, str(tmp_path)), "drive_id", "hash", "n", "first_id") == [(1, digest(b"Ff", x).hex(), 3, 1)]
+
+
+def test_recorded_totals_are_held_against_rows(spark):
+    from shelfmark.inventory_queries import QUERIES
+
+    t = datetime(2024, 1, 1)
+    entries = [(i, 1, i, 0, 0, t) for i in range(1, 21)] + [(21, 1, 21, 1, 0, t), (22, 1, 22, 0, 1, t), (23, 1, 1, 0, 0, t)] + [(30, 3, 1, 0, None, t), (40, 5, 1, 0, 0, t), (41, 6, 1, 1, 0, t)]
+    e = spark.createDataFrame(entries, "id long, snapshot_id long, path_id long, is_dir int, is_symlink int, loaded_at timestamp")
+    s = spark.createDataFrame([(1, 1, 21, 2), (2, 1, 10, 2), (3, 1, 2, 0), (4, 1, None, None), (5, 1, None, 2), (6, 1, 0, 2)], "id long, drive_id long, total_files long, total_dirs long")
+    got = rows_of(upkeep.entry_counts(s, e), "snapshot_id", "ok", "n_files", "n_dirs")
+    assert got == [(1, True, 20, 1), (2, False, 0, 0), (3, False, 1, 0), (4, True, 0, 0), (5, False, 1, 0), (6, True, 0, 1)]
+    assert "doctor_entry_counts" in QUERIES
