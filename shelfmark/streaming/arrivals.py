@@ -16,7 +16,8 @@ def load_totals(arrivals: DataFrame, window: str = "1 hour", late: str = "7 days
     """Rows, files and bytes loaded per snapshot and window of ``loaded_at``.
 
     Rows that come more than ``late`` behind the newest are dropped from the
-    totals, as the watermark closes their windows.
+    totals, as the watermark closes their windows. Over a batch of the same files
+    there is no watermark: that is the recount which has the late rows too.
     """
     at = F.window("loaded_at", window)
     return (

@@ -8,6 +8,8 @@ from shelfmark.functions.hashing import full_file_digest, partial_digest, partia
 from shelfmark.operators.cleanup import cleanup_plan
 from shelfmark.sources import exports, filesystem, sqlite
 from shelfmark.sources.store import Store
+from pyspark.sql import functions as F
+
 from shelfmark.streaming.arrivals import first_deliveries, load_totals, read_arrivals
 
 GOLDEN = [
@@ -137,3 +139,9 @@ def test_arrivals(spark, tmp_path):
         q.stop()
     assert [tuple(r)[1:] for r in spark.sql("SELECT * FROM totals").collect()] == [(1, 3, 2, 10)]
     assert sorted(r.id for r in spark.sql("SELECT id FROM first").collect()) == [1, 2]
+
+
+def test_batch_totals_count_late_rows(spark):
+    rows = [("2024-03-01 00:00:00", 1, 0, 5), ("2024-01-01 00:00:00", 1, 0, 7)]
+    df = spark.createDataFrame(rows, "loaded_at string, snapshot_id long, is_dir int, size long").withColumn("loaded_at", F.col("loaded_at").cast("timestamp"))
+    assert sorted(r.n_bytes for r in load_totals(df).collect()) == [5, 7]
