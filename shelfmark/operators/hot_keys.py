@@ -13,66 +13,71 @@ from pyspark.sql import functions as F
 
 from shelfmark.runtime import drop_materialized, materialize
 
-#: Rows of a key that one task takes at a time. Keys with fewer rows are one chunk.
-CHUNK_ROWS = 100_000
+#: Chunks for each task of a shuffle that all rows together would make.
+CHUNKS_A_TASK = 4
 
 
-def _tagged(df: DataFrame) -> DataFrame:
-    position = F.monotonically_increasing_id()
-    return df.withColumn("_pos", position).withColumn("_pid", F.shiftright("_pos", 33))
+def _positions(df: DataFrame) -> DataFrame:
+    """``df`` with each row's position ``_pos`` in its partition ``_pid``."""
+    return df.withColumn("_pos", F.monotonically_increasing_id()).withColumn("_pid", F.shiftright("_pos", 33))
 
 
-def partition_offsets(tagged: DataFrame, keys: list[str], chunk_rows: int) -> DataFrame:
-    """(keys, _pid, _offset) for keys with more than ``chunk_rows`` rows.
+def _by_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`_positions` with a key's rows side by side in every partition, in the order they came."""
+    came = df.withColumn("_came", F.monotonically_increasing_id())
+    return _positions(came.sortWithinPartitions(*keys, "_came").drop("_came"))
 
-    At most (rows / chunk_rows) keys times the number of input partitions; a
-    partition's rows are counted before the shuffle. The result is written, so
-    that Catalyst knows its size.
+
+def partition_offsets(placed: DataFrame, keys: list[str], chunk_rows: int | None) -> tuple[DataFrame, int]:
+    """(keys, _pid, _offset, _start) for keys with more rows than a chunk, and the rows of a chunk.
+
+    A partition's rows are counted before the shuffle. Without ``chunk_rows`` a chunk
+    is a fixed share of all rows, so that few keys can have more than one, whatever
+    the number of rows. The results are written, so that Catalyst knows their size.
     """
-    counts = tagged.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialize(placed.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_start")), "counts")
+    if chunk_rows is None:
+        tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        chunk_rows = max(1, (counts.agg(F.sum("_n")).first()[0] or 0) // (CHUNKS_A_TASK * tasks))
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    return materialize(
+    offsets = materialize(
         counts.withColumn("_total", F.sum("_n").over(whole))
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .where(F.col("_total") > chunk_rows)
-        .select(*keys, "_pid", "_offset"),
+        .select(*keys, "_pid", "_offset", "_start"),
         "offsets",
     )
+    drop_materialized(counts)
+    return offsets, chunk_rows
 
 
-def with_chunks(df: DataFrame, keys: list[str], chunk_rows: int = CHUNK_ROWS, stable: bool = False) -> DataFrame:
+def with_chunks(df: DataFrame, keys: list[str], chunk_rows: int | None = None, stable: bool = False) -> DataFrame:
     """``df`` with ``chunk``: the number, within its key, of the chunk a row is in.
 
     Chunks of a key hold exactly ``chunk_rows`` rows but for the last, and follow
-    the input's order. Only keys with more rows than that are numbered; the rest
-    are chunk 0. Null keys form a key of their own. ``stable`` says that
-    ``df`` is a plain scan, whose partitions come out alike each time; anything
-    else is written first with its partition numbers, since offsets and rows
-    must see the same partitions.
+    the input's order; by default a chunk is a fixed share of all rows. Only keys
+    with more rows than that are numbered; the rest are chunk 0. Null keys form a
+    key of their own. ``stable`` says that ``df`` is a plain scan, whose partitions
+    come out alike each time; anything else is written first with its positions,
+    since offsets and rows must see the same partitions.
     """
-    tagged = _tagged(df)
-    return _chunked(tagged if stable else materialize(tagged, "chunk-input"), keys, chunk_rows)
+    placed = _by_key(df, keys)
+    return _chunked(placed if stable else materialize(placed, "chunk-input"), keys, chunk_rows)
 
 
-def _chunked(tagged: DataFrame, keys: list[str], chunk_rows: int) -> DataFrame:
-    if chunk_rows < 1:
+def _chunked(placed: DataFrame, keys: list[str], chunk_rows: int | None) -> DataFrame:
+    """A row's number is its partition's offset and its distance from the key's first row there."""
+    if chunk_rows is not None and chunk_rows < 1:
         raise ValueError("chunk_rows must be at least 1")
-    names = [c for c in tagged.columns if c not in ("_pos", "_pid")]
-    offsets = partition_offsets(tagged.select(*keys, "_pid"), keys, chunk_rows)
-    o = offsets.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_pid").alias("_o_pid"), "_offset")
+    names = [c for c in placed.columns if c not in ("_pos", "_pid")]
+    offsets, rows = partition_offsets(placed.select(*keys, "_pos", "_pid"), keys, chunk_rows)
+    o = offsets.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_pid").alias("_o_pid"), "_offset", "_start")
     on = F.col("_pid") == F.col("_o_pid")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
-    joined = tagged.join(o, on, "left")
-    local = Window.partitionBy(*keys, "_pid").orderBy("_pos")
-    large = (
-        joined.where(F.col("_offset").isNotNull())
-        .withColumn("_n", F.row_number().over(local))
-        .withColumn("chunk", F.expr(f"(_offset + _n - 1) div {int(chunk_rows)}"))
-        .select(*names, "chunk")
-    )
-    return large.unionByName(joined.where(F.col("_offset").isNull()).select(*names, F.lit(0).cast("long").alias("chunk")))
+    number = F.expr(f"(_offset + _pos - _start) div {int(rows)}")
+    return placed.join(o, on, "left").select(*names, F.coalesce(number, F.lit(0)).alias("chunk"))
 
 
 def key_results(
@@ -80,22 +85,22 @@ def key_results(
     keys: list[str],
     chunk_states: dict[str, Column],
     merges: dict[str, Column],
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
     stable: bool = False,
 ) -> DataFrame:
     """One row per key: ``chunk_states`` per chunk, merged per key by ``merges``.
 
     ``chunk_states`` aggregates the rows of a chunk; ``merges`` aggregates, over
     the columns of that name and ``chunk`` (their order), a key's chunk states.
-    No task sees more than ``chunk_rows`` rows of a key, nor more chunk states
-    of a key than it has chunks.
+    No task sees more than a chunk of a key, nor more chunk states of a key than
+    it has chunks (see :func:`with_chunks`).
     """
     chunked = with_chunks(df, keys, chunk_rows, stable)
     states = chunked.groupBy(*keys, "chunk").agg(*[c.alias(n) for n, c in chunk_states.items()])
     return states.groupBy(*keys).agg(*[c.alias(n) for n, c in merges.items()])
 
 
-def running_totals(df: DataFrame, keys: list[str], order: list[str], value: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def running_totals(df: DataFrame, keys: list[str], order: list[str], value: str, chunk_rows: int | None = None) -> DataFrame:
     """Adds ``key_row`` (from 1) and ``running`` (sum of ``value`` so far) in the order given.
 
     The rows are range-partitioned on (keys, order) and sorted, so a large key
@@ -106,7 +111,7 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str], value: str,
     """
     names = df.columns
     by = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
-    spread = materialize(_tagged(df.repartitionByRange(*by).sortWithinPartitions(*by)), "ordered")
+    spread = materialize(_positions(df.repartitionByRange(*by).sortWithinPartitions(*by)), "ordered")
     chunked = materialize(_chunked(spread, keys, chunk_rows), "chunked")
     drop_materialized(spread)
     by_order = [F.col(c).asc_nulls_first() for c in order]
@@ -133,7 +138,7 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str], value: str,
     )
 
 
-def content_key_totals(entries: DataFrame, chunk_rows: int = CHUNK_ROWS, stable: bool = True) -> DataFrame:
+def content_key_totals(entries: DataFrame, chunk_rows: int | None = None, stable: bool = True) -> DataFrame:
     """(size, partial_hash, n_rows, n_bytes, n_drives) of all delivered file rows with a hash.
 
     A null size is a key value of its own; n_bytes is null where all sizes are.
@@ -153,11 +158,11 @@ def content_key_totals(entries: DataFrame, chunk_rows: int = CHUNK_ROWS, stable:
     )
 
 
-def heavy_content_keys(entries: DataFrame, one_in: int = 50, chunk_rows: int = CHUNK_ROWS, stable: bool = True) -> DataFrame:
+def heavy_content_keys(entries: DataFrame, one_in: int = 50, chunk_rows: int | None = None, stable: bool = True) -> DataFrame:
     """(size, partial_hash) of the keys of :func:`content_key_totals` with one in ``one_in`` rows or more.
 
     No file row with a hash means no keys.
     """
-    rows = entries.where("is_dir = 0 and partial_hash is not null").count()
-    totals = content_key_totals(entries, chunk_rows, stable)
+    totals = materialize(content_key_totals(entries, chunk_rows, stable), "key-totals")
+    rows = totals.agg(F.sum("n_rows")).first()[0] or 0
     return totals.where(F.col("n_rows") * one_in >= rows).select("size", "partial_hash")
