@@ -99,7 +99,7 @@ UNION ALL SELECT pair_id, path_id, 'partial_hash' FROM j WHERE ia IS NOT NULL AN
 UNION ALL SELECT pair_id, path_id, 'full_hash' FROM j WHERE fa <> fb"""
 
 _HASHED = "FROM entries_core WHERE is_dir = 0 AND partial_hash IS NOT NULL"
-_P4 = f"""SELECT size, partial_hash {_HASHED} GROUP BY size, partial_hash HAVING count(*) * 50 >= (SELECT count(*) {_HASHED})"""
+_P4 = f"""SELECT size, lower(hex(partial_hash)) AS partial_hash {_HASHED} GROUP BY size, entries_core.partial_hash HAVING count(*) * 50 >= (SELECT count(*) {_HASHED})"""
 
 _P6 = """WITH RECURSIVE n AS (
   SELECT 'paths' AS src, id, parent_id AS up FROM paths UNION ALL SELECT 'entries_core', id, parent_id FROM entries_core),
@@ -139,8 +139,8 @@ SQL = {
     "p1_per_snapshot": f"SELECT snapshot_id, change, count(*) AS n_files FROM ({_P1}) GROUP BY snapshot_id, change",
     "p2_found": _P2,
     "p4_found": _P4,
-    "p4_key_totals": f"""SELECT size, partial_hash, count(*) AS n_rows, CAST(sum(size) AS BIGINT) AS n_bytes,
-count(DISTINCT drive_id) AS n_drives {_HASHED} GROUP BY size, partial_hash""",
+    "p4_key_totals": f"""SELECT size, lower(hex(partial_hash)) AS partial_hash, count(*) AS n_rows, CAST(sum(size) AS BIGINT) AS n_bytes,
+count(DISTINCT drive_id) AS n_drives {_HASHED} GROUP BY size, entries_core.partial_hash""",
     "p4_running": f"""SELECT id, row_number() OVER w AS key_row, CAST(coalesce(sum(size) OVER w, 0) AS BIGINT) AS running {_HASHED}
 WINDOW w AS (PARTITION BY size, partial_hash ORDER BY loaded_at NULLS FIRST, id ROWS UNBOUNDED PRECEDING)""",
     "p6_found": _P6,
