@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.runtime import materialize
+from shelfmark.runtime import drop_materialized, scratch_dir
 from shelfmark.tables import current_rows, delivered_snapshots, read_table
 
 COLUMNS = (
-    "drive_id", "snapshot_id", "idx", "is_latest", "id", "parent_id", "path_id", "rel_path", "is_dir", "size", "mtime",
+    "drive_id", "drive", "snapshot_id", "idx", "is_latest", "id", "parent_id", "path_id", "rel_path", "is_dir", "size", "mtime",
     "partial_hash", "full_hash", "is_symlink", "error", "inode", "device",
 )
 
 _ROW = ("snapshot_id", "path_id", "id", "parent_id", "is_dir", "size", "mtime", "partial_hash", "full_hash", "is_symlink", "error", "inode", "device")
 
 
-def all_entries(entries: DataFrame, snapshots: DataFrame, paths: DataFrame, latest_only: bool = False) -> DataFrame:
-    """Current rows of all delivered snapshots (or each drive's latest) with ``rel_path``.
+def all_entries(entries: DataFrame, snapshots: DataFrame, paths: DataFrame, drives: DataFrame, latest_only: bool = False) -> DataFrame:
+    """Current rows of all delivered snapshots (or each drive's latest) with ``rel_path`` and ``drive``.
 
     ``rel_path`` is the stored full_path; a row whose path text isn't stored keeps
-    the name '#' and its path_id, so that no row is lost.
+    the name '#' and its path_id, so that no row is lost. ``drive`` is the drive's
+    label, null where it has none.
     """
     delivered = delivered_snapshots(entries, snapshots).select("snapshot_id", "drive_id", "idx", "is_latest")
     rows = entries.drop("drive_id")
@@ -28,37 +31,65 @@ def all_entries(entries: DataFrame, snapshots: DataFrame, paths: DataFrame, late
         delivered = delivered.where("is_latest")
         rows = rows.join(delivered.select("snapshot_id"), "snapshot_id", "left_semi")
     texts = paths.where("id is not null").select(F.col("id").alias("path_id"), "full_path")
+    labels = drives.where("id is not null").groupBy(F.col("id").alias("drive_id")).agg(F.min("label").alias("drive"))
     return (
         current_rows(rows, *_ROW)
-        .join(delivered, "snapshot_id")
+        .join(delivered.join(labels, "drive_id", "left"), "snapshot_id")
         .join(texts, "path_id", "left")
         .withColumn("rel_path", F.coalesce("full_path", F.concat(F.lit("#"), F.col("path_id").cast("string"))))
         .select(*COLUMNS)
     )
 
 
-_prepared: dict[tuple, DataFrame] = {}
+#: The setting that names a folder where prepared indexes stay from one application to the next.
+INDEX_DIR = "spark.shelfmark.index.dir"
+_TABLES = ("entries_core", "snapshots", "paths", "drive")
+_prepared: dict[tuple, tuple[str, DataFrame]] = {}
+
+
+def _exists(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def _signature(folder: str, tables: list[DataFrame], latest_only: bool) -> str:
+    """What the tables' files are: their names, and per table its length and time of change."""
+    spark, h = tables[0].sparkSession, hashlib.sha256(f"{_LAYOUT} {latest_only}".encode())
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name, table in zip(_TABLES, tables):
+        if not (files := sorted(table.inputFiles())):
+            continue
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        h.update(repr((files, fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime())).encode())
+    return h.hexdigest()[:32]
 
 
-def _signature(*tables: DataFrame) -> tuple:
-    """The tables' files with their sizes and times of change."""
-    spark = tables[0].sparkSession
-    jvm, conf, out = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
-    for name in sorted(f for t in tables for f in t.inputFiles()):
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        status = path.getFileSystem(conf).getFileStatus(path)
-        out.append((name, status.getLen(), status.getModificationTime()))
-    return tuple(out)
+#: Raised when the index's columns or layout change, so that an older one isn't read.
+_LAYOUT = 2
 
 
 def load(spark: SparkSession, folder: str, latest_only: bool = True) -> DataFrame:
-    """:func:`all_entries` of the tables in ``folder``, written once per application.
+    """:func:`all_entries` of the tables in ``folder``, as a written index.
 
-    This is the index that searches and reports read: it is made on first use and
-    again when a file of the tables has changed, and lies in the shared scratch folder.
+    This is the index that searches and reports read. It is made on first use and
+    again when the tables have changed. It lies in the folder that the setting
+    ``spark.shelfmark.index.dir`` names, where later applications find it again,
+    else in the application's scratch folder. It is partitioned by drive; a drive
+    with many rows has many files, one with few has one.
     """
-    tables = [read_table(spark, folder, t) for t in ("entries_core", "snapshots", "paths")]
-    key = (spark.sparkContext.applicationId, latest_only, _signature(*tables))
-    if key not in _prepared:
-        _prepared[key] = materialize(all_entries(*tables, latest_only=latest_only), "inventory")
-    return _prepared[key]
+    tables = [read_table(spark, folder, t) for t in _TABLES[:-1]]
+    # Labels are for people: an inventory without them is one all the same.
+    labelled = _exists(spark, f"{folder}/{_TABLES[-1]}.parquet")
+    tables.append(read_table(spark, folder, _TABLES[-1]) if labelled else spark.createDataFrame([], "id long, label string"))
+    key, signature = (spark.sparkContext.applicationId, folder, latest_only), _signature(folder, tables, latest_only)
+    if _prepared.get(key, ("",))[0] == signature:
+        return _prepared[key][1]
+    if key in _prepared and not spark.conf.get(INDEX_DIR, None):
+        drop_materialized(_prepared[key][1])
+    path = f"{spark.conf.get(INDEX_DIR, None) or scratch_dir(spark)}/inventory-{signature}"
+    index = all_entries(*tables, latest_only=latest_only)
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        index.hint("rebalance", "drive_id").write.mode("overwrite").partitionBy("drive_id").parquet(path)
+    _prepared[key] = (signature, spark.read.schema(index.schema).parquet(path).select(*COLUMNS))
+    return _prepared[key][1]

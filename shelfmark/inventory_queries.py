@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.inventory import load
 from shelfmark.operators import cleanup, cross, diff, duplicates, folders, totals, upkeep
-from shelfmark.plans.search import search
+from shelfmark.plans.search import search, search_total
 from shelfmark.problem_queries import CURRENT, DELIVERED
 from shelfmark.runtime import materialize
 from shelfmark.tables import delivered_snapshots, read_table
@@ -73,6 +74,11 @@ def _entry_counts(spark: SparkSession, folder: str) -> DataFrame:
     return upkeep.entry_counts(read_table(spark, folder, "snapshots"), read_table(spark, folder, "entries_core"))
 
 
+def _search_totals(spark: SparkSession, folder: str) -> DataFrame:
+    latest = load(spark, folder)
+    return reduce(DataFrame.unionByName, [search_total(latest, q) for q in SEARCHES.values()])
+
+
 def _single(then: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, folder: then(cross.single_copies(load(spark, folder), MIN))
 
@@ -82,6 +88,8 @@ SEARCHES = {
     "search_type_folder": "type:folder notas",
     "search_path_date": "path:backup modified:2018",
     "search_substring": "IMG_ size<100KB",
+    "search_drive_label": 'drive:"Atlas-01" size>1KB',
+    "search_dates_both": "modified>=2018-06 modified:2018",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -119,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "auto_tags": _latest(folders.auto_tags),
     "merkle_dir_groups": _merkle,
     **{name: _latest(search, q) for name, q in SEARCHES.items()},
+    "search_totals": _search_totals,
     **{f"cleanup_actions_{s}": _latest(cleanup.cleanup_plan, s, MIN) for s in cleanup.STRATEGIES},
     "cleanup_plan_groups": lambda spark, folder: cleanup.plan_groups(cleanup.cleanup_plan(load(spark, folder), "shortest", MIN)),
     "tag_search": _tag_search,
@@ -129,10 +138,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _E = f"""WITH {CURRENT}, {DELIVERED},
-e AS (SELECT d.drive_id, d.snapshot_id, d.idx, d.next_id IS NULL AS is_latest, c.id, c.parent_id, c.path_id,
+e AS (SELECT d.drive_id, dr.label AS drive, d.snapshot_id, d.idx, d.next_id IS NULL AS is_latest, c.id, c.parent_id, c.path_id,
              coalesce(p.full_path, '#' || c.path_id) AS rel_path, c.is_dir, c.size, c.mtime, c.partial_hash AS ph, c.full_hash AS fh,
              c.is_symlink, c.error, c.inode, c.device, c.inode IS NOT NULL AND c.device IS NOT NULL AS linked
-      FROM cur c JOIN deliv d USING (snapshot_id) LEFT JOIN paths p ON p.id = c.path_id),
+      FROM cur c JOIN deliv d USING (snapshot_id) LEFT JOIN paths p ON p.id = c.path_id LEFT JOIN drive dr ON dr.id = d.drive_id),
 l AS (SELECT * FROM e WHERE is_latest)"""
 
 _HASHED = f"is_dir = 0 AND size >= {MIN} AND ph IS NOT NULL"
@@ -183,9 +192,24 @@ _FOLDERS = f"""{_E}, f AS (SELECT drive_id, rel_path, size, mtime, error, unnest
 _RULES = ", ".join(f"({i}, '{tag}', '{ext}')" for i, (tag, exts) in enumerate(folders.TAG_RULES.items()) for ext in exts.split())
 _COMPOUND = "|".join(e.replace(".", "\\.") for e in sorted({e for exts in folders.TAG_RULES.values() for e in exts.split() if "." in e}, key=lambda e: -len(e)))
 
-def _search(condition: str) -> str:
-    return f"""{_E} SELECT drive_id, id, rel_path, is_dir, coalesce(size, 0) AS size, mtime FROM l WHERE {condition}
-ORDER BY coalesce(size, 0) DESC, drive_id, rel_path, id LIMIT 500"""
+def _search(name: str) -> str:
+    return f"""{_E} SELECT drive_id, drive, id, rel_path, is_dir, coalesce(size, 0) AS size, mtime FROM l WHERE {_HITS[name]}
+ORDER BY coalesce(size, 0) DESC, drive NULLS FIRST, drive_id, rel_path, id LIMIT 500"""
+
+
+def _totals() -> str:
+    parts = (f"SELECT '{SEARCHES[name]}' AS query, count(*) AS total, count(*) > 500 AS truncated FROM l WHERE {hit}" for name, hit in _HITS.items())
+    return f"{_E} " + "\nUNION ALL ".join(parts)
+
+
+_HITS = {
+    "search_glob_size": f"size >= 1048577 AND regexp_full_match(lower({_NAME}), '.*\\.mkv', 's')",
+    "search_type_folder": f"is_dir = 1 AND contains(lower({_NAME}), 'notas')",
+    "search_path_date": "contains(lower(rel_path), 'backup') AND mtime >= epoch(TIMESTAMP '2018-01-01') AND mtime <= epoch(TIMESTAMP '2019-01-01')",
+    "search_substring": f"size <= 102399 AND contains(lower({_NAME}), 'img_')",
+    "search_drive_label": "lower(drive) = 'atlas-01' AND size >= 1025",
+    "search_dates_both": "mtime >= epoch(TIMESTAMP '2018-06-01') AND mtime <= epoch(TIMESTAMP '2019-01-01')",
+}
 
 
 _PLAN = f"""{_E},
@@ -270,10 +294,8 @@ SQL = {
    WHEN contains({_NAME}, '.') THEN lower(split_part({_NAME}, '.', -1)) ELSE '' END AS ext FROM l WHERE is_dir = 0 AND error IS NULL),
  t AS (SELECT DISTINCT drive_id, folder, rule, tag FROM x JOIN rules USING (ext))
  SELECT drive_id, folder, string_agg(tag, '|' ORDER BY rule) AS tags FROM t GROUP BY drive_id, folder""",
-    "search_glob_size": _search(f"size >= 1048577 AND regexp_full_match(lower({_NAME}), '.*\\.mkv', 's')"),
-    "search_type_folder": _search(f"is_dir = 1 AND contains(lower({_NAME}), 'notas')"),
-    "search_path_date": _search("contains(lower(rel_path), 'backup') AND mtime >= epoch(TIMESTAMP '2018-01-01') AND mtime <= epoch(TIMESTAMP '2019-01-01')"),
-    "search_substring": _search(f"size <= 102399 AND contains(lower({_NAME}), 'img_')"),
+    **{name: _search(name) for name in SEARCHES},
+    "search_totals": _totals(),
     **{f"cleanup_actions_{s}": _PLAN.format(by) + " SELECT * FROM pl" for s, by in _FIRST.items()},
     "cleanup_plan_groups": _PLAN.format(_FIRST["shortest"])
     + " SELECT drive_id, group_id, hash, keeper, max(n_copies) AS n_copies, count(*) FILTER (NOT keep) AS n_actions, CAST(coalesce(sum(size) FILTER (NOT keep), 0) AS BIGINT) AS freeable, CAST(sum(hardlinks) AS BIGINT) AS n_hardlinks FROM pl GROUP BY ALL",

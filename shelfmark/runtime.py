@@ -81,9 +81,8 @@ def drop_materialized(*dfs: DataFrame) -> None:
     """Remove tables of :func:`materialize` that nothing reads any more."""
     for df in dfs:
         own = scratch_dir(df.sparkSession).rsplit("/", 1)[-1]
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if folder.rsplit("/", 2)[-2] == own:
-                _remove(df.sparkSession, folder)
+        for top in {f.partition(f"/{own}/")[2].split("/")[0] for f in df.inputFiles() if f"/{own}/" in f}:
+            _remove(df.sparkSession, f"{scratch_dir(df.sparkSession)}/{top}")
 
 
 def ship(spark: SparkSession) -> None:

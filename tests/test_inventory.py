@@ -9,7 +9,7 @@ from shelfmark.functions.columns import UNITS, ancestors, first_dot_extension, h
 from shelfmark.functions.text import glob_to_regex, nfc
 from shelfmark.inventory import COLUMNS, all_entries
 from shelfmark.operators import cleanup, cross, diff, duplicates, folders, upkeep
-from shelfmark.plans.search import QueryError, parse_dates, parse_query, parse_size, search, split_terms
+from shelfmark.plans.search import QueryError, parse_dates, parse_query, parse_size, search, search_total, split_terms
 
 
 def values(spark, rows, schema, *columns):
@@ -65,14 +65,18 @@ def test_search_parsing():
     assert parse_dates("2024-02") == (1706745600.0, 1709251200.0) and parse_dates("2024-12")[1] == parse_dates("2025")[0]
     assert split_terms("a 'b c' d\"e f\"") == ["a", "b c", "de f"]
     s = parse_query(">1KB size<=2KB modified>=2024 modified<2025 type:pasta path:x drive:A name:*.mkv foo")
-    assert (s.size_min, s.size_max, s.is_dir, s.paths, s.drives, s.names) == (1025, 2048, 1, ["x"], ["A"], ["*.mkv", "foo"])
-    assert (s.mtime_min, s.mtime_max) == (parse_dates("2024")[0], parse_dates("2025")[0])
+    assert (s.size.low, s.size.high, s.is_dir, s.paths, s.drives, s.names) == (1025, 2048, 1, ["x"], ["A"], ["*.mkv", "foo"])
+    assert (s.mtime.low, s.mtime.high) == (parse_dates("2024")[0], parse_dates("2025")[0])
+    for query in ("modified>=2024-06 modified:2024", "modified:2024 modified>=2024-06"):
+        assert parse_query(query).mtime == parse_query("modified>=2024-06 modified<=2024").mtime
+    assert split_terms("a\"b  c'd\" 'open end") == ["ab  c'd", "open end"] and split_terms("'' \"\"") == []
+    assert parse_query("size>=1KB size=2KB").size == parse_query("size=2KB").size
     for bad in ("", "  ", "size:GB", "color:red", "type:thing", "modified:2024-13", "modified:2024-02-31", ">=0B", ">-5GB"):
         with pytest.raises(QueryError):
             parse_query(bad)
 
 
-ROW = "drive_id long, snapshot_id long, idx int, is_latest boolean, id long, parent_id long, path_id long, rel_path string, is_dir int, size long, mtime double, partial_hash binary, full_hash binary, is_symlink int, error string, inode long, device long"
+ROW = "drive_id long, drive string, snapshot_id long, idx int, is_latest boolean, id long, parent_id long, path_id long, rel_path string, is_dir int, size long, mtime double, partial_hash binary, full_hash binary, is_symlink int, error string, inode long, device long"
 
 
 @pytest.fixture
@@ -99,6 +103,10 @@ def test_search_on_rows(make):
     assert rows_of(search(df, "path:'hd movies'"), "rel_path") == [("HD Movies/Filme Ção.mkv",)]
     assert rows_of(search(df, "type:dir stp"), "rel_path", "size") == [("STP", 0)]
     assert [r.rel_path for r in search(df, "*.mkv", limit=1).collect()] == ["HD Movies/Filme Ção.mkv"]
+    assert tuple(search_total(df, "*.mkv", 1).first()) == ("*.mkv", 2, True) and tuple(search_total(df, "*.mkv", 2).first())[1:] == (2, False)
+    two = make(file("a.txt", 5, drive="Atlas-01"), file("b.txt", 5, drive_id=2, drive="Vault"), file("c.txt", 5, drive_id=3))
+    assert rows_of(search(two, 'drive:"atlas-01" *.txt'), "drive", "rel_path") == [("Atlas-01", "a.txt")]
+    assert rows_of(search(two, "drive:vault drive:atlas-01"), "rel_path") == [("a.txt",), ("b.txt",)]
 
 
 def test_file_groups_confirmed_or_not(make):
@@ -186,8 +194,9 @@ def test_entries_keep_rows_without_path_text(spark):
     e = spark.createDataFrame([(1, 1, 1, 7, None, 0, 5, None, None, None, 0, None, None, None, t, "x")], "id long, drive_id long, snapshot_id long, path_id long, parent_id long, is_dir int, size long, mtime double, partial_hash binary, full_hash binary, is_symlink int, error string, inode long, device long, loaded_at timestamp, rel_path string")
     s = spark.createDataFrame([(1, 1, "2024-01-01T00:00:00", "l")], "id long, drive_id long, taken_at string, label string")
     p = spark.createDataFrame([(7, None)], "id long, full_path string")
-    assert rows_of(all_entries(e, s, p, latest_only=True), "rel_path", "drive_id") == [("#7", 1)]
-    assert all_entries(e.where("false"), s, p).count() == 0
+    d = spark.createDataFrame([(1, "Vault"), (2, None)], "id long, label string")
+    assert rows_of(all_entries(e, s, p, d, latest_only=True), "rel_path", "drive_id", "drive") == [("#7", 1, "Vault")]
+    assert all_entries(e.where("false"), s, p, d).count() == 0
 
 
 def test_llm_is_used_by_nothing_else():

@@ -1,4 +1,5 @@
 import os
+import shlex
 import sqlite3
 from datetime import datetime
 
@@ -94,9 +95,11 @@ def test_exports(spark, tmp_path):
     assert [tuple(r) for r in spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).collect()] == [("1", 'a "q", b')]
     exports.write_json(df, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 1
-    exports.append_audit(tmp_path / "log", {"x": "ç"})
-    exports.append_audit(tmp_path / "no/such/log", {})
-    assert (tmp_path / "log").read_text(encoding="utf-8") == '{"x": "ç"}\n'
+    for outcome in ("ç", "moved"):
+        exports.append_audit(spark.createDataFrame([(1, outcome)], "id long, outcome string"), str(tmp_path / "log"))
+    assert {r.outcome for r in spark.read.json(str(tmp_path / "log")).where("logged_at is not null").collect()} == {"ç", "moved"}
+    (tmp_path / "file").write_text("")
+    exports.append_audit(spark.createDataFrame([(1,)], "id long"), str(tmp_path / "file/below"))
 
 
 NASTY = "IMG[1] o'brien $x `tick ção.bin"
@@ -119,7 +122,11 @@ def test_scripts_survive_nasty_names(tmp_path, spark):
     shell = exports.cleanup_script(plan, "E:/x", "E:/away", "delete", "powershell")
     assert "Remove-Item -LiteralPath 'E:/x/IMG[1] o''brien $x `tick ção.bin'" in shell
     items = [{"drive_id": 1, "path": NASTY}, {"drive_id": 1, "path": "b"}]
-    assert "'\\''brien" in exports.backup_script(items, {1: "/mnt/a"}, "/backup")
+    assert shlex.quote(NASTY) in exports.backup_script(items, {1: "/mnt/a"}, "/backup")
+    assert "drive 1 isn't mounted: 2 files" in exports.backup_script(items, {}, "/backup")
+    copied = exports.backup_script([*items, {"drive_id": 1, "path": "x/100%.txt"}], {1: "E:/"}, "F:/b", tool="robocopy")
+    assert f'robocopy "E:\\" "F:\\b\\drive_1" "{NASTY}" "b" /COPY:DAT' in copied and '"E:\\x" "F:\\b\\drive_1\\x" "100%%.txt"' in copied
+    assert shell.startswith("\ufeff") and script.startswith("#!/usr/bin/env bash")
     for wrong in ({"action": "burn"}, {"shell": "fish"}):
         with pytest.raises(ValueError):
             exports.cleanup_script(plan, "", "", **wrong)
