@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.columns import ancestors, base_name, human_size, parent_path, tag_extension
 from shelfmark.operators.hierarchy import build_hierarchy
-from shelfmark.runtime import map_arrow, materialize
+from shelfmark.runtime import drop_materialized, map_arrow, materialize, write_scratch
 
-#: Children that are hashed in one task, folder after folder, instead of in rounds.
-FINISH_ROWS = 2_000_000
+#: Rows of a whole subtree that one task hashes at most, folder after folder.
+BLOCK_ROWS = 200_000
 
 # The default tags and the extensions that give them, in order of precedence.
 TAG_RULES = {
@@ -105,22 +105,27 @@ def auto_tags(latest: DataFrame, rules: dict[str, str] = TAG_RULES) -> DataFrame
 def _digest(algorithm: str):
     """Digests of runs of children in order; a folder of any size takes no more memory than a batch.
 
-    Folders of earlier runs are looked up among the digests made so far in the same
-    task; a child without a hash leaves its folder without one.
+    Folders of earlier runs of the same block are looked up among the digests made so
+    far; a child without a hash leaves its folder without one.
     """
 
+    def fresh():
+        return hashlib.blake2b(digest_size=32) if algorithm == "blake2b" else hashlib.new(algorithm)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: dict[int, bytes] = {}
-        at, h = None, None
+        block, at, h = None, None, None
         for batch in batches:
             ids, out = [], []
-            for parent, name, kid, is_dir, digest in zip(*(batch[c].to_pylist() for c in ("parent_id", "name", "id", "is_dir", "hash"))):
+            for own, parent, name, kid, is_dir, digest in zip(*(batch[c].to_pylist() for c in ("block", "parent_id", "name", "id", "is_dir", "hash"))):
                 if parent != at:
                     if h is not None:
                         done[at] = h.digest()
                         ids.append(at)
                         out.append(done[at])
-                    at, h = parent, hashlib.blake2b(digest_size=32) if algorithm == "blake2b" else hashlib.new(algorithm)
+                    at, h = parent, fresh()
+                    if own != block:
+                        block, done = own, {}
                 if h is None:
                     continue
                 if is_dir and digest is None:
@@ -136,29 +141,48 @@ def _digest(algorithm: str):
     return run
 
 
-def folder_hashes(rows: DataFrame, algorithm: str = "blake2b", finish_rows: int = FINISH_ROWS) -> DataFrame:
+def _blocks(rows: DataFrame, block_rows: int) -> DataFrame:
+    """(parent_id, level, block) of the folders that aren't on cycles.
+
+    ``block`` is the topmost folder above (or the folder itself) whose whole subtree
+    has at most ``block_rows`` rows; null for folders with more.
+    """
+    tree = materialize(build_hierarchy(rows.where("is_dir = 1"), "id", "parent_id", chains=True).where("chain is not null").select("id", "level", "chain"), "folder-tree")
+    held = rows.groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    lines = materialize(tree.select("id", F.posexplode("chain").alias("at", "above")), "folder-lines")
+    small = lines.join(held, "id").groupBy("above").agg(F.sum("n").alias("n")).where(F.col("n") <= block_rows).select("above")
+    tops = lines.join(small, "above").groupBy("id").agg(F.min(F.struct("at", "above")).alias("top"))
+    return tree.join(tops, "id", "left").select(F.col("id").alias("parent_id"), "level", F.col("top.above").alias("block"))
+
+
+def folder_hashes(rows: DataFrame, algorithm: str = "blake2b", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, hash) of folders from names and hashes of all that is below, bottom up.
 
     ``rows``: id, parent_id, name, is_dir, hash (files'). Children go in order of
     name (then id), each as kind, name and hash. A folder without children, or with
     one that has no hash, has none and isn't in the result; nor are folders on
-    cycles. The folders' rounds come from peeling the folder tree. Round by round,
-    all executors hash the folders whose subfolders are done; up to ``finish_rows``
-    rows are hashed in one task. A null name counts as empty, a null id as no row.
+    cycles. Whole subtrees of at most ``block_rows`` rows are hashed by one task each,
+    the deepest folders first; the folders above them follow level by level, on all
+    executors. A null name counts as empty, a null id as no row.
     """
     rows = rows.where("id is not null").select("id", "parent_id", F.coalesce("name", F.lit("")).alias("name"), F.col("is_dir").cast("int").alias("is_dir"), "hash")
-    tree = build_hierarchy(rows.where("is_dir = 1"), "id", "parent_id").where("peeled >= 0").select(F.col("id").alias("parent_id"), F.col("peeled").alias("round"))
-    kids = materialize(rows.withColumn("hash", F.when(F.col("is_dir") == 0, F.col("hash"))).join(tree, "parent_id"), "merkle-kids")
-    schema, order = "id long, hash binary", ("round", "parent_id", "name", "id")
-    if kids.count() <= finish_rows:
-        return map_arrow(kids.repartition(1).sortWithinPartitions(*order), _digest(algorithm), schema)
-    known = rows.sparkSession.createDataFrame([], schema)
-    for r in range((kids.agg(F.max("round")).first()[0] or 0) + 1):
-        now = kids.where(F.col("round") == r)
-        folders = now.where("is_dir = 1").drop("hash").join(known, "id", "left").select(*now.columns)
-        parts = now.where("is_dir = 0").unionByName(folders).repartition("parent_id").sortWithinPartitions(*order)
-        known = known.unionByName(materialize(map_arrow(parts, _digest(algorithm), schema), f"merkle-{r}"))
-    return known
+    rows = materialize(rows.withColumn("hash", F.when(F.col("is_dir") == 0, F.col("hash"))), "merkle-rows")
+    kids = materialize(rows.join(_blocks(rows, block_rows), "parent_id"), "merkle-kids")
+    schema, order = "id long, hash binary", [F.col("block"), F.desc("level"), F.col("parent_id"), F.col("name"), F.col("id")]
+
+    def hashed(parts: DataFrame, by: str, label: str) -> str:
+        return write_scratch(map_arrow(parts.repartition(by).sortWithinPartitions(*order), _digest(algorithm), schema), label)
+
+    written = [hashed(kids.where("block is not null"), "block", "merkle-blocks")]
+    upper = kids.where("block is null")
+    top = upper.agg(F.max("level")).first()[0]
+    for level in range(-1 if top is None else top, -1, -1):
+        known = rows.sparkSession.read.schema(schema).parquet(*written)
+        now = upper.where(F.col("level") == level)
+        subfolders = now.where("is_dir = 1").drop("hash").join(known, "id", "left").select(*now.columns)
+        written.append(hashed(now.where("is_dir = 0").unionByName(subfolders), "parent_id", f"merkle-{level}"))
+    drop_materialized(kids)
+    return rows.sparkSession.read.schema(schema).parquet(*written)
 
 
 def linked_rows(latest: DataFrame, entries: DataFrame, paths: DataFrame) -> DataFrame:

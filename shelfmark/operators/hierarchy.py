@@ -1,242 +1,206 @@
 """Parent-child links to full hierarchies: bottom-up leaf peeling, then reverse assignment.
 
-Each round peels the nodes without remaining children and sends their subtree
-sizes to their parents. In reverse order of peeling, parents hand down path,
-depth and root. Nodes that are never peeled lie on cycles.
+Each round peels the nodes without remaining children, which send the sizes of
+their subtrees to their parents. It also takes out, of every chain of nodes with
+one remaining child, some that aren't next to each other, and joins their child
+to their parent; so the number of rounds grows with the logarithm of the number of
+nodes, even where the tree is one long chain. In reverse order of peeling, each
+node takes depth, root and path from the node it hung on when it left. What is
+never peeled are cycles, each shrunk to one node that is its own parent.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from shelfmark.runtime import map_arrow, materialize
 
-#: Rounds run as joins over all executors while more inner nodes than this
-#: remain; the rest, bounded by it, is peeled to the end in one task.
-FINISH_NODES = 1_000_000
+from shelfmark.runtime import drop_materialized, materialize, side_by_side, write_scratch
 
 SOUND, CYCLE, ORPHAN, BELOW = "sound", "cycle", "orphan", "below"
 
-_INNER = T.StructType(
-    [
-        T.StructField("id", T.LongType()),
-        T.StructField("parent", T.LongType()),
-        T.StructField("peeled", T.IntegerType()),
-        T.StructField("below_n", T.LongType()),
-        T.StructField("state", T.StringType()),
-        T.StructField("depth", T.IntegerType()),
-        T.StructField("root", T.LongType()),
-        T.StructField("path", T.StringType()),
-        T.StructField("chain", T.ArrayType(T.LongType())),
-    ]
-)
-
-
-def _peel(ids: np.ndarray, parents: np.ndarray, has_parent: np.ndarray, weight: np.ndarray):
-    """Rounds, subtree sizes and parents' positions of one bounded set of nodes.
-
-    A parent's position is -1 without a parent and -2 where the parent isn't there.
-    """
-    order = np.argsort(ids, kind="stable")
-    at = np.searchsorted(ids, parents, sorter=order)
-    up = order[np.minimum(at, len(ids) - 1)] if len(ids) else at
-    up = np.where(has_parent, np.where(ids[up] == parents, up, -2), -1)
-    waiting = np.bincount(up[up >= 0], minlength=len(ids))
-    size, rounds = weight.astype(np.int64), np.full(len(ids), -1, np.int32)
-    front, r = np.flatnonzero(waiting == 0), 0
-    while len(front):
-        rounds[front] = r
-        to = up[front]
-        sends, to = front[to >= 0], to[to >= 0]
-        np.add.at(size, to, size[sends] + 1)
-        np.subtract.at(waiting, to, 1)
-        front = np.unique(to[waiting[to] == 0])
-        front, r = front[rounds[front] < 0], r + 1
-    return rounds, size, up
-
-
-def _finish(sep: str, with_paths: bool, first_round: int):
-    """Peels what is left in one task and assigns it in reverse order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        ids = table["id"].to_numpy()
-        parent = table["parent"].combine_chunks()
-        has_parent = parent.is_valid().to_numpy(zero_copy_only=False)
-        parents = parent.fill_null(0).to_numpy(zero_copy_only=False)
-        rounds, size, up = _peel(ids, parents, has_parent, table["below_n"].to_numpy())
-        names = table["segment"].to_pylist()
-        n = len(ids)
-        # States come down from the parents: each goes after the node above it.
-        state, depth, root = np.zeros(n, np.int8), np.zeros(n, np.int32), ids.copy()
-        state[rounds < 0] = 1
-        state[up == -2] = 2
-        sequence = np.argsort(-rounds, kind="stable")
-        sequence = sequence[rounds[sequence] >= 0]
-        for r in np.unique(rounds[sequence])[::-1]:
-            level = sequence[rounds[sequence] == r]
-            level = level[up[level] >= 0]
-            above = up[level]
-            state[level] = np.where(state[above] == 0, 0, 3)
-            depth[level] = depth[above] + 1
-            root[level] = root[above]
-        labels = np.array([SOUND, CYCLE, ORPHAN, BELOW], object)
-        for start in range(0, n, 10_000):
-            some = range(start, min(n, start + 10_000))
-            chains, paths = [], []
-            for i in some:
-                if state[i]:
-                    chains.append(None)
-                    paths.append(None)
-                    continue
-                line = [i]
-                while up[line[-1]] >= 0:
-                    line.append(int(up[line[-1]]))
-                line.reverse()
-                chains.append([int(ids[k]) for k in line])
-                parts = [names[k] for k in line] if with_paths else [None]
-                paths.append(None if None in parts else sep.join(parts))
-            s = slice(start, start + 10_000)
-            ok = state[s] == 0
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids[s], pa.int64()),
-                    parent[s],
-                    pa.array(np.where(rounds[s] < 0, -1, rounds[s] + first_round), pa.int32()),
-                    pa.array(size[s], pa.int64(), mask=rounds[s] < 0),
-                    pa.array(labels[state[s]].tolist(), pa.string()),
-                    pa.array(depth[s], pa.int32(), mask=~ok),
-                    pa.array(root[s], pa.int64(), mask=~ok),
-                    pa.array(paths, pa.string()),
-                    pa.array(chains, pa.list_(pa.int64())),
-                ],
-                names=_INNER.fieldNames(),
-            )
-
-    return run
-
-
-def build_hierarchy(
-    rows: DataFrame,
-    id_col: str = "id",
-    parent_col: str = "parent_id",
-    name_col: str | None = None,
-    sep: str = "/",
-    finish_nodes: int = FINISH_NODES,
-) -> DataFrame:
-    """One row per node: id, parent, peeled, below_n, state, depth, root, path, chain.
-
-    ``peeled`` is the round a node was peeled in (-1 on a cycle); ``below_n`` the
-    number of its descendants (null on a cycle); ``state`` is 'sound', 'cycle' (on
-    a circle of parents, also of itself), 'orphan' (its parent doesn't exist) or
-    'below' (the chain of parents reaches such a node). Sound nodes have depth
-    (0 for roots), root, path (``name_col`` joined from the root; null if a name
-    on the way is null) and chain (ids from the root to the node). The list of a
-    node's descendants is not kept in one row, where a root's could hold most of
-    the table: :func:`descendants` gives it as rows.
+#: How a node left: as a leaf, out of a chain, or not yet.
+_LEAF, _LINK, _STAYS = 0, 1, 2
 
-    A null parent makes a root; a row with a null id is no node and is left out;
-    rows with the same id are one node with the smallest (parent, name).
-    """
-    name = F.col(name_col).cast("string") if name_col else F.lit(None).cast("string")
-    nodes = (
-        rows.select(F.col(id_col).cast("long").alias("id"), F.col(parent_col).cast("long").alias("parent"), name.alias("segment"))
-        .where("id is not null")
-        .groupBy("id")
-        .agg(F.min(F.struct("parent", "segment")).alias("v"))
-        .select("id", "v.parent", "v.segment")
-    )
-    # Round 0: nodes that are nobody's parent. They only send the number 1, which is counted before the shuffle.
-    children = nodes.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("kids"))
-    inner = materialize(nodes.join(children, "id").select("id", "parent", "segment", "kids"), "inner-0")
-    layers: list[DataFrame] = []
-    done = 0
-    # Inner nodes: below_n collects the subtree sizes sent so far.
-    grown = inner.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("waiting"))
-    left = inner.join(grown, "id", "left").select(
-        "id", "parent", "segment", F.coalesce("waiting", F.lit(0)).alias("waiting"), (F.col("kids") - F.coalesce("waiting", F.lit(0))).alias("below_n")
+
+def _nodes(rows: DataFrame, id_col: str, parent_col: str, name_col: str | None) -> DataFrame:
+    """(id, parent, segment), one row per id: that with the smallest parent, then name; nulls are smallest."""
+    given = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(parent_col).cast("long").alias("parent"), *([F.col(name_col).cast("string").alias("segment")] if name_col else []))
+    if name_col:
+        return given.groupBy("id").agg(F.min(F.struct("parent", "segment")).alias("v")).select("id", "v.parent", "v.segment")
+    # Two numbers instead of a struct: a hash aggregation without a sort.
+    one = given.groupBy("id").agg(F.min("parent").alias("least"), F.count("parent").alias("given"), F.count(F.lit(1)).alias("n"))
+    return one.select("id", F.when(F.col("given") == F.col("n"), F.col("least")).alias("parent"), F.lit(None).cast("string").alias("segment"))
+
+
+def _joined(sep: str, *names: str | Column) -> Column:
+    """Names with ``sep`` between them; null where one is null."""
+    parts: list[Column] = [F.lit(sep)] * (2 * len(names) - 1)
+    parts[::2] = [F.col(n) if isinstance(n, str) else n for n in names]
+    return F.concat(*parts)
+
+
+def _peel(live: DataFrame, turn: int) -> DataFrame:
+    """``live`` after its leaves have sent their sizes, with ``how`` each node leaves in this round."""
+    leaf = F.col("kids") == 0
+    sent = live.where(leaf & F.col("up").isNotNull()).groupBy(F.col("up").alias("to")).agg(
+        F.count(F.lit(1)).alias("n_gone"), F.sum(F.col("below_n") + 1).alias("got"), F.bit_xor("id").alias("gone")
+    )
+    none = F.lit(0).cast("long")
+    left = live.join(sent, F.col("id") == F.col("to"), "left").select(
+        *[c for c in live.columns if c not in ("kids", "kid", "below_n")],
+        leaf.alias("was_leaf"),
+        (F.col("kids") - F.coalesce("n_gone", none)).alias("kids"),
+        F.col("kid").bitwiseXOR(F.coalesce("gone", none)).alias("kid"),
+        (F.col("below_n") + F.coalesce("got", none)).alias("below_n"),
     )
-    left = materialize(left, "left-0")
-    while True:
-        remaining = left.count()
-        if remaining <= finish_nodes:
-            break
-        front = left.where("waiting = 0")
-        if front.isEmpty():
-            break
-        done += 1
-        layers.append(front.select("id", "parent", "segment", "below_n", F.lit(done).alias("peeled")))
-        sent = front.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("below_n") + 1).alias("got"))
-        left = materialize(
-            left.where("waiting > 0")
-            .join(sent, "id", "left")
-            .select("id", "parent", "segment", (F.col("waiting") - F.coalesce("n", F.lit(0))).alias("waiting"), (F.col("below_n") + F.coalesce("got", F.lit(0))).alias("below_n")),
-            f"left-{done}",
+    link = (F.col("kids") == 1) & ~F.col("top") & (F.col("up") != F.col("id"))
+    # A node whose number of this round is above those of both neighbours leaves; so no two neighbours do.
+    number = {c: F.xxhash64(F.lit(turn), c) for c in ("id", "up", "kid")}
+    highest = (number["id"] > number["up"]) & (number["id"] > number["kid"])
+    return left.withColumn("link", ~F.col("was_leaf") & link).withColumn("how", F.when(F.col("was_leaf"), _LEAF).when(F.col("link") & highest, _LINK).otherwise(_STAYS)).drop("was_leaf")
+
+
+def _close(peeled: DataFrame, sep: str, chains: bool) -> DataFrame:
+    """The nodes that stay, with the gaps that links have left closed.
+
+    A link sends its child the way to its parent, and its parent the child, itself
+    and what it holds below.
+    """
+    links = peeled.where(F.col("how") == _LINK)
+    between = [F.concat("between", F.array("id")).alias("between")] if chains else []
+    way = F.struct("up", "gap", "name", *between)
+    none = F.lit(0).cast("long")
+    down = links.select(F.col("kid").alias("to"), way.alias("way"), none.alias("got"), none.alias("swap"))
+    upward = links.select(F.col("up").alias("to"), F.when(F.lit(False), way).alias("way"), (F.col("below_n") + 1).alias("got"), F.col("id").bitwiseXOR(F.col("kid")).alias("swap"))
+    told = down.unionByName(upward).groupBy("to").agg(F.max("way").alias("way"), F.sum("got").alias("got"), F.bit_xor("swap").alias("swap"))
+    moved = F.col("way").isNotNull()
+    return (
+        peeled.where(F.col("how") == _STAYS)
+        .join(told, F.col("id") == F.col("to"), "left")
+        .select(
+            "id", "parent", "top", "kids",
+            F.coalesce("way.up", "up").alias("up"),
+            (F.col("gap") + F.coalesce("way.gap", F.lit(0))).alias("gap"),
+            F.when(moved, _joined(sep, "way.name", "name")).otherwise(F.col("name")).alias("name"),
+            *([F.when(moved, F.concat("way.between", "between")).otherwise(F.col("between")).alias("between")] if chains else []),
+            F.col("kid").bitwiseXOR(F.coalesce("swap", none)).alias("kid"),
+            (F.col("below_n") + F.coalesce("got", none)).alias("below_n"),
         )
-    if remaining <= finish_nodes:
-        known = map_arrow(left.coalesce(1), _finish(sep, name_col is not None, done + 1), _INNER)
-    else:
-        # Only cycles are left, and too many for one task.
-        known = left.select(
-            "id", "parent", F.lit(-1).alias("peeled"), F.lit(None).cast("long").alias("below_n"), F.lit(CYCLE).alias("state"), F.lit(None).cast("int").alias("depth"),
-            F.lit(None).cast("long").alias("root"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("array<bigint>").alias("chain"),
-        )
-    known = materialize(known, "known")
-    parts = [known]
-    for layer in reversed(layers):
-        part = materialize(_assign(layer, _all(parts), sep), "assigned")
-        parts.append(part)
-    above = _all(parts)
-    leaves = nodes.join(inner.select("id"), "id", "left_anti").select("id", "parent", "segment", F.lit(0).cast("long").alias("below_n"), F.lit(0).alias("peeled"))
-    return above.unionByName(_assign(leaves, above, sep))
-
-
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _assign(layer: DataFrame, above: DataFrame, sep: str) -> DataFrame:
-    """What a layer of nodes takes over from the nodes above them."""
-    up = above.select(
-        F.col("id").alias("parent"), F.col("state").alias("u_state"), F.col("depth").alias("u_depth"),
-        F.col("root").alias("u_root"), F.col("path").alias("u_path"), F.col("chain").alias("u_chain"),
     )
-    j = layer.join(up, "parent", "left")
-    state = (
-        F.when(F.col("parent").isNull(), SOUND)
-        .when(F.col("u_state").isNull(), ORPHAN)
-        .when(F.col("u_state") == SOUND, SOUND)
-        .otherwise(BELOW)
-    )
-    is_root, ok = F.col("parent").isNull(), F.col("u_state") == SOUND
+
+
+def _assign(layer: DataFrame, above: DataFrame, sep: str, chains: bool) -> DataFrame:
+    """What leaves and links take over from the node they hung on, and links from their child.
+
+    ``layer``: id, parent, up, gap, name, below_n, and for links kid (else null).
+    """
+    has = ["chain"] if chains else []
+    up = above.select(F.col("id").alias("up"), *[F.col(c).alias(f"u_{c}") for c in ("state", "depth", "level", "root", "path", *has)])
+    j = layer.join(up, "up", "left")
+    is_root, sound = F.col("parent").isNull(), F.col("u_state") == SOUND
+    state = F.when(is_root, SOUND).when(F.col("u_state").isNull(), ORPHAN).when(sound, SOUND).otherwise(BELOW)
+    below_n = F.col("below_n")
+    if "kid" in layer.columns:
+        j = j.join(above.select(F.col("id").alias("kid"), F.col("state").alias("k_state"), F.col("below_n").alias("k_below")), "kid")
+        # What hangs on a cycle isn't on it; a link of a cycle is, as its child is.
+        state = F.when(F.col("k_state") == CYCLE, CYCLE).otherwise(state)
+        below_n = F.when(F.col("k_state") != CYCLE, below_n + F.col("k_below") + 1)
     me = F.array(F.col("id"))
     return j.select(
         "id",
         "parent",
-        F.col("peeled").cast("int").alias("peeled"),
-        "below_n",
+        below_n.alias("below_n"),
         state.alias("state"),
-        F.when(is_root, F.lit(0)).when(ok, F.col("u_depth") + 1).cast("int").alias("depth"),
-        F.when(is_root, F.col("id")).when(ok, F.col("u_root")).alias("root"),
-        F.when(is_root, F.col("segment")).when(ok, F.concat("u_path", F.lit(sep), "segment")).alias("path"),
-        F.when(is_root, me).when(ok, F.concat("u_chain", me)).alias("chain"),
+        F.when(is_root, F.lit(0)).when(sound, F.col("u_depth") + F.col("gap")).cast("int").alias("depth"),
+        F.when(state == CYCLE, F.lit(0)).otherwise(F.coalesce(F.col("u_level") + F.col("gap"), F.lit(0))).cast("int").alias("level"),
+        F.when(is_root, F.col("id")).when(sound, F.col("u_root")).alias("root"),
+        F.when(is_root, F.col("name")).when(sound, _joined(sep, "u_path", "name")).alias("path"),
+        *([F.when(state != CYCLE, F.concat(F.coalesce("u_chain", F.array().cast("array<bigint>")), "between", me)).alias("chain")] if chains else []),
     )
 
 
+def _inner_nodes(nodes: DataFrame, sep: str, chains: bool) -> tuple[DataFrame, DataFrame]:
+    """The nodes that have children, assigned; and the ids that are parents but no nodes."""
+    counted = nodes.where("parent is not null").groupBy(F.col("parent").alias("named")).agg(F.count(F.lit(1)).alias("below_n"))
+    parents = materialize(counted.join(nodes, F.col("named") == F.col("id"), "left"), "parents")
+    missing = materialize(parents.where("id is null").select(F.col("named").alias("id")), "missing")
+    inner = parents.where("id is not null").drop("named")
+    kids = inner.where("parent is not null").groupBy(F.col("parent").alias("to")).agg(F.count(F.lit(1)).alias("kids"), F.bit_xor("id").alias("kid"))
+    lost = missing.select(F.col("id").alias("lost"))
+    live = inner.join(kids, F.col("id") == F.col("to"), "left").join(lost, F.col("parent") == F.col("lost"), "left").select(
+        "id", "parent", (F.col("parent").isNull() | F.col("lost").isNotNull()).alias("top"),
+        F.coalesce("kids", F.lit(0)).cast("long").alias("kids"), F.col("parent").alias("up"), F.lit(1).alias("gap"), F.col("segment").alias("name"),
+        *([F.array().cast("array<bigint>").alias("between")] if chains else []),
+        F.coalesce("kid", F.lit(0)).cast("long").alias("kid"),
+        # Children without children of their own are counted from the start.
+        (F.col("below_n") - F.coalesce("kids", F.lit(0))).alias("below_n"),
+    )
+    rounds: list[DataFrame] = []
+    while True:
+        leaving = Observation()
+        peeled = _peel(live, len(rounds)).observe(leaving, F.count_if((F.col("how") != _STAYS) | F.col("link")).alias("n"))
+        peeled = materialize(peeled, f"peeled-{len(rounds)}")
+        rounds.append(peeled)
+        if not leaving.get["n"]:
+            break
+        live = _close(peeled, sep, chains)
+    null = F.lit(None)
+    above = rounds[-1].select(
+        "id", "parent", null.cast("long").alias("below_n"), F.lit(CYCLE).alias("state"), null.cast("int").alias("depth"), F.lit(0).alias("level"), null.cast("long").alias("root"),
+        null.cast("string").alias("path"), *([null.cast("array<bigint>").alias("chain")] if chains else []),
+    )
+    written = [write_scratch(above, "cycles")]
+    reader = above.sparkSession.read.schema(above.schema)
+    for turn, peeled in reversed(list(enumerate(rounds[:-1]))):
+        above = reader.parquet(*written)
+        links = _assign(peeled.where(F.col("how") == _LINK), above, sep, chains)
+        leaves = _assign(peeled.where(F.col("how") == _LEAF).drop("kid"), above.unionByName(links), sep, chains)
+        written.append(write_scratch(links.unionByName(leaves), f"assigned-{turn}"))
+    drop_materialized(parents, *rounds)
+    return reader.parquet(*written), missing
+
+
+def build_hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id", name_col: str | None = None, sep: str = "/", chains: bool = False) -> DataFrame:
+    """One row per node: id, parent, below_n, state, depth, level, root, path (and chain).
+
+    ``below_n`` is the number of a node's descendants (null on a cycle); ``state``
+    is 'sound', 'cycle' (on a circle of parents, also of itself), 'orphan' (its
+    parent doesn't exist) or 'below' (the chain of parents reaches such a node).
+    Sound nodes have depth (0 for roots), root, path (``name_col`` joined from the
+    root; null if a name on the way is null). ``level`` is the distance from the
+    root, orphan or cycle above; with ``chains``, ``chain`` has the ids from there (a
+    cycle's not) to the node, and is null on a cycle. The list of a node's descendants is not kept in one row, where a root's
+    could hold most of the table: :func:`descendants` gives it as rows.
+
+    A null parent makes a root; a row with a null id is no node and is left out;
+    rows with the same id are one node with the smallest (parent, name). Other
+    columns, whatever their names, don't matter. No rows give no rows.
+    """
+    nodes = _nodes(rows, id_col, parent_col, name_col)
+    above, _ = _inner_nodes(nodes, sep, chains)
+    leaves = nodes.join(above.select("id"), "id", "left_anti").select(
+        "id", "parent", F.col("parent").alias("up"), F.lit(1).alias("gap"), F.col("segment").alias("name"), F.lit(0).cast("long").alias("below_n"),
+        *([F.array().cast("array<bigint>").alias("between")] if chains else []),
+    )
+    return above.unionByName(_assign(leaves, above, sep, chains))
+
+
+def broken_links(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
+    """(id, state) of the nodes of :func:`build_hierarchy` that aren't sound.
+
+    Nodes without children are only held against the parents that are missing or
+    not sound, which are few where most links are sound.
+    """
+    nodes = _nodes(rows, id_col, parent_col, None)
+    inner, missing = _inner_nodes(nodes, "/", False)
+    bad = materialize(inner.where(F.col("state") != SOUND).select("id", "state"), "broken")
+    parents = bad.select(F.col("id").alias("parent"), F.lit(BELOW).alias("state")).unionByName(missing.select(F.col("id").alias("parent"), F.lit(ORPHAN).alias("state")))
+    leaves = nodes.join(parents, "parent").join(bad.select("id"), "id", "left_anti")
+    return bad.unionByName(leaves.select("id", "state"))
+
+
 def descendants(hierarchy: DataFrame) -> DataFrame:
-    """(ancestor, descendant, distance) of all sound nodes, a row for each pair."""
+    """(ancestor, descendant, distance) of all sound nodes, a row for each pair; needs ``chain``."""
     return (
         hierarchy.where("state = 'sound' and depth > 0")
         .select(F.col("id").alias("descendant"), "depth", F.posexplode(F.slice("chain", 1, F.col("depth"))).alias("at", "ancestor"))
@@ -244,18 +208,17 @@ def descendants(hierarchy: DataFrame) -> DataFrame:
     )
 
 
-def link_defects(paths: DataFrame, entries: DataFrame, finish_nodes: int = FINISH_NODES) -> DataFrame:
+def link_defects(paths: DataFrame, entries: DataFrame) -> DataFrame:
     """(src, node_id, defect) of the links of ``paths`` and ``entries_core``.
 
     'cycle', 'orphan' and 'below' as in :func:`build_hierarchy`; 'stale_path' for
     sound paths whose full_path isn't null and differs from the names of the chain.
     """
-
-    def broken(tree: DataFrame, src: str) -> DataFrame:
-        return tree.where("state <> 'sound'").select(F.lit(src).alias("src"), F.col("id").alias("node_id"), F.col("state").alias("defect"))
-
-    tree = build_hierarchy(paths, "id", "parent_id", "segment", finish_nodes=finish_nodes)
-    tree = materialize(tree.select("id", "state", "path"), "path-tree")
+    tree, entry_links = side_by_side(
+        paths.sparkSession,
+        lambda: materialize(build_hierarchy(paths, "id", "parent_id", "segment").select("id", "state", "path"), "path-tree"),
+        lambda: broken_links(entries),
+    )
     stored = paths.where("id is not null and full_path is not null").select("id", "full_path")
     stale = (
         tree.where("state = 'sound' and path is not null")
@@ -264,5 +227,8 @@ def link_defects(paths: DataFrame, entries: DataFrame, finish_nodes: int = FINIS
         .select(F.lit("paths").alias("src"), F.col("id").alias("node_id"), F.lit("stale_path").alias("defect"))
         .distinct()
     )
-    links = build_hierarchy(entries, "id", "parent_id", finish_nodes=finish_nodes)
-    return broken(tree, "paths").unionByName(stale).unionByName(broken(links, "entries_core"))
+
+    def named(broken: DataFrame, src: str) -> DataFrame:
+        return broken.select(F.lit(src).alias("src"), F.col("id").alias("node_id"), F.col("state").alias("defect"))
+
+    return named(tree.where(F.col("state") != SOUND), "paths").unionByName(stale).unionByName(named(entry_links, "entries_core"))

@@ -60,7 +60,7 @@ def p6_path_tree(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_descendants(spark: SparkSession, folder: str) -> DataFrame:
     (paths,) = _tables(spark, folder, "paths")
-    return descendants(build_hierarchy(paths, "id", "parent_id", "segment"))
+    return descendants(build_hierarchy(paths, "id", "parent_id", "segment", chains=True))
 
 
 CURRENT = """cur AS (

@@ -9,14 +9,18 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
+from threading import Lock
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _scratch: dict[str, str] = {}
 _shipped: set[str] = set()
+_lock = Lock()
 
 
 def get_session(app: str = "shelfmark", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -41,16 +45,20 @@ def scratch_dir(spark: SparkSession) -> str:
     temporary folder; elsewhere a missing setting is an error.
     """
     app = spark.sparkContext.applicationId
-    if app not in _scratch:
-        base = spark.conf.get(_CHECKPOINT_KEY, None)
-        if not base:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError(f"{_CHECKPOINT_KEY} must name a folder that all executors share")
-            base = tempfile.mkdtemp(prefix="shelfmark-")
-        path = f"{base.rstrip('/')}/shelfmark-{uuid.uuid4().hex}"
-        _scratch[app] = path
-        atexit.register(_remove, spark, path)
-    return _scratch[app]
+    with _lock:
+        return _scratch[app] if app in _scratch else _new_scratch_dir(spark, app)
+
+
+def _new_scratch_dir(spark: SparkSession, app: str) -> str:
+    base = spark.conf.get(_CHECKPOINT_KEY, None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{_CHECKPOINT_KEY} must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="shelfmark-")
+    path = f"{base.rstrip('/')}/shelfmark-{uuid.uuid4().hex}"
+    _scratch[app] = path
+    atexit.register(_remove, spark, path)
+    return path
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -65,16 +73,21 @@ def _remove(spark: SparkSession, path: str) -> None:
             shutil.rmtree(path, ignore_errors=True)
 
 
+def write_scratch(df: DataFrame, label: str) -> str:
+    """Write ``df`` into the scratch folder and give its path."""
+    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the scratch folder and return a scan of it.
 
     The scan has a short lineage, fixed partitions, survives lost executors, and
     gives Catalyst the table's true size, from which it chooses its joins.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = write_scratch(df, label)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_materialized(*dfs: DataFrame) -> None:
@@ -117,3 +130,9 @@ def spread_scan(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def side_by_side(spark: SparkSession, *tasks: Callable[[], DataFrame]) -> list[DataFrame]:
+    """The results of independent chains of small jobs, run at the same time."""
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(t)) for t in tasks]]

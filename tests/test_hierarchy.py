@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from shelfmark.operators.hierarchy import build_hierarchy, descendants, link_defects
+from shelfmark.operators.hierarchy import broken_links, build_hierarchy, descendants, link_defects
 
 SCHEMA = "id long, parent_id long, segment string, state string"
 
@@ -40,17 +40,18 @@ def forest(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("finish", [10**6, 20, 0])
-def test_matches_a_walk(spark, finish):
-    rows = forest(400 if finish > 20 else 120, finish) + [(None, 1, "n", "s"), (7, 3, "zz", "s"), (7, None, "zz", "s")]
-    got = {r.id: (r.state, r.depth, r.root, r.path) for r in build_hierarchy(spark.createDataFrame(rows, SCHEMA).repartition(5), name_col="segment", finish_nodes=finish).collect()}
+@pytest.mark.parametrize("seed", [10**6, 20, 0])
+def test_matches_a_walk(spark, seed):
+    rows = forest(400 if seed > 20 else 120, seed) + [(None, 1, "n", "s"), (7, 3, "zz", "s"), (7, None, "zz", "s")]
+    got = {r.id: (r.state, r.depth, r.root, r.path) for r in build_hierarchy(spark.createDataFrame(rows, SCHEMA).repartition(5), name_col="segment").collect()}
     assert got == model(rows)[0]
+    frame = spark.createDataFrame(rows, SCHEMA).drop("segment")
+    assert {(r.id, r.state) for r in broken_links(frame).collect()} == {(i, m[0]) for i, m in got.items() if m[0] != "sound"}
 
 
-@pytest.mark.parametrize("finish", [10**6, 0])
-def test_sizes_descendants_and_a_long_chain(spark, finish):
-    rows = [(i, i - 1 if i > 1 else None, f"d{i}", "s") for i in range(1, (300 if finish else 12))] + [(10_000 + i, 5, "leaf", "s") for i in range(50)]
-    tree = build_hierarchy(spark.createDataFrame(rows, SCHEMA), name_col="segment", finish_nodes=finish)
+def test_sizes_descendants_and_a_long_chain(spark):
+    rows = [(i, i - 1 if i > 1 else None, f"d{i}", "s") for i in range(1, 300)] + [(10_000 + i, 5, "leaf", "s") for i in range(50)]
+    tree = build_hierarchy(spark.createDataFrame(rows, SCHEMA), name_col="segment", chains=True)
     n = len(rows)
     below = {r.id: r.below_n for r in tree.collect()}
     assert below[1] == n - 1 and below[5] == n - 5 and below[10_000] == 0
@@ -58,6 +59,18 @@ def test_sizes_descendants_and_a_long_chain(spark, finish):
     assert len(pairs) == sum(below.values()) and pairs[(1, 5)] == 4 and pairs[(5, 10_007)] == 1
 
 
+def test_long_circles_with_chains_below_and_levels(spark):
+    ring = [(i, (i + 1) % 40, f"r{i}", "s") for i in range(40)]
+    tail = [(100 + i, 99 + i if i else 7, "t", "s") for i in range(30)]
+    stray = [(200 + i, 199 + i if i else 999, "o", "s") for i in range(30)]
+    got = {r.id: (r.state, r.level, r.below_n) for r in build_hierarchy(spark.createDataFrame(ring + tail + stray, SCHEMA)).collect()}
+    assert got == {
+        **{i: ("cycle", 0, None) for i in range(40)},
+        **{100 + i: ("below", i + 1, 29 - i) for i in range(30)},
+        **{200 + i: ("orphan" if i == 0 else "below", i, 29 - i) for i in range(30)},
+    }
+
+
 def test_defects_of_both_tables_and_empty_ones(spark):
     paths = spark.createDataFrame(
         [(1, None, "a", "a"), (2, 1, "b", "a/B"), (3, 1, "c", None), (4, 4, "d", "d"), (5, 4, "e", "x"), (6, 99, "f", "f"), (7, 6, "g", "g"), (8, 1, None, "a/h")],

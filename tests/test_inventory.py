@@ -168,15 +168,15 @@ def digest(*parts):
     return h.digest()
 
 
-@pytest.mark.parametrize("finish", [10**6, 0])
-def test_folder_hashes(spark, finish):
+@pytest.mark.parametrize("block", [10**6, 2, 0])
+def test_folder_hashes(spark, block):
     rows = [(1, None, "r", 1, None), (2, 1, "b", 1, None), (3, 1, "a", 0, b"1"), (4, 2, "f", 0, b"2"), (5, None, "s", 1, None), (6, 5, "open", 0, None), (7, None, "empty", 1, None),
             (8, 9, "x", 1, None), (9, 8, "y", 1, None), (10, None, "t", 1, None), (11, 10, "f", 0, b"2"), (12, 5, "deep", 1, None), (13, 12, "f", 0, b"2")]
     df = spark.createDataFrame(rows, "id long, parent_id long, name string, is_dir int, hash binary")
-    got = {r.id: bytes(r.hash) for r in folders.folder_hashes(df, finish_rows=finish).collect()}
+    got = {r.id: bytes(r.hash) for r in folders.folder_hashes(df, block_rows=block).collect()}
     leaf = digest(b"Ff", b"2")
     assert got == {2: leaf, 10: leaf, 12: leaf, 1: digest(b"Fa", b"1", b"Db", leaf)}
-    assert folders.folder_hashes(df.where("false"), finish_rows=finish).count() == 0
+    assert folders.folder_hashes(df.where("false"), block_rows=block).count() == 0
 
 
 def test_tags_reuse_and_verification(spark, make):
