@@ -1,9 +1,9 @@
 """Parent-child links to full hierarchies: bottom-up leaf peeling, then reverse assignment.
 
-Each round peels the nodes without remaining children, which send the sizes of
-their subtrees to their parents. It also takes out, of every chain of nodes with
-one remaining child, some that aren't next to each other, and joins their child
-to their parent; so the number of rounds grows with the logarithm of the number of
+Each round peels nodes without remaining children, which send the sizes of their
+subtrees to their parents. It also takes out, of every chain of nodes with one
+remaining child, some that aren't next to each other, and joins their child to
+their parent; so the number of rounds grows with the logarithm of the number of
 nodes, even where the tree is one long chain. In reverse order of peeling, each
 node takes depth, root and path from the node it hung on when it left. What is
 never peeled are cycles, each shrunk to one node that is its own parent.
@@ -14,99 +14,119 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from shelfmark.runtime import drop_materialized, materialize, side_by_side, write_scratch
+from shelfmark.runtime import drop_materialized, materialize, write_scratch
 
 SOUND, CYCLE, ORPHAN, BELOW = "sound", "cycle", "orphan", "below"
 
-#: How a node left: as a leaf, out of a chain, or not yet.
+#: How a node leaves in the round to come: as a leaf, out of a chain, or not.
 _LEAF, _LINK, _STAYS = 0, 1, 2
 
 
-def _nodes(rows: DataFrame, id_col: str, parent_col: str, name_col: str | None) -> DataFrame:
-    """(id, parent, segment), one row per id: that with the smallest parent, then name; nulls are smallest."""
-    given = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(parent_col).cast("long").alias("parent"), *([F.col(name_col).cast("string").alias("segment")] if name_col else []))
+def _zero() -> Column:
+    return F.lit(0).cast("long")
+
+
+def _no_ids() -> Column:
+    return F.array().cast("array<bigint>")
+
+
+def _nodes(rows: DataFrame, id_col: str, parent_col: str, name_col: str | None, tree: str | None) -> DataFrame:
+    """(tree, id, parent, segment), one row per tree and id: that with the smallest parent, then name; nulls are smallest."""
+    given = rows.where(F.col(id_col).isNotNull()).select(
+        F.lit(tree or "").alias("tree"), F.col(id_col).cast("long").alias("id"), F.col(parent_col).cast("long").alias("parent"),
+        *([F.col(name_col).cast("string").alias("segment")] if name_col else []),
+    )
     if name_col:
-        return given.groupBy("id").agg(F.min(F.struct("parent", "segment")).alias("v")).select("id", "v.parent", "v.segment")
+        return given.groupBy("tree", "id").agg(F.min(F.struct("parent", "segment")).alias("v")).select("tree", "id", "v.parent", "v.segment")
     # Two numbers instead of a struct: a hash aggregation without a sort.
-    one = given.groupBy("id").agg(F.min("parent").alias("least"), F.count("parent").alias("given"), F.count(F.lit(1)).alias("n"))
-    return one.select("id", F.when(F.col("given") == F.col("n"), F.col("least")).alias("parent"), F.lit(None).cast("string").alias("segment"))
+    one = given.groupBy("tree", "id").agg(F.min("parent").alias("least"), F.count("parent").alias("given"), F.count(F.lit(1)).alias("n"))
+    return one.select("tree", "id", F.when(F.col("given") == F.col("n"), F.col("least")).alias("parent"), F.lit(None).cast("string").alias("segment"))
 
 
-def _joined(sep: str, *names: str | Column) -> Column:
+def _joined(sep: str, *names: str) -> Column:
     """Names with ``sep`` between them; null where one is null."""
     parts: list[Column] = [F.lit(sep)] * (2 * len(names) - 1)
-    parts[::2] = [F.col(n) if isinstance(n, str) else n for n in names]
+    parts[::2] = map(F.col, names)
     return F.concat(*parts)
 
 
-def _peel(live: DataFrame, turn: int) -> DataFrame:
-    """``live`` after its leaves have sent their sizes, with ``how`` each node leaves in this round."""
+def _marked(live: DataFrame) -> DataFrame:
+    """``live`` with ``how`` each node leaves in the coming round, and ``open``: whether it could leave at all.
+
+    Every node has a number in each round. A leaf leaves where its number is above
+    its parent's, a link where it is above those of both neighbours; so no two
+    neighbours leave in the same round.
+    """
+    number = {c: F.xxhash64("turn", c) for c in ("id", "up", "kid")}
     leaf = F.col("kids") == 0
-    sent = live.where(leaf & F.col("up").isNotNull()).groupBy(F.col("up").alias("to")).agg(
-        F.count(F.lit(1)).alias("n_gone"), F.sum(F.col("below_n") + 1).alias("got"), F.bit_xor("id").alias("gone")
-    )
-    none = F.lit(0).cast("long")
-    left = live.join(sent, F.col("id") == F.col("to"), "left").select(
-        *[c for c in live.columns if c not in ("kids", "kid", "below_n")],
-        leaf.alias("was_leaf"),
-        (F.col("kids") - F.coalesce("n_gone", none)).alias("kids"),
-        F.col("kid").bitwiseXOR(F.coalesce("gone", none)).alias("kid"),
-        (F.col("below_n") + F.coalesce("got", none)).alias("below_n"),
-    )
     link = (F.col("kids") == 1) & ~F.col("top") & (F.col("up") != F.col("id"))
-    # A node whose number of this round is above those of both neighbours leaves; so no two neighbours do.
-    number = {c: F.xxhash64(F.lit(turn), c) for c in ("id", "up", "kid")}
-    highest = (number["id"] > number["up"]) & (number["id"] > number["kid"])
-    return left.withColumn("link", ~F.col("was_leaf") & link).withColumn("how", F.when(F.col("was_leaf"), _LEAF).when(F.col("link") & highest, _LINK).otherwise(_STAYS)).drop("was_leaf")
+    over_parent = number["id"] > number["up"]
+    how = F.when(leaf & (F.col("top") | over_parent), _LEAF).when(link & over_parent & (number["id"] > number["kid"]), _LINK).otherwise(_STAYS)
+    return live.withColumns({"how": how, "open": leaf | link})
 
 
-def _close(peeled: DataFrame, sep: str, chains: bool) -> DataFrame:
-    """The nodes that stay, with the gaps that links have left closed.
+def _next(marked: DataFrame, sep: str, chains: bool) -> DataFrame:
+    """The nodes that stay, after those that leave have told their neighbours.
 
-    A link sends its child the way to its parent, and its parent the child, itself
-    and what it holds below.
+    A leaf tells its parent its size. A link tells its parent its size so far and
+    which child takes its place, and its child the way to its parent.
     """
-    links = peeled.where(F.col("how") == _LINK)
+    leaf, link = F.col("how") == _LEAF, F.col("how") == _LINK
     between = [F.concat("between", F.array("id")).alias("between")] if chains else []
     way = F.struct("up", "gap", "name", *between)
-    none = F.lit(0).cast("long")
-    down = links.select(F.col("kid").alias("to"), way.alias("way"), none.alias("got"), none.alias("swap"))
-    upward = links.select(F.col("up").alias("to"), F.when(F.lit(False), way).alias("way"), (F.col("below_n") + 1).alias("got"), F.col("id").bitwiseXOR(F.col("kid")).alias("swap"))
-    told = down.unionByName(upward).groupBy("to").agg(F.max("way").alias("way"), F.sum("got").alias("got"), F.bit_xor("swap").alias("swap"))
+
+    def message(to: str, lost: Column, got: Column, swap: Column, way: Column) -> Column:
+        return F.struct(F.col(to).alias("id"), lost.cast("long").alias("lost"), got.cast("long").alias("got"), swap.alias("swap"), way.alias("way"))
+
+    up = message("up", F.when(leaf, 1).otherwise(0), F.col("below_n") + 1, F.when(leaf, F.col("id")).otherwise(F.col("id").bitwiseXOR(F.col("kid"))), F.when(F.lit(False), way))
+    down = F.when(link, message("kid", _zero(), _zero(), _zero(), way))
+    told = (
+        marked.where(leaf | link)
+        .select("tree", F.explode(F.array_compact(F.array(up, down))).alias("m"))
+        .groupBy("tree", F.col("m.id").alias("id"))
+        .agg(F.sum("m.lost").alias("lost"), F.sum("m.got").alias("got"), F.bit_xor("m.swap").alias("swap"), F.max("m.way").alias("way"))
+    )
     moved = F.col("way").isNotNull()
-    return (
-        peeled.where(F.col("how") == _STAYS)
-        .join(told, F.col("id") == F.col("to"), "left")
+    return _marked(
+        marked.where(F.col("how") == _STAYS)
+        .join(told, ["tree", "id"], "left")
         .select(
-            "id", "parent", "top", "kids",
+            "tree", "id", "parent", "top",
+            # As a column, since a new constant would be compiled anew in every round.
+            (F.col("turn") + 1).alias("turn"),
+            (F.col("kids") - F.coalesce("lost", _zero())).alias("kids"),
+            F.col("kid").bitwiseXOR(F.coalesce("swap", _zero())).alias("kid"),
+            (F.col("below_n") + F.coalesce("got", _zero())).alias("below_n"),
             F.coalesce("way.up", "up").alias("up"),
             (F.col("gap") + F.coalesce("way.gap", F.lit(0))).alias("gap"),
             F.when(moved, _joined(sep, "way.name", "name")).otherwise(F.col("name")).alias("name"),
             *([F.when(moved, F.concat("way.between", "between")).otherwise(F.col("between")).alias("between")] if chains else []),
-            F.col("kid").bitwiseXOR(F.coalesce("swap", none)).alias("kid"),
-            (F.col("below_n") + F.coalesce("got", none)).alias("below_n"),
         )
     )
 
 
 def _assign(layer: DataFrame, above: DataFrame, sep: str, chains: bool) -> DataFrame:
-    """What leaves and links take over from the node they hung on, and links from their child.
+    """What nodes take over from the node they hung on, and links from their child.
 
-    ``layer``: id, parent, up, gap, name, below_n, and for links kid (else null).
+    ``layer``: tree, id, parent, up, gap, name, below_n, and where there are links kid and how.
     """
     has = ["chain"] if chains else []
-    up = above.select(F.col("id").alias("up"), *[F.col(c).alias(f"u_{c}") for c in ("state", "depth", "level", "root", "path", *has)])
-    j = layer.join(up, "up", "left")
+    up = above.select("tree", F.col("id").alias("up"), *[F.col(c).alias(f"u_{c}") for c in ("state", "depth", "level", "root", "path", *has)])
+    j = layer.join(up, ["tree", "up"], "left")
     is_root, sound = F.col("parent").isNull(), F.col("u_state") == SOUND
     state = F.when(is_root, SOUND).when(F.col("u_state").isNull(), ORPHAN).when(sound, SOUND).otherwise(BELOW)
     below_n = F.col("below_n")
     if "kid" in layer.columns:
-        j = j.join(above.select(F.col("id").alias("kid"), F.col("state").alias("k_state"), F.col("below_n").alias("k_below")), "kid")
+        child = above.select("tree", F.col("id").alias("kid"), F.col("state").alias("k_state"), F.col("below_n").alias("k_below"))
+        link = F.col("how") == _LINK
+        j = j.withColumn("kid", F.when(link, F.col("kid"))).join(child, ["tree", "kid"], "left")
         # What hangs on a cycle isn't on it; a link of a cycle is, as its child is.
-        state = F.when(F.col("k_state") == CYCLE, CYCLE).otherwise(state)
-        below_n = F.when(F.col("k_state") != CYCLE, below_n + F.col("k_below") + 1)
+        turns = F.coalesce(F.col("k_state") == CYCLE, F.lit(False))
+        state = F.when(turns, CYCLE).otherwise(state)
+        below_n = F.when(link, F.when(~turns, below_n + F.col("k_below") + 1)).otherwise(below_n)
     me = F.array(F.col("id"))
     return j.select(
+        "tree",
         "id",
         "parent",
         below_n.alias("below_n"),
@@ -115,51 +135,68 @@ def _assign(layer: DataFrame, above: DataFrame, sep: str, chains: bool) -> DataF
         F.when(state == CYCLE, F.lit(0)).otherwise(F.coalesce(F.col("u_level") + F.col("gap"), F.lit(0))).cast("int").alias("level"),
         F.when(is_root, F.col("id")).when(sound, F.col("u_root")).alias("root"),
         F.when(is_root, F.col("name")).when(sound, _joined(sep, "u_path", "name")).alias("path"),
-        *([F.when(state != CYCLE, F.concat(F.coalesce("u_chain", F.array().cast("array<bigint>")), "between", me)).alias("chain")] if chains else []),
+        *([F.when(state != CYCLE, F.concat(F.coalesce("u_chain", _no_ids()), "between", me)).alias("chain")] if chains else []),
     )
 
 
 def _inner_nodes(nodes: DataFrame, sep: str, chains: bool) -> tuple[DataFrame, DataFrame]:
-    """The nodes that have children, assigned; and the ids that are parents but no nodes."""
-    counted = nodes.where("parent is not null").groupBy(F.col("parent").alias("named")).agg(F.count(F.lit(1)).alias("below_n"))
-    parents = materialize(counted.join(nodes, F.col("named") == F.col("id"), "left"), "parents")
-    missing = materialize(parents.where("id is null").select(F.col("named").alias("id")), "missing")
+    """The nodes that have children, assigned; and (tree, id) of parents that are no nodes."""
+    counted = nodes.where("parent is not null").groupBy("tree", F.col("parent").alias("named")).agg(F.count(F.lit(1)).alias("below_n"))
+    known = nodes.withColumn("named", F.col("id"))
+    parents = materialize(counted.join(known, ["tree", "named"], "left"), "parents")
+    missing = parents.where("id is null").select("tree", F.col("named").alias("id"))
     inner = parents.where("id is not null").drop("named")
-    kids = inner.where("parent is not null").groupBy(F.col("parent").alias("to")).agg(F.count(F.lit(1)).alias("kids"), F.bit_xor("id").alias("kid"))
-    lost = missing.select(F.col("id").alias("lost"))
-    live = inner.join(kids, F.col("id") == F.col("to"), "left").join(lost, F.col("parent") == F.col("lost"), "left").select(
-        "id", "parent", (F.col("parent").isNull() | F.col("lost").isNotNull()).alias("top"),
-        F.coalesce("kids", F.lit(0)).cast("long").alias("kids"), F.col("parent").alias("up"), F.lit(1).alias("gap"), F.col("segment").alias("name"),
-        *([F.array().cast("array<bigint>").alias("between")] if chains else []),
-        F.coalesce("kid", F.lit(0)).cast("long").alias("kid"),
-        # Children without children of their own are counted from the start.
-        (F.col("below_n") - F.coalesce("kids", F.lit(0))).alias("below_n"),
+    kids = inner.where("parent is not null").groupBy("tree", F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("kids"), F.bit_xor("id").alias("kid"))
+    lost = missing.select("tree", F.col("id").alias("parent"), F.lit(True).alias("lost"))
+    live = _marked(
+        inner.join(kids, ["tree", "id"], "left").join(lost, ["tree", "parent"], "left").select(
+            "tree", "id", "parent", (F.col("parent").isNull() | F.col("lost").isNotNull()).alias("top"), F.lit(0).alias("turn"),
+            F.coalesce("kids", _zero()).alias("kids"), F.coalesce("kid", _zero()).alias("kid"),
+            # Children without children of their own are counted from the start.
+            (F.col("below_n") - F.coalesce("kids", _zero())).alias("below_n"),
+            F.col("parent").alias("up"), F.lit(1).alias("gap"), F.col("segment").alias("name"), *([_no_ids().alias("between")] if chains else []),
+        )
     )
     rounds: list[DataFrame] = []
     while True:
-        leaving = Observation()
-        peeled = _peel(live, len(rounds)).observe(leaving, F.count_if((F.col("how") != _STAYS) | F.col("link")).alias("n"))
-        peeled = materialize(peeled, f"peeled-{len(rounds)}")
-        rounds.append(peeled)
-        if not leaving.get["n"]:
+        seen = Observation()
+        rounds.append(materialize(live.observe(seen, F.count_if("open").alias("open")), f"peeled-{len(rounds)}"))
+        if not seen.get["open"]:
             break
-        live = _close(peeled, sep, chains)
+        live = _next(rounds[-1], sep, chains)
     null = F.lit(None)
     above = rounds[-1].select(
-        "id", "parent", null.cast("long").alias("below_n"), F.lit(CYCLE).alias("state"), null.cast("int").alias("depth"), F.lit(0).alias("level"), null.cast("long").alias("root"),
+        "tree", "id", "parent", null.cast("long").alias("below_n"), F.lit(CYCLE).alias("state"), null.cast("int").alias("depth"), F.lit(0).alias("level"), null.cast("long").alias("root"),
         null.cast("string").alias("path"), *([null.cast("array<bigint>").alias("chain")] if chains else []),
     )
     written = [write_scratch(above, "cycles")]
     reader = above.sparkSession.read.schema(above.schema)
-    for turn, peeled in reversed(list(enumerate(rounds[:-1]))):
-        above = reader.parquet(*written)
-        links = _assign(peeled.where(F.col("how") == _LINK), above, sep, chains)
-        leaves = _assign(peeled.where(F.col("how") == _LEAF).drop("kid"), above.unionByName(links), sep, chains)
-        written.append(write_scratch(links.unionByName(leaves), f"assigned-{turn}"))
-    drop_materialized(parents, *rounds)
+    for turn, marked in reversed(list(enumerate(rounds[:-1]))):
+        layer = _assign(marked.where(F.col("how") != _STAYS), reader.parquet(*written), sep, chains)
+        written.append(write_scratch(layer, f"assigned-{turn}"))
+    drop_materialized(*rounds)
     return reader.parquet(*written), missing
 
 
+def _with_leaves(nodes: DataFrame, inner: DataFrame, sep: str, chains: bool) -> DataFrame:
+    leaves = nodes.join(inner.select("tree", "id"), ["tree", "id"], "left_anti").select(
+        "tree", "id", "parent", F.col("parent").alias("up"), F.lit(1).alias("gap"), F.col("segment").alias("name"), _zero().alias("below_n"), *([_no_ids().alias("between")] if chains else []),
+    )
+    return inner.unionByName(_assign(leaves, inner, sep, chains))
+
+
+def _broken(nodes: DataFrame, inner: DataFrame, missing: DataFrame) -> DataFrame:
+    """(tree, id, state) of the nodes that aren't sound.
+
+    Nodes without children are only held against the parents that are missing or
+    not sound, which are few where most links are sound.
+    """
+    bad = materialize(inner.where(F.col("state") != SOUND).select("tree", "id", "state"), "broken")
+    parents = bad.select("tree", F.col("id").alias("parent"), F.lit(BELOW).alias("state")).unionByName(missing.select("tree", F.col("id").alias("parent"), F.lit(ORPHAN).alias("state")))
+    leaves = nodes.join(parents, ["tree", "parent"]).join(bad.select("tree", "id"), ["tree", "id"], "left_anti")
+    return bad.unionByName(leaves.select("tree", "id", "state"))
+
+
 def build_hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id", name_col: str | None = None, sep: str = "/", chains: bool = False) -> DataFrame:
     """One row per node: id, parent, below_n, state, depth, level, root, path (and chain).
 
@@ -169,34 +206,23 @@ def build_hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "pare
     Sound nodes have depth (0 for roots), root, path (``name_col`` joined from the
     root; null if a name on the way is null). ``level`` is the distance from the
     root, orphan or cycle above; with ``chains``, ``chain`` has the ids from there (a
-    cycle's not) to the node, and is null on a cycle. The list of a node's descendants is not kept in one row, where a root's
-    could hold most of the table: :func:`descendants` gives it as rows.
+    cycle's not) to the node, and is null on a cycle. The list of a node's descendants
+    is not kept in one row, where a root's could hold most of the table:
+    :func:`descendants` gives it as rows.
 
     A null parent makes a root; a row with a null id is no node and is left out;
     rows with the same id are one node with the smallest (parent, name). Other
     columns, whatever their names, don't matter. No rows give no rows.
     """
-    nodes = _nodes(rows, id_col, parent_col, name_col)
-    above, _ = _inner_nodes(nodes, sep, chains)
-    leaves = nodes.join(above.select("id"), "id", "left_anti").select(
-        "id", "parent", F.col("parent").alias("up"), F.lit(1).alias("gap"), F.col("segment").alias("name"), F.lit(0).cast("long").alias("below_n"),
-        *([F.array().cast("array<bigint>").alias("between")] if chains else []),
-    )
-    return above.unionByName(_assign(leaves, above, sep, chains))
+    nodes = _nodes(rows, id_col, parent_col, name_col, None)
+    inner, _ = _inner_nodes(nodes, sep, chains)
+    return _with_leaves(nodes, inner, sep, chains).drop("tree")
 
 
 def broken_links(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
-    """(id, state) of the nodes of :func:`build_hierarchy` that aren't sound.
-
-    Nodes without children are only held against the parents that are missing or
-    not sound, which are few where most links are sound.
-    """
-    nodes = _nodes(rows, id_col, parent_col, None)
-    inner, missing = _inner_nodes(nodes, "/", False)
-    bad = materialize(inner.where(F.col("state") != SOUND).select("id", "state"), "broken")
-    parents = bad.select(F.col("id").alias("parent"), F.lit(BELOW).alias("state")).unionByName(missing.select(F.col("id").alias("parent"), F.lit(ORPHAN).alias("state")))
-    leaves = nodes.join(parents, "parent").join(bad.select("id"), "id", "left_anti")
-    return bad.unionByName(leaves.select("id", "state"))
+    """(id, state) of the nodes of :func:`build_hierarchy` that aren't sound."""
+    nodes = _nodes(rows, id_col, parent_col, None, None)
+    return _broken(nodes, *_inner_nodes(nodes, "/", False)).drop("tree")
 
 
 def descendants(hierarchy: DataFrame) -> DataFrame:
@@ -214,21 +240,12 @@ def link_defects(paths: DataFrame, entries: DataFrame) -> DataFrame:
     'cycle', 'orphan' and 'below' as in :func:`build_hierarchy`; 'stale_path' for
     sound paths whose full_path isn't null and differs from the names of the chain.
     """
-    tree, entry_links = side_by_side(
-        paths.sparkSession,
-        lambda: materialize(build_hierarchy(paths, "id", "parent_id", "segment").select("id", "state", "path"), "path-tree"),
-        lambda: broken_links(entries),
-    )
+    # Both tables' trees are peeled together.
+    names, links = _nodes(paths, "id", "parent_id", "segment", "paths"), _nodes(entries, "id", "parent_id", None, "entries_core")
+    inner, missing = _inner_nodes(names.unionByName(links), "/", False)
+    tree = materialize(_with_leaves(names, inner.where("tree = 'paths'"), "/", False).select("tree", "id", "state", "path"), "path-tree")
     stored = paths.where("id is not null and full_path is not null").select("id", "full_path")
-    stale = (
-        tree.where("state = 'sound' and path is not null")
-        .join(stored, "id")
-        .where("path <> full_path")
-        .select(F.lit("paths").alias("src"), F.col("id").alias("node_id"), F.lit("stale_path").alias("defect"))
-        .distinct()
-    )
-
-    def named(broken: DataFrame, src: str) -> DataFrame:
-        return broken.select(F.lit(src).alias("src"), F.col("id").alias("node_id"), F.col("state").alias("defect"))
-
-    return named(tree.where(F.col("state") != SOUND), "paths").unionByName(stale).unionByName(named(entry_links, "entries_core"))
+    stale = tree.where("state = 'sound' and path is not null").join(stored, "id").where("path <> full_path").select("tree", "id", F.lit("stale_path").alias("state")).distinct()
+    broken = _broken(links, *[df.where("tree = 'entries_core'") for df in (inner, missing)])
+    defects = tree.where(F.col("state") != SOUND).select("tree", "id", "state").unionByName(stale).unionByName(broken)
+    return defects.select(F.col("tree").alias("src"), F.col("id").alias("node_id"), F.col("state").alias("defect"))

@@ -9,11 +9,9 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 from threading import Lock
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -130,9 +128,3 @@ def spread_scan(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def side_by_side(spark: SparkSession, *tasks: Callable[[], DataFrame]) -> list[DataFrame]:
-    """The results of independent chains of small jobs, run at the same time."""
-    with ThreadPoolExecutor(len(tasks)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(t)) for t in tasks]]
