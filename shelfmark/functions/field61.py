@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 P = (1 << 61) - 1
@@ -57,19 +59,65 @@ def sample_points(n: int) -> np.ndarray:
     return np.arange(P - n, P, dtype=np.uint64)
 
 
-def _poly_mul_linear(poly: list[int], root: int) -> list[int]:
+def _minus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return add(a, _P - b)
+
+
+def _scaled(poly: np.ndarray, factor: int) -> np.ndarray:
+    return mul(poly, np.uint64(factor))
+
+
+def _times_linear(poly: np.ndarray, root: int) -> np.ndarray:
     """poly * (z - root); coefficients from the constant up."""
-    out = [0, *poly]
-    for i, c in enumerate(poly):
-        out[i] = (out[i] - root * c) % P
+    zero = np.zeros(1, np.uint64)
+    return _minus(np.concatenate((zero, poly)), np.concatenate((_scaled(poly, root), zero)))
+
+
+def _value(poly: np.ndarray, z: int) -> int:
+    out = 0
+    for c in reversed(poly.tolist()):
+        out = (out * z + c) % P
     return out
 
 
-def _evaluate(poly: list[int], z: int) -> int:
-    v = 0
-    for c in reversed(poly):
-        v = (v * z + c) % P
-    return v
+def _trim(poly: np.ndarray) -> np.ndarray:
+    some = np.flatnonzero(poly)
+    return poly[: some[-1] + 1] if len(some) else poly[:0]
+
+
+@lru_cache(maxsize=16)
+def _through(bound: int, points: int) -> tuple[np.ndarray, list[int]]:
+    """The polynomial that vanishes at the first points, and the inverses of 1, 2, ... (point distances)."""
+    whole = np.ones(1, np.uint64)
+    for z in sample_points(points)[:bound].tolist():
+        whole = _times_linear(whole, z)
+    return whole, [0, *(pow(j, -1, P) for j in range(1, bound))]
+
+
+def _interpolate(values: list[int], zs: list[int], inverses: list[int]) -> np.ndarray:
+    """The polynomial through equally spaced points: Newton's divided differences, then multiplied out."""
+    coef = np.array(values, np.uint64)
+    for j in range(1, len(values)):
+        coef[j:] = _scaled(_minus(coef[j:], coef[j - 1 : -1]), inverses[j])
+    out = coef[-1:].copy()
+    for z, c in zip(zs[len(values) - 2 :: -1], coef[-2::-1]):
+        out = _times_linear(out, z)
+        out[0] = add(out[:1], np.array([c]))[0]
+    return _trim(out)
+
+
+def _divide_step(r0: np.ndarray, r1: np.ndarray, t0: np.ndarray, t1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Remainder of r0 by r1, and the cofactor that belongs to it."""
+    inverse, r = pow(int(r1[-1]), -1, P), r0.copy()
+    t = np.zeros(max(len(t0), len(t1) + len(r0) - len(r1)), np.uint64)
+    t[: len(t0)] = t0
+    for shift in range(len(r0) - len(r1), -1, -1):
+        q = int(r[shift + len(r1) - 1]) * inverse % P
+        if q:
+            for target, part in ((r, r1), (t, t1)):
+                at = slice(shift, shift + len(part))
+                target[at] = _minus(target[at], _scaled(part, q))
+    return _trim(r), _trim(t)
 
 
 def reconcile(values_a: list[int], values_b: list[int], n_a: int, n_b: int, bound: int, checks: int) -> tuple[list[int], list[int]] | None:
@@ -80,53 +128,25 @@ def reconcile(values_a: list[int], values_b: list[int], n_a: int, n_b: int, boun
     of least degree through the first ``bound`` points is verified at the others.
     None where none passes.
     """
-    zs = [int(z) for z in sample_points(bound + checks)]
-    f = [a * pow(b, -1, P) % P for a, b in zip(values_a, values_b)]
     diff = n_a - n_b
     if abs(diff) > bound - 1:
         return None
-    most_a = (bound - 1 + diff) // 2
-    # Newton interpolation through the first points.
-    coef = f[:bound]
-    for j in range(1, bound):
-        for i in range(bound - 1, j - 1, -1):
-            coef[i] = (coef[i] - coef[i - 1]) * pow(zs[i] - zs[i - j], -1, P) % P
-    rest, whole = [coef[-1]], [1]
-    for i in range(bound - 2, -1, -1):
-        rest = _poly_mul_linear(rest, zs[i])
-        rest[0] = (rest[0] + coef[i]) % P
-    for z in zs[:bound]:
-        whole = _poly_mul_linear(whole, z)
-
-    def trim(p: list[int]) -> list[int]:
-        while p and p[-1] == 0:
-            p.pop()
-        return p
-
+    zs = sample_points(bound + checks).tolist()
+    f = [a * pow(b, -1, P) % P for a, b in zip(values_a, values_b)]
+    whole, inverses = _through(bound, bound + checks)
     # Extended Euclid down to the degree that A's differences can have.
-    r0, r1, t0, t1 = whole, trim(rest[:]), [], [1]
+    most_a = (bound - 1 + diff) // 2
+    r0, r1 = whole, _interpolate(f[:bound], zs, inverses)
+    t0, t1 = np.zeros(0, np.uint64), np.ones(1, np.uint64)
     while len(r1) - 1 > most_a:
-        inv, r, t = pow(r1[-1], -1, P), r0[:], t0[:]
-        for shift in range(len(r0) - len(r1), -1, -1):
-            q = r[shift + len(r1) - 1] * inv % P
-            if q:
-                for i, c in enumerate(r1):
-                    r[shift + i] = (r[shift + i] - q * c) % P
-                if len(t) < len(t1) + shift:
-                    t += [0] * (len(t1) + shift - len(t))
-                for i, c in enumerate(t1):
-                    t[shift + i] = (t[shift + i] - q * c) % P
-        r0, r1, t0, t1 = r1, trim(r), t1, trim(t)
-    if not r1 or not t1 or r1[-1] != t1[-1]:
+        (r0, r1), (t0, t1) = zip((r1, t1), _divide_step(r0, r1, t0, t1))
+    if not len(r1) or not len(t1) or r1[-1] != t1[-1]:
         return None
-    lead = pow(r1[-1], -1, P)
-    pa, pb = [c * lead % P for c in r1], [c * lead % P for c in t1]
-    if len(pa) - len(pb) != diff:
+    lead = pow(int(r1[-1]), -1, P)
+    pa, pb = _scaled(r1, lead), _scaled(t1, lead)
+    if len(pa) - len(pb) != diff or any(_value(pa, z) != v * _value(pb, z) % P for z, v in zip(zs[bound:], f[bound:])):
         return None
-    for z, v in zip(zs[bound:], f[bound:]):
-        if _evaluate(pa, z) != v * _evaluate(pb, z) % P:
-            return None
-    return pa, pb
+    return pa.tolist(), pb.tolist()
 
 
 def vanishes(elements: np.ndarray, polys: np.ndarray) -> np.ndarray:

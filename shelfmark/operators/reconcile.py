@@ -1,15 +1,17 @@
 """Differences between two copies of a dataset by set reconciliation.
 
-The rows of either copy are hashed into a field and put in small buckets by key.
-Per bucket and copy only the values of its characteristic polynomial at a few
-points are exchanged; from their quotient the polynomials of the differing
-hashes follow. A bucket whose bound on the degree proves too small is taken again
-with twice as many points. The holders of the rows find the roots among their own
-rows, and only those rows are fetched and compared field by field.
+The rows of either copy are hashed into a field and put in buckets by key. Where
+the rows lie, the values of each bucket's characteristic polynomial at a few points
+are computed, and only these sketches travel; those of a bucket's parts multiply to
+the whole bucket's. From the quotient of the two copies' values the polynomials of
+the differing hashes follow. A bucket whose bound on the degree proves too small
+is taken again with twice as many points. The holders of the rows find the roots
+among their own rows, and only those rows are fetched and compared field by field.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,15 +20,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import field61
-from shelfmark.runtime import drop_materialized, map_arrow, materialize
+from shelfmark.runtime import map_arrow, materialize
 from shelfmark.tables import latest_file_rows
 
-#: Rows of one copy in a bucket, on average.
-BUCKET_ROWS = 32
+#: Rows of one copy in a bucket, on average, but for rounding to a power of two.
+BUCKET_ROWS = 1024
 #: Differences in a bucket that the first round can find, plus one.
-FIRST_BOUND = 16
+FIRST_BOUND = 32
 #: Further points at which a result is verified; a wrong one passes with a chance under 2^-100.
 CHECKS = 2
+#: Points that are multiplied out at a time, which bounds a worker's memory.
+_POINTS_AT_ONCE = 128
 
 _SKETCH = "job long, bucket long, side int, n long, vals array<bigint>"
 _SOLVED = "job long, bucket long, side int, poly array<bigint>"
@@ -50,7 +54,7 @@ def _sketch(points: int):
             job, bucket, side = job[order], bucket[order], side[order]
             h = field61.to_element(batch["h"].to_numpy()[order])
             new = np.flatnonzero(np.r_[True, (job[1:] != job[:-1]) | (bucket[1:] != bucket[:-1]) | (side[1:] != side[:-1])])
-            vals = field61.segment_products(zs[None, :] - h[:, None], new)
+            vals = np.concatenate([field61.segment_products(some[None, :] - h[:, None], new) for some in np.split(zs, range(_POINTS_AT_ONCE, points, _POINTS_AT_ONCE))], axis=1)
             flat = pa.array(vals.astype(np.int64).ravel())
             offsets = pa.array(np.arange(0, len(flat) + 1, points, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -116,26 +120,27 @@ def _roots(names: list[str]):
     return run
 
 
-def differing_rows(rows: DataFrame, key: list[str], fields: list[str], bucket_rows: int = BUCKET_ROWS, first_bound: int = FIRST_BOUND) -> DataFrame:
+def differing_rows(
+    rows: DataFrame, key: list[str], fields: list[str], bucket_rows: int = BUCKET_ROWS, first_bound: int = FIRST_BOUND, report: list[dict] | None = None
+) -> DataFrame:
     """The rows that one copy has and the other hasn't, in all of key and fields.
 
     ``rows`` has ``job`` (the pair of copies), ``side`` (0 or 1), the key and the
     fields; a side's keys are unique. Any number of rows may differ: a bucket whose
-    differences outgrow its rows is fetched whole.
+    next bound would be as large as its rows are many is fetched whole. To ``report``,
+    if given, the number of buckets by outcome is added for each bound.
     """
     names = ["job", "side", *key, *fields]
-    hashed = materialize(rows.select("job", F.col("side").cast("int").alias("side"), *key, *fields, _row_hash(key, fields).alias("h")), "hashed")
-    # An average over both sides; the number of buckets only sets the buckets' size.
-    buckets = max(1, hashed.count() // (2 * bucket_rows))
-    laid = hashed.withColumn("bucket", F.pmod(F.xxhash64(F.lit("bucket"), "job", *key), F.lit(buckets)))
-    # Each copy is laid out by bucket once; from then on only sketches travel.
-    laid = materialize(laid.repartition("bucket").sortWithinPartitions("bucket", "job", "side"), "laid")
-    drop_materialized(hashed)
-    schema = laid.select(*names).schema
+    placed = rows.select("job", F.col("side").cast("int").alias("side"), *key, *fields, _row_hash(key, fields).alias("h"), F.xxhash64(F.lit("bucket"), "job", *key).alias("place"))
+    # The rows stay where they are, a bucket's side by side; buckets are the first bits of the place.
+    placed = materialize(placed.sortWithinPartitions("job", "side", "place"), "placed")
+    bits = max(1, round(math.log2(max(1, placed.count() / (2 * bucket_rows)))))
+    placed = placed.withColumn("bucket", F.shiftrightunsigned("place", 64 - bits)).drop("place")
+    schema = placed.select(*names).schema
     pending, bound, found = None, first_bound, []
     while True:
         points = bound + CHECKS
-        own = laid if pending is None else laid.join(pending, ["job", "bucket"], "left_semi")
+        own = placed if pending is None else placed.join(pending, ["job", "bucket"], "left_semi")
         sketches = map_arrow(own.select("job", "bucket", "side", "h"), _sketch(points), _SKETCH)
         solved = materialize(map_arrow(sketches.repartition("job", "bucket"), _solve(bound, points), _SOLVED), "solved")
         candidates = own.join(solved.where("side < 2"), ["job", "bucket", "side"]).select(*names, "h", "poly")
@@ -143,6 +148,9 @@ def differing_rows(rows: DataFrame, key: list[str], fields: list[str], bucket_ro
         whole = own.join(solved.where("side = 3").select("job", "bucket"), ["job", "bucket"], "left_semi").select(*names)
         found.append(roots.unionByName(whole))
         pending = solved.where("side = 2").select("job", "bucket")
+        if report is not None:
+            kinds = solved.select("job", "bucket", F.when(F.col("side") < 2, "solved").when(F.col("side") == 2, "again").otherwise("whole").alias("kind")).distinct().groupBy("kind").count()
+            report.append({"bound": bound, "rows": own.count(), **{r["kind"]: r["count"] for r in kinds.collect()}})
         if pending.isEmpty():
             break
         bound *= 2
