@@ -1,7 +1,10 @@
-"""Per-document text statistics, published threshold rules, and the share of running prose.
+"""Per-document text statistics, and fixed-threshold rules with a reason for each failure.
 
-The statistics of all lines and words of an Arrow batch are computed at once, on
-flat arrays, and summed per line, block (lines between blank ones) and document.
+The lines, words and characters of all texts of an Arrow batch are counted at once,
+on flat arrays. The counts are summed per passage (lines up to one that ends a
+sentence, within a block and of one kind: list items or not) and per document. The
+rules judge passages; a document is no running text where passages that fail a rule
+hold the larger part of its characters.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 import html
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.runtime import map_arrow
 
-# Thresholds of published rule sets for web text (Gopher, C4, FineWeb).
+# Thresholds of published rule sets for web text (Gopher, C4, FineWeb), for whole documents.
 MIN_WORDS, MAX_WORDS = 50, 100_000
 MIN_MEAN_WORD, MAX_MEAN_WORD = 3.0, 10.0
 MAX_SYMBOL_RATIO = 0.1
@@ -30,91 +34,102 @@ MIN_ALPHA_WORDS = 0.8
 MIN_COMMON_WORDS = 2
 MIN_PUNCTUATED_LINES = 0.12
 MAX_REPEATED_LINE_CHARS = 0.01
-MAX_SHORT_LINES = 0.67
-
-# What a block of lines must show to count as running sentences.
-SURE_COMMON, LEAST_COMMON, MOST_COMMON = 0.15, 0.05, 0.75
-LEAST_VOWELS = 0.28
-LEAST_KANA = 0.08
-MOST_WORDS_A_SENTENCE = 60
-
-_VOWELS = "αεηιουωάέήίόύώаеёиоуыэюяіїє"
-_BREAKS = regex.compile(r"\r\n|[\r\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+MAX_SHORT_LINES, SHORT_LINE = 0.67, 30
+
+# The rules for passages. From the above sets are the mean word length, the least share of common words
+# (2 of 50), the words of a line without an end (5), and bullets. A passage is short, so that of its words 0.4 may lack
+# letters, not 0.2; symbols are of more kinds and counted against characters, not words.
+MIN_LINE_WORDS = 5
+MIN_COMMON_SHARE, MIN_OPEN_COMMON_SHARE, MAX_COMMON_SHARE = 0.04, 0.12, 0.75
+FEWEST_WORDS_JUDGED, FEWEST_WORDS_REPEATED = 6, 8
+MIN_PASSAGE_ALPHA_WORDS = 0.6
+MAX_SYMBOL_CHARS = 0.15
+MIN_DISTINCT_WORDS, ENOUGH_DISTINCT_WORDS = 0.3, 40
+LONGEST_WORD = 30
+MIN_SEPARATORS, MAX_WORDS_A_SEPARATOR = 3, 4.5
+# The same for scripts without spaces, in characters; function words are written in hiragana there.
+MIN_UNSPACED, MIN_HIRAGANA = 0.15, 0.15
+MIN_LINE_CHARS, MAX_CHARS_A_SEPARATOR = 15, 10
+
+_BREAKS = regex.compile(r"\r\n|[\r\n\x0b\x0c\x1c-\x1e\x85  ]")
 _HIDDEN = regex.compile(r"\p{Cf}+")
-_TAG = regex.compile(r"<\|[\w ]{1,40}\|>|</?[A-Za-z][^<>]{0,200}>|<!--.*?-->")
-
-# Fixed patterns: the shapes of lines that aren't sentences, in order of precedence.
-SHAPES = {
-    "table": r"^\s*[|+].*[|+]\s*$|\|.*\||\S\t+\S|\S\s{3,}\S|\S\s{2,}\S.*\s{2,}[\d.,]+ ?[KMGTP]?B\s*$",
-    "dump": r"^\s*[0-9a-fA-F]{4,16}[: ]\s*([0-9a-fA-F]{2}\s){4,}",
-    "fields": r"^[^;]*;\S[^;]*;\S|^([^,]*[^,\d],[^,\s]|[^,]*,[^,\s\d]|[^,]+,[^,\s\d][^,]*,\S|[^,.]*\pL,\d+,\S).*,\S",
-    "log": r"^\s*[\[(]?\d+[./-]\d+[./-]\d+[T ]+\d\d:\d\d|^\s*[\[(]?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|^\s*[\[(]?\d\d:\d\d:\d\d\b|^\s*[\[(]?(ERROR|WARN|WARNING|INFO|DEBUG|TRACE|FATAL)\b|^[A-Z][a-z]{2} [ \d]\d \d\d:\d\d:\d\d",
-    "command": r"""^\s*(\$ |PS> |# ?skip\b)|^\s*(sudo |rem )?(cp|mv|rm|ln|ls|du|rem|del|mkdir|rmdir|rsync|find|tar|chmod|chown|robocopy|xcopy|move|copy|echo|cat|grep|Remove-Item|Move-Item|Copy-Item|New-Item)\s+(-|--|/|['"]|\S*[/\\])""",
-    "search": r"^\s*-?(ext|name|tag|size|modified|drive|path|type|file|folder|date)([:<>]|>=|<=)\S+(\s+-?(ext|name|tag|size|modified|drive|path|type|file|folder|date)([:<>]|>=|<=)\S+)*\s*$",
-    "list": r"^\s*([-*+\x{2022}\x{00B7}\x{2013}\x{2014}\x{25AA}\x{25E6}\x{2023}\x{25CB}\x{25CF}\x{2043}]|\p{So}|\p{Sm}|[-=]>|\[[ xX]?\]|\(?\d{1,3}[.):]|\(?[A-Za-z][.)])\s+\S",
-    "code": r"^\s*[{}\[\]();]+,?\s*$|^\s*[\"'][^\"']+[\"']\s*:|[{}]\s*$|^\s*(import|from|def|class|return|if|for|while)\b.*[:(]\s*$|^\s*[\w.]+\s*=\s*\S+$",
-    "tree": r"^\s*(\|-|\|\s|`-|\+--|[\x{2500}-\x{257F}])",
-    "heading": r"^\s*#{1,6}\s|^\s*[=~_*-]{3,}\s*$",
-}
-_RECORD = r"^\s*\pL[\pL _-]{0,20}:\s+\S"
-_TERMINAL = r"""[.!?\x{2026}\x{3002}\x{FF01}\x{FF1F}\x{037E}]+["'\x{201D}\x{2019}\x{00BB})\]]*(\s|$)"""
-_ENDS = r"""[.!?\x{2026}\x{3002}\x{FF01}\x{FF1F}]["'\x{201D}\x{2019}\x{00BB})\]]*\s*$"""
-_KINDS = ["", *SHAPES, "items", "listing", "record", "junk"]
+_MARKUP = regex.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->|<\|\w{1,40}\|>")
+_SENTENCE_SIGNS = ".,;:!?'\"()-–—…。、「」！？’‘“”«»¿¡"
+_SEPARATORS = ";,、|；，\t"
+_END = r"""[.!?\x{2026}\x{3002}\x{FF01}\x{FF1F}]+["'\x{201D}\x{2019}\x{00BB})\]]*"""
+_BULLET = r"^([-*+]|\pS|\x{2022}|\x{00B7}|\x{2013}|\x{2014}|[-=]>|\[[ xX]?\]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)])\s"
+_GAP = r"\S(\t|\s{2,})"
+#: A separator right before the next field, which isn't one of a number.
+_TIGHT = r"[^\s\d,;|][,;|][^\s,;|]|\d[,;|][^\s,;|\d]|;\S"
+
+RULES = ("bullets", "symbols", "non_alphabetic", "word_length", "few_common_words", "only_common_words", "repeated_words", "short_open_lines", "separators", "columns")
 
 _STATS = (
     "n_words long, mean_word_len double, symbol_ratio double, punctuated_lines double, bullet_lines double, ellipsis_lines double, "
-    "short_lines double, alpha_words double, common_share double, n_common long, repeated_line_chars double, prose_share double, main_shape string, reasons string"
+    "short_lines double, alpha_words double, common_share double, n_common long, repeated_line_chars double, prose_share double, main_reason string, passage_reasons string, reasons string"
 )
 
 
-def _sum(n: int, index: np.ndarray, values=None) -> np.ndarray:
-    return np.bincount(index, values, n) if len(index) else np.zeros(n)
-
-
 def _share(a, b):
     return np.where(b > 0, a / np.maximum(b, 1), 0.0)
 
 
-def _count(lines: pa.Array, pattern: str) -> np.ndarray:
-    return pc.count_substring_regex(lines, pattern).to_numpy(zero_copy_only=False)
+def _flags(values: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(values, pattern).to_numpy(zero_copy_only=False)
+
+
+def _counts(values: pa.Array, pattern: str) -> np.ndarray:
+    return pc.count_substring_regex(values, pattern).to_numpy(zero_copy_only=False)
+
+
+def _codes(values: pa.Array) -> np.ndarray:
+    return pc.dictionary_encode(values).indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(values) else np.zeros(0, np.int64)
+
+
+@dataclass
+class _Groups:
+    """Sums of values of items, each of which lies in one of ``n`` groups."""
 
+    of: np.ndarray
+    n: int
 
-def _is(lines: pa.Array, pattern: str) -> np.ndarray:
-    return pc.match_substring_regex(lines, pattern).to_numpy(zero_copy_only=False)
+    def sum(self, values: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(self.of, values, self.n) if len(self.of) else np.zeros(self.n)
+
+    def distinct(self, codes: np.ndarray) -> np.ndarray:
+        width = int(codes.max()) + 1 if len(codes) else 1
+        return np.bincount(np.unique(self.of * width + codes) // width, minlength=self.n) if len(codes) else np.zeros(self.n)
+
+    def through(self, items: np.ndarray) -> _Groups:
+        """The groups of things that lie in the items."""
+        return _Groups(self.of[items], self.n)
+
+
+_CLASSES = ("solid", "hiragana", "unspaced", "separator", "symbol")
 
 
 @lru_cache(maxsize=1)
 def _character_classes() -> np.ndarray:
     """For each code point, the bits of the classes it is in."""
-    bits = np.zeros(0x110000, np.uint16)
-
-    def add(bit: int, *ranges: tuple[int, int]) -> None:
-        for low, high in ranges:
-            bits[low : high + 1] |= 1 << bit
-
-    add(0, (0, 0x10FFFF))
-    bits[[c for c in range(0x3100) if chr(c).isspace()]] = 0
-    add(1, (0x3040, 0x309F))
-    add(2, (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7A3))
-    add(3, (0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x370, 0x52F))
-    vowels = [c for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250)) if unicodedata.normalize("NFD", chr(c))[0].lower() in "aeiouyæøœ"]
-    bits[[*vowels, *map(ord, _VOWELS + _VOWELS.upper())]] |= 1 << 4
-    for bit, signs in ((5, ";；"), (6, ",、"), (7, "|")):
-        bits[list(map(ord, signs))] |= 1 << bit
+    bits = np.zeros(0x110000, np.uint8)
+    for point in range(0x110000):
+        c = chr(point)
+        kind = unicodedata.category(c)
+        solid = kind[0] != "Z" and not c.isspace()
+        unspaced = 0x3040 <= point <= 0x30FF or 0x3400 <= point <= 0x9FFF or 0xAC00 <= point <= 0xD7A3
+        symbol = solid and kind[0] not in "LM" and kind != "Nd" and c not in _SENTENCE_SIGNS
+        for k, there in enumerate((solid, 0x3041 <= point <= 0x309F, unspaced, c in _SEPARATORS, symbol)):
+            bits[point] |= there << k
     return bits
 
 
-#: Bits of _character_classes.
-_SOLID, _KANA, _CJK, _LETTER, _VOWEL, _SEMI, _COMMA, _BAR = range(8)
-
-
-def _class_counts(lines: list[str], chars: np.ndarray) -> list[np.ndarray]:
+def _class_counts(lines: list[str], chars: np.ndarray) -> dict[str, np.ndarray]:
     """How many characters of each class every line has."""
     if not lines:
-        return [np.zeros(0, np.int64)] * 8
+        return {c: np.zeros(0, np.int64) for c in _CLASSES}
     bits = _character_classes()[np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)]
     starts = np.concatenate(([0], np.cumsum(chars)[:-1]))
-    return [np.add.reduceat((bits >> k) & 1, starts, dtype=np.int64) for k in range(8)]
+    return {c: np.add.reduceat((bits >> k) & 1, starts, dtype=np.int64) for k, c in enumerate(_CLASSES)}
 
 
 def _split(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -123,7 +138,7 @@ def _split(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     for d, text in enumerate(texts):
         if not text:
             continue
-        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", _TAG.sub(" ", html.unescape(text) if "&" in text else text)))
+        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", _MARKUP.sub(" ", html.unescape(text) if "&" in text else text)))
         fresh = True
         for line in _BREAKS.split(text):
             line = line.strip()
@@ -132,144 +147,108 @@ def _split(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
             if not line:
                 fresh = True
                 continue
-            if fresh:
-                block += 1
-                fresh = False
+            block += fresh
+            fresh = False
             lines.append(line)
             docs.append(d)
             blocks.append(block)
     return lines, np.array(docs, np.int64), np.array(blocks, np.int64)
 
 
+def _parts(lines: pa.Array, pattern: str) -> tuple[np.ndarray, pa.Array]:
+    """What lies between matches of ``pattern``, and the line of each."""
+    lists = pc.split_pattern_regex(lines, pattern)
+    at, parts = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists)
+    some = pc.not_equal(parts, "")
+    return at[some.to_numpy(zero_copy_only=False)], parts.filter(some)
+
+
+def _failures(s: dict[str, np.ndarray], block: _Groups) -> dict[str, np.ndarray]:
+    """Which passages fail each of RULES; ``block`` groups them by block."""
+    unspaced = s["unspaced"] >= MIN_UNSPACED * s["solid"]
+    words, open_ = s["words"], s["ends"] == 0
+    common, mean = _share(s["common"], words), _share(s["word_chars"], words)
+    # Function words are missed where a whole block of sentences has too few, or a passage that ends none.
+    plain = s["bullets"] == 0
+    near_words, near_common = (block.sum(s[c] * plain)[block.of] for c in ("words", "common"))
+    few = np.where(open_, common < MIN_OPEN_COMMON_SHARE, (near_words >= FEWEST_WORDS_JUDGED) & (near_common < MIN_COMMON_SHARE * near_words))
+    separators = s["separator"] + s["lone_signs"] + s["gaps"]
+    listed = np.where(unspaced, s["solid"] <= MAX_CHARS_A_SEPARATOR * (separators + 1), words <= MAX_WORDS_A_SEPARATOR * (separators + 1))
+    short = np.where(unspaced, s["solid"] < MIN_LINE_CHARS * s["lines"], words < MIN_LINE_WORDS * s["lines"])
+    return {
+        "bullets": ~plain,
+        "symbols": _share(s["symbol"], s["solid"]) > MAX_SYMBOL_CHARS,
+        "non_alphabetic": ~unspaced & (_share(s["alpha_tokens"], s["tokens"]) < MIN_PASSAGE_ALPHA_WORDS),
+        "word_length": ~unspaced & ((mean < MIN_MEAN_WORD) | (mean > MAX_MEAN_WORD) | (s["long_token_chars"] > 0.5 * s["solid"])),
+        "few_common_words": np.where(unspaced, s["hiragana"] < MIN_HIRAGANA * s["unspaced"], few),
+        "only_common_words": ~unspaced & (common > MAX_COMMON_SHARE) & (words >= FEWEST_WORDS_REPEATED),
+        "repeated_words": (words >= FEWEST_WORDS_REPEATED) & (s["distinct_words"] < np.minimum(MIN_DISTINCT_WORDS * words, ENOUGH_DISTINCT_WORDS)),
+        "short_open_lines": open_ & short,
+        "separators": open_ & (separators >= MIN_SEPARATORS) & listed,
+        "columns": open_ & (np.maximum(s["gaps"], s["tight"]) >= s["lines"]),
+    }
+
+
 def measure(texts: list[str | None], common: pa.Array) -> dict[str, np.ndarray]:
     """The statistics of each text; ``common`` holds the common words in lower case."""
-    n_docs = len(texts)
     raw, doc, block = _split(texts)
-    lines = pa.array(raw, pa.string())
-    n, n_blocks = len(raw), int(block[-1]) + 1 if len(block) else 0
+    lines, n, n_docs = pa.array(raw, pa.string()), len(raw), len(texts)
     chars = pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
-    classes = _class_counts(raw, chars)
-    solid, kana, cjk, latin, vowels = (classes[k] for k in (_SOLID, _KANA, _CJK, _LETTER, _VOWEL))
-
-    # Words and tokens of all lines, flat.
-    word_lists = pc.split_pattern_regex(pc.utf8_lower(lines), r"[^\pL\pM]+")
-    at, words = pc.list_parent_indices(word_lists).to_numpy(), pc.list_flatten(word_lists)
-    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
-    at, words = at[real], words.filter(pa.array(real))
+    ends, bullets = _flags(lines, _END + r"\s*$"), _flags(lines, _BULLET)
+    first = np.ones(n, bool)
+    first[1:] = (block[1:] != block[:-1]) | ends[:-1] | (bullets[1:] != bullets[:-1])
+    of = np.cumsum(first) - 1
+    passage, document = _Groups(of, int(of[-1]) + 1 if n else 0), _Groups(doc, n_docs)
+
+    word_at, words = _parts(pc.utf8_lower(lines), r"[^\pL\pM]+")
+    token_at, tokens = _parts(lines, r"\s+")
     is_common = pc.is_in(words, value_set=common).to_numpy(zero_copy_only=False)
-    lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False)
-    codes = pc.dictionary_encode(words).indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(words) else np.array([], np.int64)
-    n_words, n_common, word_chars = _sum(n, at), _sum(n, at, is_common), _sum(n, at, lengths)
-    token_lists = pc.split_pattern_regex(lines, r"\s+")
-    t_at, tokens = pc.list_parent_indices(token_lists).to_numpy(), pc.list_flatten(token_lists)
-    t_len = pc.utf8_length(tokens).to_numpy(zero_copy_only=False)
-    n_tokens, singles = _sum(n, t_at), _sum(n, t_at, t_len == 1)
-    longest = np.zeros(n, np.int64)
-    np.maximum.at(longest, t_at, t_len)
-
-    terminals, ends = _count(lines, _TERMINAL), _is(lines, _ENDS)
-    slashes = _count(lines, r"[\pL_)][/\\]|[/\\][\pL_.(]")
-    is_cjk = cjk >= 0.3 * solid
-
-    # The shape of each line.
-    kind = np.zeros(n, np.int64)
-
-    def mark(name: str, where: np.ndarray) -> None:
-        kind[(kind == 0) & where] = _KINDS.index(name)
-
-    sentence_like = ends & (n_words >= 5) & (n_common >= 0.1 * n_words)
-    records = _is(lines, _RECORD)
-    heads = pc.replace_substring_regex(lines, r"^\s*(\pL[\pL _-]{0,20}):\s.*$", r"\1")
-    if n:
-        head_codes = pc.dictionary_encode(heads).indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        pair = doc * (int(head_codes.max()) + 1) + head_codes
-        _, inverse, repeats = np.unique(np.where(records, pair, -1 - np.arange(n)), return_inverse=True, return_counts=True)
-        records &= (repeats[inverse] > 1) | (_sum(n_docs, doc, records)[doc] >= 3)
-    for name, pattern in SHAPES.items():
-        hit = _is(lines, pattern)
-        if name in ("table", "fields", "code"):
-            hit &= ~(sentence_like & (classes[_BAR] < 2))
-        mark(name, hit)
-    bare = terminals == 0
-    spaced = _count(lines, r"\s[\x{00B7}\x{30FB}\x{2022}|/~]\s")
-    for k, least in ((classes[_SEMI], 3), (spaced, 3), (classes[_COMMA], 4)):
-        mark("items", bare & (k >= least) & np.where(is_cjk, solid <= 10 * (k + 1), n_words <= 4.5 * (k + 1)))
-    lone = (n_tokens <= 1) & ~is_cjk & ~ends
-    mark("items", lone & (_sum(n_blocks, block, lone)[block] >= 3) if n else lone)
-    mark("listing", (slashes >= 2) & (n_words <= 3 * (slashes + 1)) & ~ends & ~_is(lines, r",\s") & (n_common <= 0.2 * n_words))
-    mark("record", records & (n_words <= 20))
-    mark("junk", (longest >= 30) & (n_tokens <= 3) & ~is_cjk & (slashes < 2))
-    mark("junk", (n_words >= 8) & (n_common > MOST_COMMON * n_words))
-    mark("junk", (n_tokens >= 6) & (singles > 0.5 * n_tokens) & ~is_cjk)
-
-    # Lines without a shape are judged together, block by block.
-    free = kind == 0
-    fb = block[free]
-
-    def per_block(values: np.ndarray) -> np.ndarray:
-        return _sum(n_blocks, fb, values[free])
-
-    b_words, b_common, b_terminals, b_lines = per_block(n_words), per_block(n_common), per_block(terminals), _sum(n_blocks, fb)
-    b_cjk, b_kana, b_solid, b_latin, b_vowels = map(per_block, (cjk, kana, solid, latin, vowels))
-    word_free = free[at]
-    w_block, w_code = block[at[word_free]], codes[word_free]
-    n_codes = int(codes.max()) + 1 if len(codes) else 1
-    b_distinct = _sum(n_blocks, np.unique(w_block * n_codes + w_code) // n_codes)
-    share = _share(b_common, b_words)
-    varied = b_distinct >= np.minimum(0.35 * b_words, 40)
-    spoken = ((b_vowels >= LEAST_VOWELS * b_latin) | (share >= SURE_COMMON)) & (b_words > 0)
-    wide = b_words >= 5 * b_lines
-    sentences = (b_terminals > 0) & (b_words <= MOST_WORDS_A_SENTENCE * b_terminals)
-    prose = varied & spoken & (
-        (share >= SURE_COMMON) & (sentences | (b_words >= 8) & (wide | (b_terminals > 0)) | (b_words >= 6) & (share >= 0.3) & (b_lines == 1))
-        | (share >= LEAST_COMMON) & sentences & (b_words >= 4)
-        | sentences & (b_words >= 3) & (b_words <= 30 * b_terminals)
-    )
-    prose |= (b_cjk >= 0.3 * b_solid) & (b_kana >= 0.15 * b_cjk) & ((b_terminals > 0) | (b_cjk >= 15 * b_lines)) & (b_solid > 0)
-    # Japanese sentences may name long paths in other letters.
-    prose |= (b_terminals > 0) & (b_kana >= np.maximum(3, LEAST_KANA * b_solid))
-    good = free & (prose[block] if n_blocks else free)
-    kind[free & ~good] = _KINDS.index("junk")
-    # A wrapped sentence can look like a path or a field on one line: the block decides.
-    soft = np.isin(kind, [_KINDS.index(k) for k in ("fields", "command", "code", "items", "listing", "record")])
-    lead = _sum(n_blocks, block, chars * good) > _sum(n_blocks, block, chars * ~good)
-    good |= soft & (lead[block] if n_blocks else soft)
-    kind[good] = 0
-
-    total = _sum(n_docs, doc, chars)
-    prose_share = _share(_sum(n_docs, doc, chars * good), total)
-    shape_chars = np.zeros((n_docs, len(_KINDS)))
-    np.add.at(shape_chars, (doc, kind), chars * ~good)
-    main = np.where(shape_chars.max(1) > 0, shape_chars.argmax(1), 0) if n_docs else np.array([], np.int64)
-
-    # Document statistics.
-    d_lines, d_words, d_tokens = _sum(n_docs, doc), _sum(n_docs, doc, n_words), _sum(n_docs, doc, n_tokens)
-    symbols = _count(lines, r"#|\x{2026}|\.\.\.")
-    alpha_tokens = _sum(n, t_at, _is(tokens, r"\pL"))
-    line_codes = pc.dictionary_encode(lines).indices.to_numpy(zero_copy_only=False).astype(np.int64) if n else np.array([], np.int64)
-    seen = doc * (int(line_codes.max()) + 1 if n else 1) + line_codes
+    word_len, token_len = (pc.utf8_length(x).to_numpy(zero_copy_only=False) for x in (words, tokens))
+    alpha = _flags(tokens, r"\pL")
+    per_line = {
+        **_class_counts(raw, chars), "chars": chars, "lines": np.ones(n), "bullets": bullets, "ends": _counts(lines, _END + r"(\s|$)"),
+        "gaps": _counts(lines, _GAP), "tight": _counts(lines, _TIGHT),
+    }
+    stats = {c: passage.sum(v) for c, v in per_line.items()}
+    by_word, by_token = passage.through(word_at), passage.through(token_at)
+    stats |= {"words": by_word.sum(), "common": by_word.sum(is_common), "word_chars": by_word.sum(word_len), "distinct_words": by_word.distinct(_codes(words))}
+    stats |= {"tokens": by_token.sum(), "alpha_tokens": by_token.sum(alpha), "lone_signs": by_token.sum(_flags(tokens, r"^[^\pL\pN]$")), "long_token_chars": by_token.sum((token_len > LONGEST_WORD) * token_len)}
+    failed = _failures(stats, _Groups(block[first], int(block[-1]) + 1 if n else 0))
+
+    # Per document: the characters in passages that fail each rule, and in those that fail none.
+    home = _Groups(doc[first], n_docs)
+    total = document.sum(chars)
+    hit = np.array([home.sum(stats["chars"] * failed[r]) for r in RULES])
+    sound = home.sum(stats["chars"] * ~np.any([failed[r] for r in RULES], axis=0)) if n else np.zeros(n_docs)
+    prose_share = _share(sound, total)
+    not_prose = (prose_share < 0.5) & (total > 0)
+    reasons = [",".join(r for r, x in zip(RULES, hit[:, d]) if x > 0) for d in range(n_docs)]
+
+    d_word, d_token, d_lines = document.through(word_at), document.through(token_at), document.sum()
+    n_words = d_word.sum()
+    line_codes = _codes(lines)
     again = np.ones(n, bool)
-    again[np.unique(seen, return_index=True)[1]] = False
-    bullets = _is(lines, SHAPES["list"])
+    again[np.unique(doc * (int(line_codes.max()) + 1 if n else 1) + line_codes, return_index=True)[1]] = False
     out = {
-        "n_words": d_words.astype(np.int64),
-        "mean_word_len": _share(_sum(n_docs, doc, word_chars), d_words),
-        "symbol_ratio": _share(_sum(n_docs, doc, symbols), d_words),
-        "punctuated_lines": _share(_sum(n_docs, doc, ends), d_lines),
-        "bullet_lines": _share(_sum(n_docs, doc, bullets), d_lines),
-        "ellipsis_lines": _share(_sum(n_docs, doc, _is(lines, r"(\x{2026}|\.\.\.)$")), d_lines),
-        "short_lines": _share(_sum(n_docs, doc, chars <= 30), d_lines),
-        "alpha_words": _share(_sum(n_docs, doc, alpha_tokens), d_tokens),
-        "common_share": _share(_sum(n_docs, doc, n_common), d_words),
-        "n_common": _sum(n_docs, doc, n_common).astype(np.int64),
-        "repeated_line_chars": _share(_sum(n_docs, doc, chars * again), total),
+        "n_words": n_words.astype(np.int64),
+        "mean_word_len": _share(d_word.sum(word_len), n_words),
+        "symbol_ratio": _share(document.sum(_counts(lines, r"#|\x{2026}|\.\.\.")), n_words),
+        "punctuated_lines": _share(document.sum(ends), d_lines),
+        "bullet_lines": _share(document.sum(bullets), d_lines),
+        "ellipsis_lines": _share(document.sum(_flags(lines, r"(\x{2026}|\.\.\.)$")), d_lines),
+        "short_lines": _share(document.sum(chars <= SHORT_LINE), d_lines),
+        "alpha_words": _share(d_token.sum(alpha), d_token.sum()),
+        "common_share": _share(d_word.sum(is_common), n_words),
+        "n_common": d_word.sum(is_common).astype(np.int64),
+        "repeated_line_chars": _share(document.sum(chars * again), total),
         "prose_share": prose_share,
-        "main_shape": np.array(_KINDS, object)[main],
-        "has_text": total > 0,
+        "main_reason": np.where(not_prose, np.array(RULES, object)[hit.argmax(axis=0)] if n_docs else "", ""),
+        "passage_reasons": np.array(reasons, object),
+        "not_prose": not_prose,
     }
-    failures = {
-        "few_words": out["n_words"] < MIN_WORDS,
-        "many_words": out["n_words"] > MAX_WORDS,
+    whole = {
+        "few_words": n_words < MIN_WORDS,
+        "many_words": n_words > MAX_WORDS,
         "word_length": (out["mean_word_len"] < MIN_MEAN_WORD) | (out["mean_word_len"] > MAX_MEAN_WORD),
         "symbols": out["symbol_ratio"] > MAX_SYMBOL_RATIO,
         "bullets": out["bullet_lines"] > MAX_BULLET_LINES,
@@ -279,28 +258,28 @@ def measure(texts: list[str | None], common: pa.Array) -> dict[str, np.ndarray]:
         "unpunctuated_lines": out["punctuated_lines"] < MIN_PUNCTUATED_LINES,
         "short_lines": out["short_lines"] > MAX_SHORT_LINES,
         "repeated_lines": out["repeated_line_chars"] > MAX_REPEATED_LINE_CHARS,
-        "not_prose": (prose_share < 0.5) & out["has_text"],
+        "not_prose": not_prose,
     }
-    reasons = np.full(n_docs, "", object)
-    for name, failed in failures.items():
-        reasons[failed] = [f"{r},{name}" if r else name for r in reasons[failed]]
-    out["reasons"] = reasons
+    out["reasons"] = np.array([",".join(r for r, x in whole.items() if x[d]) for d in range(n_docs)], object)
     return out
 
 
 def text_quality(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Statistics of each text, and the names of the rules it fails.
-
-    ``reasons`` lists the published rules that failed, and 'not_prose' where less
-    than half of the characters are in running sentences; ``main_shape`` names what
-    most of the others are in. Null, empty and blank texts have zeros and are never
-    'not_prose'. ``common_words`` (lang, word) is a table of parameters and is sent
-    to each executor; nulls in it are ignored. Repeated and null ids are kept.
+    """Statistics of each text, and the names of the rules that it fails.
+
+    ``passage_reasons`` lists the rules that a passage fails, ``prose_share`` is the
+    share of characters in passages that fail none, and ``main_reason`` the rule that
+    most characters fail where that share is below a half. ``reasons`` lists the
+    published rules for whole documents, of which the first fails most short texts,
+    and 'not_prose' where there is a main reason. Null, empty and blank texts have zeros and no main reason. ``common_words``
+    (lang, word) is sent to each executor; nulls in it are ignored. Its size is
+    checked against MOST_COMMON_BYTES. Repeated and null ids are kept.
     """
-    words = [r[0] for r in common_words.where("word is not null").select(F.lower("word")).distinct().limit(MOST_COMMON_WORDS + 1).collect()]
-    if len(words) > MOST_COMMON_WORDS:
-        raise ValueError(f"more than {MOST_COMMON_WORDS} common words")
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    words = common_words.where("word is not null").select(F.lower("word").alias("word")).distinct()
+    held = words.agg(F.sum(F.octet_length("word"))).first()[0] or 0
+    if held > MOST_COMMON_BYTES:
+        raise ValueError(f"{held} bytes of common words; a list of function words has some thousand")
+    shared = docs.sparkSession.sparkContext.broadcast([r[0] for r in words.collect()])
     names = [c.strip().split(" ")[0] for c in _STATS.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,10 +294,10 @@ def text_quality(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id
     return map_arrow(docs.select(id_col, F.col(text_col).cast("string").alias("text")), run, f"`{id_col}` {kind}, {_STATS}")
 
 
-#: Common words of all languages together.
-MOST_COMMON_WORDS = 100_000
+#: Bytes of common words of all languages together.
+MOST_COMMON_BYTES = 64 << 20
 
 
 def not_prose(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col) of the texts whose characters are, by the larger part, not in running sentences."""
-    return text_quality(docs, common_words, id_col, text_col).where("array_contains(split(reasons, ','), 'not_prose')").select(id_col)
+    """(id_col) of the texts whose characters are, by the larger part, in passages that fail a rule."""
+    return text_quality(docs, common_words, id_col, text_col).where("main_reason <> ''").select(id_col)

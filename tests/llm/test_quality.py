@@ -75,6 +75,7 @@ def test_statistics_and_reasons(spark):
     assert {"few_words", "repeated_lines"} <= set(first.reasons.split(","))
     for empty in (got[2, 0], got[3, 0]):
         assert empty.prose_share == 0 and "not_prose" not in empty.reasons
-    assert got[3, 2].bullet_lines == 1 and "not_prose" in got[3, 2].reasons and got[3, 2].main_shape == "list"
+    assert got[3, 2].bullet_lines == 1 and "not_prose" in got[3, 2].reasons and got[3, 2].main_reason == "bullets"
+    assert got[3, 2].passage_reasons.split(",")[0] == "bullets" and first.passage_reasons == ""
     assert [r.doc_id for r in not_prose(docs, words).collect()].count(3) == 1
     assert text_quality(docs.where("false"), words.where("false")).count() == 0
