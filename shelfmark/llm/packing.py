@@ -3,24 +3,25 @@
 Items of one length are alike, so the plan is made on counts per length, of which
 there are at most as many as a container holds tokens. It says which ranks of
 each length go to which containers; rows get their rank by exact offset chunking
-and look their container up. Nothing is gathered but the counts.
+and look their container up. Each kind is planned by one task, from its counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from shelfmark.llm.tokenizer import DEFAULT_VOCABULARY, count_tokens
 from shelfmark.operators.hot_keys import with_chunks
-from shelfmark.runtime import map_arrow, materialize
+from shelfmark.runtime import materialize, ship
 
-#: Kinds of containers in one call.
-MOST_KINDS = 1000
+#: Kinds of containers that are packed together.
+KINDS_AT_ONCE = 100
 
 
 class _Plan:
@@ -28,7 +29,8 @@ class _Plan:
 
     def __init__(self, counts: dict[int, int], capacity: int) -> None:
         self.capacity = capacity
-        self.left = [0] * (capacity + 1)
+        #: Items of each length that are left.
+        self.left = np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
             if not 1 <= length <= capacity:
                 raise ValueError("lengths must lie between 1 and the capacity")
@@ -36,25 +38,16 @@ class _Plan:
         self.next_rank = [0] * (capacity + 1)
         self.placements: list[tuple[int, int, int, int, int]] = []
         self.containers = 0
-        #: Bit x is set while a length x is left; bit s of ``pairs`` where two lengths once summed to s.
-        self.singles = sum(1 << x for x in range(1, capacity + 1) if self.left[x])
+        #: Whether two lengths may sum to this. Items only get fewer, so a sum that has failed never comes back.
         self.pairs = self._pair_sums()
 
-    def _pair_sums(self) -> int:
-        bits, mask = 0, (1 << (self.capacity + 1)) - 1
-        for x in self._lengths():
-            if 2 * x > self.capacity:
-                # Both addends in increasing order: the smaller one is at most half.
-                break
-            bits |= ((self.singles >> x) << 2 * x) & mask
-        return bits
-
-    def _lengths(self, up_to: int | None = None) -> Iterator[int]:
-        bits = self.singles if up_to is None else self.singles & ((1 << (max(up_to, 0) + 1)) - 1)
-        while bits:
-            low = bits & -bits
-            yield low.bit_length() - 1
-            bits ^= low
+    def _pair_sums(self) -> np.ndarray:
+        lengths = np.flatnonzero(self.left)
+        sums = np.zeros(2 * self.capacity + 2, bool)
+        for x in lengths[2 * lengths <= self.capacity].tolist():
+            # The smaller of the two is at most half.
+            sums[lengths + x] = True
+        return sums[: self.capacity + 1]
 
     def put(self, length: int, each: int, first: int, containers: int) -> None:
         """``each`` items of ``length`` into each of ``containers`` containers."""
@@ -62,13 +55,11 @@ class _Plan:
         self.placements.append((length, self.next_rank[length], n, first, containers))
         self.next_rank[length] += n
         self.left[length] -= n
-        if not self.left[length]:
-            self.singles &= ~(1 << length)
 
     def take(self, combination: tuple[int, ...]) -> bool:
         """Fill as many containers with this exact combination as the counts allow."""
         distinct = {x: combination.count(x) for x in combination}
-        k = min(self.left[x] // m for x, m in distinct.items())
+        k = min(int(self.left[x]) // m for x, m in distinct.items())
         if not k:
             return False
         for x, m in distinct.items():
@@ -78,51 +69,49 @@ class _Plan:
 
     def fill_pair(self, rest: int, head: tuple[int, ...]) -> bool:
         """Combinations of ``head`` and two lengths that sum to ``rest``; the most uneven first."""
-        taken = False
-        for a in list(self._lengths(rest // 2)):
+        taken, half = False, rest // 2
+        both = (self.left[1 : half + 1] > 0) & (self.left[rest - 1 : rest - half - 1 : -1] > 0)
+        for a in (np.flatnonzero(both) + 1).tolist():
             if not self.left[head[0]]:
                 break
             if self.left[a] and self.left[rest - a]:
                 taken |= self.take((*head, a, rest - a))
+        if not both.any():
+            self.pairs[rest] = False
         return taken
 
     def exact(self) -> None:
-        for length in range(self.capacity, 0, -1):
-            if not self.left[length]:
-                continue
+        for length in np.flatnonzero(self.left)[::-1].tolist():
             gap = self.capacity - length
             if not gap:
                 self.take((length,))
                 continue
-            if self.left[gap]:
+            if self.left[length] and self.left[gap]:
                 self.take((length, gap))
-            if self.left[length] and gap > 1 and self.pairs >> gap & 1:
+            if self.left[length] and gap > 1 and self.pairs[gap]:
                 self.fill_pair(gap, (length,))
             if self.left[length] and gap > 2:
                 self.fill_triples(length, gap)
 
     def fill_triples(self, length: int, gap: int) -> None:
-        stale = False
-        for c in sorted(self._lengths(gap - 2), reverse=True):
+        # The largest of three is at least a third.
+        least = -(-gap // 3)
+        third = np.arange(gap - 2, least - 1, -1)
+        for c in third[(self.left[third] > 0) & self.pairs[gap - third]].tolist():
             if not self.left[length]:
                 return
-            rest = gap - c
-            if 2 * c < rest:
-                break  # the largest of three is at least a third
-            if self.left[c] and self.pairs >> rest & 1 and not self.fill_pair(rest, (length, c)):
-                stale = True
-        if stale:
-            self.pairs = self._pair_sums()
+            if self.left[c] and self.pairs[gap - c]:
+                self.fill_pair(gap - c, (length, c))
 
     def best_fit(self) -> None:
         gaps: dict[int, list[tuple[int, int]]] = {}
         bits = 0
-        for length in range(self.capacity, 0, -1):
+        for length in np.flatnonzero(self.left)[::-1].tolist():
             while self.left[length]:
                 fitting = bits >> length
                 if not fitting:
-                    each = min(self.capacity // length, self.left[length])
-                    first, k = self.containers, self.left[length] // each
+                    each = min(self.capacity // length, int(self.left[length]))
+                    first, k = self.containers, int(self.left[length]) // each
                     self.containers += k
                     gap = self.capacity
                 else:
@@ -130,7 +119,7 @@ class _Plan:
                     first, k = gaps[gap].pop()
                     if not gaps[gap]:
                         bits &= ~(1 << gap)
-                    n = self.left[length]
+                    n = int(self.left[length])
                     if k > n:
                         gaps[gap].append((first + n, k - n))
                         bits |= 1 << gap
@@ -159,19 +148,34 @@ def plan_containers(counts: dict[int, int], capacity: int) -> tuple[list[tuple[i
     return plan.placements, plan.containers
 
 
-def _items(sizes: DataFrame, kinds: list[tuple], id_col: str, size_col: str) -> DataFrame:
-    """(container_kind, capacity, id, piece, from_token, length): texts over the capacity cut at its multiples."""
-    listed = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("long").alias("capacity_tokens")) for k, c in kinds])
-    whole = sizes.select("*", F.explode(listed).alias("k")).select(id_col, size_col, "k.*")
-    pieces = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.expr(f"({size_col} - 1) div capacity_tokens")))
-    return whole.select("container_kind", "capacity_tokens", id_col, size_col, F.explode(pieces).alias("piece")).select(
-        "container_kind",
-        F.col("capacity_tokens").alias("capacity"),
-        id_col,
-        "piece",
-        (F.col("piece") * F.col("capacity_tokens")).alias("from_token"),
-        F.least(F.col("capacity_tokens"), F.col(size_col) - F.col("piece") * F.col("capacity_tokens")).alias("length"),
-    )
+def _items(sizes: DataFrame, capacities: list[int], id_col: str, size_col: str) -> DataFrame:
+    """(code, capacity, id, piece, from_token, length): texts over the capacity cut at its multiples; code is a kind's place."""
+    kinds = F.posexplode(F.array(*[F.lit(c).cast("long") for c in capacities])).alias("code", "capacity")
+    pieces = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.expr(f"(`{size_col}` - 1) div capacity")))
+    start = F.col("piece") * F.col("capacity")
+    return sizes.select(id_col, size_col, kinds).select("*", F.explode(pieces).alias("piece")).select(
+        "code", "capacity", id_col, "piece", start.alias("from_token"), F.least(F.col("capacity"), F.col(size_col) - start).alias("length")
+    )
+
+
+_PLAN = "code int, length long, low long, items long, first long, width long, step long"
+
+
+def _plan_kind(table: pa.Table) -> pa.Table:
+    """The placements of one kind, whose counts per length are at most as many as its capacity."""
+    code, capacity = table["code"][0].as_py(), table["capacity"][0].as_py()
+    counts = dict(zip(table["length"].to_pylist(), table["n"].to_pylist()))
+    empty = counts.pop(0, 0)
+    placed, total = plan_containers(counts, capacity)
+    if empty:
+        placed.append((0, 0, empty, 0, max(1, total)))
+    at = np.array(placed, np.int64).reshape(-1, 5)
+    # Ranks are looked up in steps as long as a length's placements are on average.
+    per_length, inverse, n = np.unique(at[:, 0], return_inverse=True, return_counts=True)
+    held = np.bincount(inverse, at[:, 2], len(per_length)).astype(np.int64)
+    step = np.maximum(1, held // np.maximum(1, n))[inverse] if len(at) else at[:, 0]
+    columns = [np.full(len(at), code, np.int32), *at.T, step]
+    return pa.table(columns, names=["code", "length", "low", "items", "first", "width", "step"])
 
 
 def pack(sizes: DataFrame, containers: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens") -> DataFrame:
@@ -179,70 +183,44 @@ def pack(sizes: DataFrame, containers: DataFrame, id_col: str = "doc_id", size_c
 
     ``sizes`` has the items' sizes, ``containers`` container_kind and
     capacity_tokens. Only an item longer than the capacity is split: into full
-    pieces and one rest. Items of size 0 (or null) are spread over the containers by
-    their id and take no room. Repeated and null ids are items like others. Kinds
-    without a positive capacity hold nothing and are left out; no items, no rows.
-    ``containers`` is a table of parameters: over MOST_KINDS kinds are refused.
+    pieces and one rest. Items of size 0 (or null) are spread over the containers
+    and take no room. Repeated and null ids are items like others. Kinds without a
+    positive capacity hold nothing and are left out; no items, no rows. Each kind is
+    planned by a task of its own, from its counts per length. ``containers`` is
+    a table of parameters: its kinds are taken KINDS_AT_ONCE at a time.
     """
-    kinds = [tuple(r) for r in containers.where("capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct().limit(MOST_KINDS + 1).collect()]
-    if len(kinds) > MOST_KINDS:
-        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
     sizes = sizes.select(id_col, F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias(size_col))
+    kinds = [tuple(r) for r in containers.where("capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct().sort("container_kind", "capacity_tokens").toLocalIterator()]
     if not kinds:
         sizes, kinds = sizes.where("false"), [(None, 1)]
-    items = _items(sizes, kinds, id_col, size_col)
-    keys = ["container_kind", "capacity", "length"]
-    ranked = with_chunks(items, keys, 1).withColumnRenamed("chunk", "rank")
-    ranked = materialize(ranked, "ranked")
-    # At most as many counts as the capacities sum to.
-    counts: dict[tuple, dict[int, int]] = {}
-    for r in ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect():
-        counts.setdefault((r["container_kind"], r["capacity"]), {})[r["length"]] = r["n"]
-    codes, lows, firsts, widths, totals = {}, [], [], [], []
-    for code, ((kind, capacity), n) in enumerate(sorted(counts.items(), key=str)):
-        n.pop(0, None)
-        placed, total = plan_containers(n, capacity)
-        codes[kind, capacity] = code
-        totals.append(max(1, total))
-        for length, low, _, first, k in placed:
-            lows.append((code, length, low))
-            firsts.append(first)
-            widths.append(k)
-    order = sorted(range(len(lows)), key=lows.__getitem__)
-    at = np.array([lows[i] for i in order], np.int64).reshape(-1, 3)
-    # The plan: some numbers for each distinct length, as the capacity bounds them.
-    shared = sizes.sparkSession.sparkContext.broadcast((codes, at, np.array([firsts[i] for i in order], np.int64), np.array([widths[i] for i in order], np.int64), totals))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, at, first, width, totals = shared.value
-        stride = int(at[:, 1].max()) + 1 if len(at) else 1
-        place = at[:, 0] * stride + at[:, 1]
-        starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.array([], np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            code = np.array([codes[k] for k in zip(batch["container_kind"].to_pylist(), batch["capacity"].to_pylist())], np.int64)
-            length, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
-            container = batch["spread"].to_numpy() % np.array(totals, np.int64)[code]
-            some = np.flatnonzero(length > 0)
-            if len(some):
-                slot = np.searchsorted(place[starts], code[some] * stride + length[some])
-                lo, hi = starts[slot], np.r_[starts[1:], len(place)][slot]
-                # Bisection of each row's rank among the placements of its length.
-                while (open_ := hi - lo > 1).any():
-                    mid = (lo + hi) // 2
-                    right = open_ & (at[mid, 2] <= rank[some])
-                    lo, hi = np.where(right, mid, lo), np.where(open_ & ~right, mid, hi)
-                container[some] = first[lo] + (rank[some] - at[lo, 2]) % width[lo]
-            yield pa.RecordBatch.from_arrays(
-                [batch["container_kind"], pa.array(container), batch[id_col], batch["piece"], batch["from_token"], batch["length"]],
-                names=["container_kind", "container", id_col, "piece", "from_token", "length"],
-            )
-
-    kind = sizes.schema[id_col].dataType.simpleString()
-    label = containers.schema["container_kind"].dataType.simpleString()
-    placed = ranked.withColumn("spread", F.xxhash64(id_col).bitwiseAND(F.lit((1 << 62) - 1)))
-    return map_arrow(placed, run, f"container_kind {label}, container long, `{id_col}` {kind}, piece long, from_token long, length long")
+    label = containers.schema["container_kind"].dataType
+    parts = [_pack_kinds(sizes, kinds[i : i + KINDS_AT_ONCE], id_col, size_col, label) for i in range(0, len(kinds), KINDS_AT_ONCE)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _pack_kinds(sizes: DataFrame, kinds: list[tuple], id_col: str, size_col: str, label: DataType) -> DataFrame:
+    keys = ["code", "capacity", "length"]
+    items = _items(sizes, [c for _, c in kinds], id_col, size_col)
+    ranked = materialize(with_chunks(items, keys, 1).withColumnRenamed("chunk", "rank"), "ranked")
+    counts = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    ship(sizes.sparkSession)
+    plan = materialize(counts.groupBy("code").applyInArrow(_plan_kind, _PLAN), "plan")
+    # A placement is looked up by the steps that its ranks reach into.
+    steps = plan.select("code", "length", "step").distinct()
+    reach = F.sequence(F.expr("low div step"), F.expr("(low + items - 1) div step"))
+    placements = plan.select("code", "length", "low", "items", "first", "width", F.explode(reach).alias("at"))
+    names = F.array(*[F.lit(k).cast(label) for k, _ in kinds])
+    return (
+        ranked.join(steps, ["code", "length"])
+        .withColumn("at", F.expr("rank div step"))
+        .join(placements, ["code", "length", "at"])
+        .where("rank >= low and rank < low + items")
+        .select(
+            F.element_at(names, F.col("code") + 1).alias("container_kind"),
+            F.expr("first + (rank - low) % width").alias("container"),
+            id_col, "piece", "from_token", "length",
+        )
+    )
 
 
 def pack_corpus(docs: DataFrame, containers: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
