@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.runtime import map_arrow, materialize
+from shelfmark.runtime import map_arrow, materialize, spread_scan
 
 # Kinds of compatibility characters that look different from what they stand for.
 _RAISED_LOWERED_CIRCLED = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>")
@@ -158,25 +158,64 @@ def canonical_paths(paths: DataFrame) -> DataFrame:
     return canonical_text(names, ["segment_form", "full_path_form"])
 
 
-def lookalike_pairs(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: rows whose texts differ in characters but have one form.
+#: Rows of a form on one side of a task's pairs, about.
+PAIR_ROWS = 1000
+
 
-    Equal texts are brought together first, so that a text with many rows is
-    compared once; forms with a single text end there. Rows with a null id or
-    text are left out; repeated rows count once.
+def _keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, f, t): 128-bit hashes of each row's form and text, as two numbers each; written.
+
+    From here on only numbers travel, no texts. Rows with a null id or text are left out.
     """
     given = rows.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    forms = canonical_text(given.select("text", F.col("text").alias("form")).distinct(), ["form"])
-    forms = materialize(forms, "forms")
-    shared = materialize(forms.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("form"), "shared-forms")
-    variants = forms.join(shared, "form")
-    members = materialize(given.join(variants, "text").distinct(), "members")
-    a = members.select("form", F.col("id").alias("id_a"), F.col("text").alias("text_a"))
-    b = members.select("form", F.col("id").alias("id_b"), F.col("text").alias("text_b"))
-    return a.join(b, "form").where("id_a < id_b and text_a <> text_b").select("id_a", "id_b")
+    forms = canonical_text(spread_scan(given).withColumn("form", F.col("text")), ["form"])
+    hashes = [F.xxhash64(F.lit(seed), of).alias(f"{of[0]}{seed}") for of in ("form", "text") for seed in (1, 2)]
+    return materialize(forms.select("id", *hashes), "form-keys")
+
+
+_FORM, _TEXT = ["f1", "f2"], ["t1", "t2"]
+
+
+def lookalike_classes(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, class_id, n_links): each row's class of equal-looking texts, and how many rows look alike but differ.
+
+    ``class_id`` is the lowest id of the class; a row that nothing looks like is a
+    class of its own. Rows of equal text are in the same class without a link
+    between them. A repeated row comes out as often as it is given and counts as often.
+    """
+    keyed = _keyed(rows, id_col, text_col)
+    texts = keyed.groupBy(*_FORM, *_TEXT).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    forms = texts.groupBy(*_FORM).agg(F.sum("n").alias("n_form"), F.min("least").alias("class_id"))
+    known = materialize(texts.join(forms, _FORM).select(*_TEXT, "class_id", (F.col("n_form") - F.col("n")).alias("n_links")), "classes")
+    return keyed.join(known, _TEXT).select(F.col("id").alias(id_col), "class_id", "n_links")
+
+
+def lookalike_pairs(rows: DataFrame, id_col: str, text_col: str, pair_rows: int = PAIR_ROWS) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: rows whose texts differ in characters but have one form.
+
+    A form with a single text ends before anything is joined. The rows of a form
+    with many are dealt out over several tasks, each of which pairs about
+    ``pair_rows`` with all.
+    Rows with a null id or text are left out; repeated rows count once.
+    """
+    keyed = _keyed(rows, id_col, text_col)
+    range_of = [F.min(t).alias(f"low_{t}") for t in _TEXT] + [F.max(t).alias(f"high_{t}") for t in _TEXT]
+    several = (F.col("low_t1") != F.col("high_t1")) | (F.col("low_t2") != F.col("high_t2"))
+    deals = F.ceil(F.col("n") / pair_rows).cast("int").alias("deals")
+    shared = materialize(keyed.groupBy(*_FORM).agg(F.count(F.lit(1)).alias("n"), *range_of).where(several).select(*_FORM, deals), "shared-forms")
+    members = materialize(keyed.join(shared, _FORM).distinct(), "members")
+    a = members.select(*_FORM, F.pmod(F.xxhash64("id"), F.col("deals")).cast("int").alias("deal"), F.col("id").alias("id_a"), *[F.col(t).alias(f"a_{t}") for t in _TEXT])
+    b = members.select(*_FORM, F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("id").alias("id_b"), *[F.col(t).alias(f"b_{t}") for t in _TEXT])
+    differ = (F.col("a_t1") != F.col("b_t1")) | (F.col("a_t2") != F.col("b_t2"))
+    return a.join(b, [*_FORM, "deal"]).where((F.col("id_a") < F.col("id_b")) & differ).select("id_a", "id_b")
 
 
 def lookalike_paths(paths: DataFrame) -> DataFrame:
     """(path_id_a, path_id_b): rows of ``paths`` whose full_paths look alike but aren't the same."""
     pairs = lookalike_pairs(paths, "id", "full_path")
     return pairs.select(F.col("id_a").alias("path_id_a"), F.col("id_b").alias("path_id_b"))
+
+
+def path_classes(paths: DataFrame) -> DataFrame:
+    """(path_id, class_id, n_links) of the rows of ``paths`` with a full_path."""
+    return lookalike_classes(paths, "id", "full_path").withColumnRenamed("id", "path_id")

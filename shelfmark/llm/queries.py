@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm.lookalikes import canonical_paths, lookalike_paths
+from shelfmark.llm.lookalikes import canonical_paths, lookalike_paths, path_classes
 from shelfmark.llm.packing import pack_corpus, packing_summary
 from shelfmark.llm.quality import not_prose, text_quality
 from shelfmark.llm.survivors import golden_entries, surviving_entries
@@ -37,6 +37,10 @@ def p5_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return canonical_paths(*_tables(spark, folder, "paths"))
 
 
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return path_classes(*_tables(spark, folder, "paths"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(_documents(spark, folder))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "p3_golden": p3_golden,
     "p5_found": p5_found,
     "p5_canonical": p5_canonical,
+    "p5_classes": p5_classes,
     "p7_ids": p7_ids,
     "p7_round_trip": p7_round_trip,
     "p8_pack": p8_pack,

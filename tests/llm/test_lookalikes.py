@@ -2,7 +2,7 @@ import itertools
 
 import pytest
 
-from shelfmark.llm.lookalikes import canonical_text, lookalike_pairs, lookalike_paths
+from shelfmark.llm.lookalikes import canonical_text, lookalike_classes, lookalike_pairs, lookalike_paths
 
 SAME = [
     ["café", "café", "c​afé", "саfé", "ｃａｆé", "cafе́"],
@@ -58,7 +58,17 @@ def test_pairs_with_repeated_and_null_rows(spark):
 def test_a_text_held_by_most_rows(spark):
     rows = [(i, "сору") for i in range(300)] + [(1000, "copy"), (1001, "cоpy")]
     got = {tuple(r) for r in lookalike_pairs(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()}
-    assert got == {(i, k) for i in range(300) for k in (1000, 1001)} | {(1000, 1001)}
+    want = {(i, k) for i in range(300) for k in (1000, 1001)} | {(1000, 1001)}
+    assert got == want
+    dealt = lookalike_pairs(spark.createDataFrame(rows, "id long, t string"), "id", "t", pair_rows=7).collect()
+    assert len(dealt) == len(want) and {tuple(r) for r in dealt} == want
+
+
+def test_classes_name_every_row_and_count_its_links(spark):
+    rows = [(3, "сору", "x"), (1, "copy", "x"), (2, "copy", "x"), (4, "other", "x"), (5, None, "x"), (None, "copy", "x"), (4, "other", "x"), (6, "", "x")]
+    df = spark.createDataFrame(rows, "id long, t string, class_id string")
+    assert sorted(tuple(r) for r in lookalike_classes(df, "id", "t").collect()) == [(1, 1, 1), (2, 1, 1), (3, 1, 2), (4, 4, 0), (4, 4, 0), (6, 6, 0)]
+    assert lookalike_classes(df.where("false"), "id", "t").count() == 0
 
 
 def test_long_texts_are_rewritten_whole(spark):
