@@ -3,25 +3,72 @@
 from __future__ import annotations
 
 import argparse
+import datetime as dt
+import os
 import sys
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.inventory import load
+from shelfmark.inventory import load, read_inventory
 from shelfmark.operators import cleanup, cross, diff, duplicates, folders, totals, upkeep
 from shelfmark.operators.hierarchy import link_defects
 from shelfmark.operators.reconcile import copy_differences
 from shelfmark.operators.snapshot_changes import snapshot_changes
-from shelfmark.plans.search import QueryError, search
-from shelfmark.runtime import get_session
-from shelfmark.sources import exports
-from shelfmark.tables import read_table
+from shelfmark.plans.search import QueryError, search, search_total
+from shelfmark.runtime import get_session, materialize
+from shelfmark.sources import actions, exports, ingest, registry
+from shelfmark.sources.store import Store
 
 
 def _tables(spark: SparkSession, a: argparse.Namespace, *names: str) -> list[DataFrame]:
-    return [read_table(spark, a.tables, n) for n in names]
+    return read_inventory(spark, a.tables, *names)
+
+
+def _now() -> str:
+    return dt.datetime.now(dt.UTC).strftime("%Y-%m-%dT%H:%M:%S")
+
+
+def _index(mode: str):
+    def run(spark: SparkSession, a: argparse.Namespace) -> str:
+        store = Store(spark, a.tables)
+        if a.label or store.drives().where(F.col("id") == a.drive).isEmpty():
+            store.name_drive(a.drive, a.label or None, os.path.abspath(a.root))
+        exclusions = [e for e in a.exclude.split(",") if e]
+        n = ingest.index(spark, store, a.root, a.drive, a.at or _now(), a.note or None, mode, a.full, exclusions=exclusions, skip_cloud=a.skip_cloud, one_fs=a.one_fs)
+        return f"drive {a.drive}: snapshot {n}"
+
+    return run
+
+
+def _prune(spark: SparkSession, a: argparse.Namespace) -> str:
+    as_of = a.as_of or _now().replace("T", " ")
+    return f"dropped snapshots {Store(spark, a.tables).prune(a.drive, as_of, a.keep_last, a.keep_monthly, a.force)}"
+
+
+def _compact(spark: SparkSession, a: argparse.Namespace) -> str:
+    store = Store(spark, a.tables)
+    store.compact(a.drive, a.snapshot or store.latest_id(a.drive), a.files)
+    return "rewritten"
+
+
+def _plan(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    return cleanup.cleanup_plan(load(spark, a.tables).where(F.col("drive_id") == a.drive), a.strategy, a.min_size)
+
+
+def _execute(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    done = actions.execute(_plan(spark, a), a.root, a.action, a.quarantine, dry_run=not a.yes)
+    if a.yes:
+        exports.append_audit(done, a.audit or f"{a.tables}/audit")
+    return done
+
+
+def _duplicate_folders(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    latest = load(spark, a.tables)
+    rows = materialize(folders.linked_rows(latest, *_tables(spark, a, "entries_core", "paths")), "folder-links")
+    groups = folders.duplicate_folders(folders.folder_hashes(rows).join(rows.select("id", "drive_id"), "id"))
+    return groups.join(latest.select(F.col("id").alias("first_id"), "rel_path"), "first_id").select("drive_id", "n", "rel_path")
 
 
 def _two(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
@@ -41,19 +88,37 @@ def _diff(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="shelfmark", description=__doc__)
-    p.add_argument("--tables", required=True, help="folder with one Parquet table per name")
+    p.add_argument("--tables", required=True, help="folder of a store, or with one Parquet table per name")
     p.add_argument("--out", help="write the whole result to this folder instead of showing its first rows")
     p.add_argument("--format", choices=("csv", "json", "parquet"), default="csv")
     p.add_argument("--rows", type=int, default=50, help="rows shown")
     commands = p.add_subparsers(dest="command", required=True)
 
-    def add(name: str, run, **options) -> None:
+    def add(name: str, run, *positional: str, **options) -> None:
+        """Options by their defaults: False is a flag, None a number without one, '' a text without one."""
         c = commands.add_parser(name)
+        for argument in positional:
+            c.add_argument(argument)
         for flag, default in options.items():
-            kind = {bool: {"action": "store_true"}}.get(type(default), {"type": type(default) if default is not None else int, "default": default})
+            kind = {"action": "store_true"} if default is False else {"type": int if default is None else type(default), "default": default}
             c.add_argument(f"--{flag.replace('_', '-')}", **kind)
         c.set_defaults(run=run)
 
+    taking = {"drive": 1, "at": "", "note": "", "full": False, "exclude": "", "skip_cloud": False, "one_fs": False}
+    for name, mode in (("index", "fresh"), ("snapshot", "snapshot"), ("refresh", "refresh")):
+        add(name, _index(mode), "root", **taking, label="")
+    add("fill", lambda s, a: f"hashed {ingest.fill(Store(s, a.tables), a.drive, a.root, a.min_size)}", "root", drive=1, min_size=1024)
+    add("verify", lambda s, a: ingest.reread(s, Store(s, a.tables), a.drive, a.root), "root", drive=1)
+    add("prune", _prune, drive=1, as_of="", keep_last=10, keep_monthly=12, force=False)
+    add("compact", _compact, drive=1, snapshot=None, files=1)
+    add("drives", lambda s, a: _tables(s, a, "drive")[0])
+    add("root", lambda s, a: registry.resolve_root(load(s, a.tables).where(F.col("drive_id") == a.drive), a.stored), "stored", drive=1)
+    add("import-folder", lambda s, a: s.createDataFrame(registry.import_folder(a.folder), "file string, state string"), "folder")
+    add("dup-folders", _duplicate_folders)
+    cleaning = {"drive": 1, "strategy": "shortest", "min_size": 1 << 20}
+    add("cleanup-script", lambda s, a: exports.cleanup_script(_plan(s, a).where("not keep").toLocalIterator(), a.root, a.quarantine, a.action, a.shell), "root", **cleaning, quarantine="quarantine", action="quarantine", shell="bash")
+    add("execute", _execute, "root", **cleaning, quarantine="", action="quarantine", yes=False, audit="")
+    add("find-total", lambda s, a: search_total(load(s, a.tables), a.query), "query")
     add("totals", lambda s, a: totals.drive_totals(load(s, a.tables)))
     add("snapshots", lambda s, a: totals.snapshot_list(*_tables(s, a, "snapshots")))
     add("ext-breakdown", lambda s, a: totals.extension_breakdown(load(s, a.tables), a.limit), limit=20)
@@ -87,6 +152,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     spark = spark or get_session("shelfmark")
     try:
         df = a.run(spark, a)
+        if isinstance(df, str):
+            print(df)
+            return 0
     except QueryError as e:
         print(f"query: {e}", file=sys.stderr)
         return 2

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.runtime import drop_materialized, scratch_dir
+from shelfmark.sources.store import Store, is_store
 from shelfmark.tables import current_rows, delivered_snapshots, read_table
 
 COLUMNS = (
@@ -52,17 +53,26 @@ def _exists(spark: SparkSession, name: str) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
+def read_inventory(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
+    """Tables by name: of a folder with a Parquet table for each, or of a :class:`Store`.
+
+    Labels are for people: an inventory without a table of drives is one all the same.
+    """
+    if is_store(spark, folder):
+        tables = Store(spark, folder).tables()
+        return [tables[n] for n in names]
+    unlabelled = "drive" in names and not _exists(spark, f"{folder}/drive.parquet")
+    return [spark.createDataFrame([], "id long, label string") if n == "drive" and unlabelled else read_table(spark, folder, n) for n in names]
+
+
 def _signature(folder: str, tables: list[DataFrame], latest_only: bool) -> str:
-    """What the tables' files are: their names, and per table its length and time of change."""
-    spark, h = tables[0].sparkSession, hashlib.sha256(f"{_LAYOUT} {latest_only}".encode())
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for name, table in zip(_TABLES, tables):
-        if not (files := sorted(table.inputFiles())):
-            continue
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
-        fs = path.getFileSystem(conf)
-        h.update(repr((files, fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime())).encode())
-    return h.hexdigest()[:32]
+    """What the tables' files are: their names, and the length and times of change of what lies in ``folder``."""
+    spark = tables[0].sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path))
+    files = sorted({f for t in tables for f in t.inputFiles()})
+    return hashlib.sha256(repr((_LAYOUT, latest_only, fs.getContentSummary(path).getLength(), there, files)).encode()).hexdigest()[:32]
 
 
 #: Raised when the index's columns or layout change, so that an older one isn't read.
@@ -78,10 +88,7 @@ def load(spark: SparkSession, folder: str, latest_only: bool = True) -> DataFram
     else in the application's scratch folder. It is partitioned by drive; a drive
     with many rows has many files, one with few has one.
     """
-    tables = [read_table(spark, folder, t) for t in _TABLES[:-1]]
-    # Labels are for people: an inventory without them is one all the same.
-    labelled = _exists(spark, f"{folder}/{_TABLES[-1]}.parquet")
-    tables.append(read_table(spark, folder, _TABLES[-1]) if labelled else spark.createDataFrame([], "id long, label string"))
+    tables = read_inventory(spark, folder, *_TABLES)
     key, signature = (spark.sparkContext.applicationId, folder, latest_only), _signature(folder, tables, latest_only)
     if _prepared.get(key, ("",))[0] == signature:
         return _prepared[key][1]

@@ -22,17 +22,22 @@ _lock = Lock()
 
 
 def get_session(app: str = "shelfmark", cores: int | str = "*", **conf: str) -> SparkSession:
-    """A local session with the settings the library expects (UTC, AQE, Arrow)."""
+    """A session with the settings the library expects (UTC, AQE, Arrow).
+
+    Under spark-submit the master and all sizes are those given there; otherwise the
+    session is a local one of ``cores`` threads.
+    """
+    builder = SparkSession.builder.appName(app)
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.shuffle.partitions": "8",
-        "spark.ui.enabled": "false",
-        "spark.driver.memory": "8g",
-    } | conf
-    return SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=settings).getOrCreate()
+    }
+    if "PYSPARK_GATEWAY_PORT" not in os.environ:
+        builder = builder.master(f"local[{cores}]")
+        settings |= {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
+    return builder.config(map=settings | conf).getOrCreate()
 
 
 def scratch_dir(spark: SparkSession) -> str:

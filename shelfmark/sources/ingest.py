@@ -14,7 +14,7 @@ from shelfmark.functions.hashing import full_file_digest, partial_file_digest
 from shelfmark.functions.columns import base_name
 from shelfmark.operators.duplicates import fill_candidates
 from shelfmark.operators.folders import folder_hashes
-from shelfmark.operators.upkeep import reuse_hashes
+from shelfmark.operators.upkeep import reuse_hashes, verify
 from shelfmark.runtime import map_arrow, materialize
 from shelfmark.sources import filesystem
 from shelfmark.sources.store import Store
@@ -49,7 +49,7 @@ def index(spark: SparkSession, store: Store, root: str, drive_id: int, taken_at:
     if last is None:
         known = found.where("false").select("id", "partial_hash", "full_hash")
     else:
-        old = store.entries().where((F.col("drive_id") == drive_id) & (F.col("snapshot_id") == last)).withColumn("id", F.lit(0).cast("long"))
+        old = store.latest(drive_id).withColumn("id", F.lit(0).cast("long"))
         known = reuse_hashes(old, found).select("id", "partial_hash", "full_hash")
     files = found.where("is_dir = 0 and is_symlink = 0 and error is null")
     to_read = files.drop("partial_hash", "full_hash").join(known, "id", "left").select("rel_path", "size", "partial_hash", "full_hash")
@@ -71,6 +71,23 @@ def confirm(latest: DataFrame, root: str, min_size: int = 1024) -> DataFrame:
     return map_arrow(todo, run, "id long, full_hash binary").where("full_hash is not null")
 
 
+def fill(store: Store, drive_id: int, root: str, min_size: int = 1024) -> int:
+    """Read the drive's unconfirmed duplicates whole and store their hashes; gives how many."""
+    latest = materialize(store.latest(drive_id).withColumn("id", F.col("path_id")), "to-fill")
+    found = materialize(confirm(latest, root, min_size).join(latest.select("id", "rel_path"), "id").select("rel_path", "full_hash"), "filled-hashes")
+    store.fill_hashes(drive_id, found)
+    return found.count()
+
+
+def reread(spark: SparkSession, store: Store, drive_id: int, root: str) -> DataFrame:
+    """The drive's stored files against a new reading: ``verify`` of the latest snapshot."""
+    stored = store.latest(drive_id)
+    filesystem.register(spark)
+    ids = stored.select("rel_path", "path_id")
+    found = spark.read.format("foldertree").load(root).where("is_dir = 0").join(ids, "rel_path").withColumn("drive_id", F.lit(drive_id).cast("long"))
+    return verify(stored, found)
+
+
 def stored_folder_hashes(rows: DataFrame) -> DataFrame:
     """(rel_path, hash) of the folders of one stored snapshot, whose links are its paths."""
     ids = materialize(rows.select("rel_path", "parent_path", "is_dir", "full_hash").withColumn("id", F.monotonically_increasing_id()), "folder-ids")

@@ -1,6 +1,7 @@
 import hashlib
 import os
 import sqlite3
+import unicodedata
 
 from shelfmark.operators.folders import TAG_RULES
 from shelfmark.sources import ingest, registry
@@ -75,7 +76,64 @@ def test_a_drive_is_known_by_its_content(spark, tmp_path):
         (tmp_path / n).write_text(n * 10)
     rows = spark.createDataFrame([("a", 0, 10), ("b", 0, 10), ("gone", 0, 99), ("x/deep", 0, 500)], "rel_path string, is_dir int, size long")
     names, files = registry.fingerprint(rows)
-    assert names == ["a", "b", "gone"] and files[0] == ("x/deep", 500)
+    assert names == ["gone", "a", "b"] and files[0] == ("x/deep", 500)
     assert registry.matches_root(str(tmp_path), names, files)
     assert not registry.matches_root(str(tmp_path), ["gone"], files) and registry.matches_root(str(tmp_path), ["a"], [])
     assert not registry.matches_root(str(tmp_path), names, [("a", 11)])
+    assert registry.matches_root(str(tmp_path), [], [("a", 10)]) and not registry.matches_root(str(tmp_path), [], [])
+
+
+def test_links_and_failed_reads_are_not_sampled(spark):
+    rows = [("f", 1, None, 0, None), ("big", 0, 9, 0, None), ("link", 0, 99, 1, None), ("bad", 0, 98, 0, "denied"), ("none", 0, 0, 0, None)]
+    df = spark.createDataFrame(rows, "rel_path string, is_dir int, size long, is_symlink int, error string")
+    names, files = registry.fingerprint(df)
+    assert names[0] == "f" and files == [("big", 9)]
+
+
+def test_a_drive_is_found_where_it_is_mounted_now(spark, tmp_path):
+    for place in ("decoy", "disk/Backups"):
+        (tmp_path / place).mkdir(parents=True)
+    (tmp_path / "decoy/a").write_text("x")
+    for n in ("a", "Ac\u0327a\u0303o.txt"):
+        (tmp_path / "disk/Backups" / unicodedata.normalize("NFC", n)).write_text("0123456789")
+    df = spark.createDataFrame([("a", 0, 10), ("Ac\u0327a\u0303o.txt", 0, 10)], "rel_path string, is_dir int, size long")
+    candidates = [str(tmp_path / "decoy"), str(tmp_path / "disk")]
+    assert registry.resolve_root(df, "/Volumes/X/Backups", candidates) == str(tmp_path / "disk/Backups")
+    assert registry.resolve_root(df, "/Volumes/X/Backups", candidates[:1]) == "/Volumes/X/Backups"
+    assert registry.resolve_root(df, str(tmp_path / "disk/Backups"), []) == str(tmp_path / "disk/Backups")
+    assert registry.resolve_root(df.where("false"), "/gone", candidates) == "/gone"
+    inside = {"/Volumes/X": [], "/Volumes/X/B/2020": ["B/2020"], "E:\\B": ["B"], "E:\\": [], "/media/u/X/sub": ["X/sub", "sub"], "/run/media/u/X/sub": ["sub"], "/home/u": []}
+    assert {r: registry.paths_in_volume(r) for r in inside} == inside
+
+
+def test_an_indexed_folder_is_searched_and_reported(spark, tmp_path, capsys):
+    from shelfmark.cli import main
+    from shelfmark.inventory import load
+    from shelfmark.operators.duplicates import file_groups
+
+    root, store = tmp_path / "drive", str(tmp_path / "store")
+    (root / "sub").mkdir(parents=True)
+    for n in ("one.bin", "sub/two.bin"):
+        (root / n).write_bytes(b"z" * 4000)
+    (root / "sub/three.txt").write_text("3")
+
+    def run(*command):
+        assert main(["--tables", store, *command], spark) == 0
+        return capsys.readouterr().out
+
+    run("index", str(root), "--drive", "7", "--label", "Vault", "--at", "2024-01-01T00:00:00")
+    (root / "four.txt").write_text("4444")
+    run("snapshot", str(root), "--drive", "7", "--at", "2024-02-01T00:00:00")
+    rows = load(spark, store)
+    assert {(r.rel_path, r.drive) for r in rows.where("is_dir = 0").collect()} == {(p, "Vault") for p in ("one.bin", "sub/two.bin", "sub/three.txt", "four.txt")}
+    assert [(r.n, r.confirmed) for r in file_groups(rows, 1).collect()] == [(2, False)]
+    assert "hashed 2" in run("fill", str(root), "--drive", "7")
+    assert [(r.n, r.confirmed) for r in file_groups(load(spark, store), 1).collect()] == [(2, True)]
+    assert "two.bin" in run("find", "drive:vault", "*.bin", ">3KB") and "four.txt" in run("diff") and "added" in run("changes")
+    (root / "sub/two.bin").write_bytes(b"y" * 4000)
+    assert "corrupted" in run("verify", str(root), "--drive", "7")
+    assert "Vault" in run("drives") and "|true" in run("cleanup", "--min-size", "1")
+    run("refresh", str(root), "--drive", "7", "--at", "2024-02-02T00:00:00")
+    run("compact", "--drive", "7", "--snapshot", "2")
+    assert "[1]" in run("prune", "--drive", "7", "--as-of", "2024-03-01 00:00:00", "--keep-last", "1", "--keep-monthly", "0")
+    assert {r.snapshot_id & 4095 for r in load(spark, store, latest_only=False).select("snapshot_id").distinct().collect()} == {2}

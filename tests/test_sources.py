@@ -7,7 +7,7 @@ import pytest
 
 from shelfmark.functions.hashing import full_file_digest, partial_digest, partial_file_digest
 from shelfmark.operators.cleanup import cleanup_plan
-from shelfmark.sources import exports, filesystem, sqlite
+from shelfmark.sources import actions, exports, filesystem, sqlite
 from shelfmark.sources.store import Store
 from pyspark.sql import functions as F
 
@@ -134,6 +134,34 @@ def test_scripts_survive_nasty_names(tmp_path, spark):
         cleanup_plan(spark.range(1), "luck")
 
 
+def test_cleanup_is_carried_out_with_checks(spark, tmp_path):
+    root, away = tmp_path / "root", tmp_path / "away"
+    (root / "d").mkdir(parents=True)
+    outside = tmp_path / "outside"
+    outside.write_text("12345")
+    for n, text in (("keep", "12345"), ("d/copy", "12345"), ("grown", "123456"), ("other", "54321"), (NASTY, "12345")):
+        (root / n).write_text(text)
+    os.symlink(root / "keep", root / "link")
+    names = ["keep", "d/copy", "grown", "../outside", "missing", "link", NASTY]
+    rows = [(1, i, n, 5, "keep", n == "keep") for i, n in enumerate(names)] + [(2, 20, "other", 5, "lost", False)]
+    plan = spark.createDataFrame(rows, "group_id long, id long, rel_path string, size long, keeper string, keep boolean")
+
+    def outcomes(**options):
+        return {r.rel_path: r.outcome for r in actions.execute(plan, str(root), **options).collect()}
+
+    left = {"grown": "size_changed", "../outside": "outside_root", "missing": "missing", "link": "size_changed", "other": "no_keeper"}
+    assert outcomes(quarantine=str(away)) == {**left, "d/copy": "would_do", NASTY: "would_do"}
+    assert (root / "d/copy").exists() and not away.exists()
+    assert outcomes(quarantine=str(away), dry_run=False) == {**left, "d/copy": "done", NASTY: "done"}
+    assert not (root / "d/copy").exists() and len(os.listdir(away)) == 2 and (root / "keep").exists() and outside.exists()
+    assert outcomes(quarantine=str(away), dry_run=False)["d/copy"] == "gone"
+    (root / "d/copy").write_text("12345")
+    assert outcomes(action="delete", dry_run=False)["d/copy"] == "done" and not (root / "d/copy").exists()
+    for wrong in ({"action": "burn"}, {"root": str(tmp_path / "unmounted")}):
+        with pytest.raises(ValueError):
+            actions.execute(plan, **({"root": str(root)} | wrong))
+
+
 def test_arrivals(spark, tmp_path):
     schema = "id long, snapshot_id long, is_dir int, size long, loaded_at timestamp"
     t = datetime(2024, 1, 1, 10, 5)
