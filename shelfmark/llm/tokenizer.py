@@ -10,9 +10,9 @@ bytes from one block by an offset table.
 
 from __future__ import annotations
 
+import ast
 import base64
 import hashlib
-import importlib.util
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -172,18 +172,23 @@ def _stays_apart(a: int, b: int, pairs: dict[tuple[int, int], int], left, right)
             limit, b = b + 1, left[b]
 
 
+def _stated_pattern(module: Path) -> str:
+    """The text that a module assigns to PATTERN, read without running the module."""
+    for node in ast.parse(module.read_text(encoding="utf-8")).body:
+        if isinstance(node, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "PATTERN" for t in node.targets):
+            return ast.literal_eval(node.value)
+    raise ValueError(f"{module} states no PATTERN; give one")
+
+
 @lru_cache(maxsize=8)
 def load_vocabulary(path: str = DEFAULT_VOCABULARY, pattern: str | None = None) -> Vocabulary:
     """A vocabulary from a rank file (base64 token and rank in each line).
 
-    ``pattern`` cuts texts into pieces before merging; by default, PATTERN of the
-    module beside the file. Each token's two halves are found from the ranks.
+    ``pattern`` cuts texts into pieces before merging; by default, what the
+    module beside the file states as PATTERN. Each token's two halves are found from the ranks.
     """
     if pattern is None:
-        spec = importlib.util.spec_from_file_location("vocabulary_folder", Path(path).resolve().parent / "__init__.py")
-        module = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(module)
-        pattern = module.PATTERN
+        pattern = _stated_pattern(Path(path).resolve().parent / "__init__.py")
     ranked = sorted((int(rank), base64.b64decode(token)) for token, rank in (line.split() for line in Path(path).read_bytes().splitlines() if line))
     if [r for r, _ in ranked] != list(range(len(ranked))):
         raise ValueError("ranks must run from 0 without gaps")
