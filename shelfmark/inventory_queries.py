@@ -24,10 +24,12 @@ def _latest(operator: Callable[..., DataFrame], *args, **options) -> Callable[[S
     return lambda spark, folder: operator(load(spark, folder), *args, **options)
 
 
-def _pair(operator: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def _pairs(operator: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``operator`` over all pairs of drives that should hold the same files."""
+
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        latest = load(spark, folder)
-        return operator(latest.where("drive_id = 1"), latest.where("drive_id = 2"), MIN)
+        a, b = cross.paired(load(spark, folder), read_table(spark, folder, "copy_pairs"), read_table(spark, folder, "drive"))
+        return operator(a, b, MIN, ["pair_id"])
 
     return query
 
@@ -104,9 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dup_file_groups": _latest(duplicates.file_groups, MIN),
     "dup_rows_export": _latest(duplicates.duplicate_rows, MIN),
     "unconfirmed_backlog": _latest(duplicates.unconfirmed_backlog, MIN),
-    "compare_matches": _pair(cross.compare_matches),
-    "compare_summary": _pair(cross.compare_summary),
-    "compare_only_in_a": _pair(cross.only_in_a),
+    "compare_matches": _pairs(cross.compare_matches),
+    "compare_summary": _pairs(cross.compare_summary),
+    "compare_only_in_a": _pairs(cross.only_in_a),
     "cross_dup_groups": _latest(cross.cross_groups, MIN),
     "cross_dup_copies": _latest(cross.cross_copies, MIN),
     "cross_overlap_matrix": _latest(cross.overlap_matrix, MIN),
@@ -226,11 +228,15 @@ _FIRST = {
     "newest": "-CASE WHEN mtime IS NULL OR mtime = 0 THEN 0 ELSE mtime END,",
     "alphabetical": "",
 }
-_MATCH = f"""{_E}, b AS (SELECT size, ph, fh FROM l WHERE drive_id = 2 AND {_HASHED}),
-bk AS (SELECT size, ph, count(*) AS n_all, count(*) - count(fh) AS n_open FROM b GROUP BY size, ph),
-bs AS (SELECT size, ph, fh, count(*) AS n_same FROM b WHERE fh IS NOT NULL GROUP BY size, ph, fh),
-x AS (SELECT a.id, a.rel_path, a.size, bk.n_all, coalesce(CASE WHEN a.fh IS NULL THEN n_all ELSE n_open + coalesce(n_same, 0) END, 0) AS n_in_b, n_same IS NOT NULL AS confirmed
-  FROM l a LEFT JOIN bk USING (size, ph) LEFT JOIN bs ON bs.size = a.size AND bs.ph = a.ph AND bs.fh = a.fh WHERE a.drive_id = 1 AND a.is_dir = 0 AND a.size >= {MIN} AND a.ph IS NOT NULL)"""
+_MATCH = f"""{_E}, dl AS (SELECT label, min(id) AS id FROM drive WHERE label IS NOT NULL GROUP BY label),
+pr AS (SELECT pair_id, da.id AS a, db.id AS b FROM copy_pairs JOIN dl da ON da.label = label_a JOIN dl db ON db.label = label_b),
+fa AS (SELECT pr.pair_id, l.* FROM l JOIN pr ON pr.a = l.drive_id WHERE {_HASHED}),
+fb AS (SELECT pr.pair_id, l.* FROM l JOIN pr ON pr.b = l.drive_id WHERE {_HASHED}),
+x AS (SELECT fa.pair_id, fa.id, fa.rel_path, fa.size, count(fb.id) AS n_all,
+   count(fb.id) FILTER (fa.fh IS NULL OR fb.fh IS NULL OR fa.fh = fb.fh) AS n_in_b, count(fb.id) FILTER (fa.fh = fb.fh) AS n_same,
+   count(fb.id) FILTER (fa.fh = fb.fh) > 0 AS confirmed,
+   coalesce(min(fb.rel_path) FILTER (fa.fh = fb.fh), min(fb.rel_path) FILTER (fa.fh IS NULL OR fb.fh IS NULL)) AS first_in_b
+  FROM fa LEFT JOIN fb ON fb.pair_id = fa.pair_id AND fb.size = fa.size AND fb.ph = fa.ph GROUP BY ALL)"""
 
 SQL = {
     "drive_totals": f"""{_E} SELECT drive_id, snapshot_id, count(*) FILTER (is_dir = 0 AND coalesce(is_symlink, 0) = 0 AND error IS NULL) AS total_files,
@@ -257,10 +263,11 @@ SQL = {
  SELECT drive_id, group_id, lower(hex(fh)) AS hash, size AS size_bytes, {_human('size')} AS size_human, group_count, distinct_inodes, wasted_bytes, {_human('wasted_bytes')} AS wasted_human, rel_path AS path, inode IS NOT NULL AND seen > 1 AS is_hardlink FROM x""",
     "unconfirmed_backlog": f"""{_E}, g AS (SELECT drive_id, size, count(*) AS n FROM l WHERE {_HASHED} AND fh IS NULL GROUP BY drive_id, size, ph HAVING count(*) > 1)
  SELECT drive_id, count(*) AS n_groups, CAST(sum(size * (n - 1)) AS BIGINT) AS bytes FROM g GROUP BY drive_id""",
-    "compare_matches": f"{_MATCH} SELECT id, rel_path, size, n_in_b, confirmed FROM x WHERE n_in_b > 0",
-    "compare_summary": f"""{_MATCH} SELECT count(*) FILTER (n_in_b > 0) AS matched_files, CAST(coalesce(sum(size) FILTER (n_in_b > 0), 0) AS BIGINT) AS matched_bytes, count(*) FILTER (n_in_b > 0 AND confirmed) AS confirmed_files,
- count(*) FILTER (n_all IS NULL) AS only_in_a, CAST(coalesce(sum(size) FILTER (n_all IS NULL), 0) AS BIGINT) AS only_in_a_bytes FROM x""",
-    "compare_only_in_a": f"{_MATCH} SELECT id, rel_path, size FROM x WHERE n_all IS NULL",
+    "compare_matches": f"{_MATCH} SELECT pair_id, id, rel_path, size, n_in_b, first_in_b, confirmed FROM x WHERE n_in_b > 0",
+    "compare_summary": f"""{_MATCH} SELECT pair_id, count(*) FILTER (n_in_b > 0) AS matched_files, CAST(coalesce(sum(size) FILTER (n_in_b > 0), 0) AS BIGINT) AS matched_bytes, count(*) FILTER (n_in_b > 0 AND confirmed) AS confirmed_files,
+ count(*) FILTER (n_all = 0) AS only_in_a, CAST(coalesce(sum(size) FILTER (n_all = 0), 0) AS BIGINT) AS only_in_a_bytes,
+ CAST(sum(n_in_b) AS BIGINT) AS pairs, CAST(sum(n_in_b * size) AS BIGINT) AS pair_bytes, CAST(sum(n_same) AS BIGINT) AS confirmed_pairs FROM x GROUP BY pair_id""",
+    "compare_only_in_a": f"{_MATCH} SELECT pair_id, id, rel_path, size FROM x WHERE n_all = 0",
     "cross_dup_groups": f"""{_E}, {_CROSS}, pd AS (SELECT size, ph, open, sub, drive_id, count(*) AS n FROM m WHERE key_drives > 1 GROUP BY ALL)
  SELECT size, lower(hex(ph)) AS partial, lower(hex(sub)) AS "full", NOT open AS confirmed, count(*) AS n_drives, CAST(sum(n) AS BIGINT) AS n_copies, count(*) FILTER (n > 1) AS n_intra,
   string_agg(drive_id::VARCHAR, '|' ORDER BY drive_id) AS drives, CAST(size * (sum(n) - 1) AS BIGINT) AS wasted_bytes FROM pd GROUP BY size, ph, open, sub HAVING count(*) > 1""",

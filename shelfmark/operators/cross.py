@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.columns import parent_path, physical_copy
 from shelfmark.operators.duplicates import hex_of
+from shelfmark.runtime import materialize
 
 KEY = ("size", "partial_hash")
 
@@ -15,43 +18,69 @@ def _hashed(latest: DataFrame, min_size: int) -> DataFrame:
     return latest.where(f"is_dir = 0 and size >= {min_size} and partial_hash is not null")
 
 
-def _looked_up(a: DataFrame, b: DataFrame, min_size: int) -> DataFrame:
-    """Files of A with how many of B share the key, lack a full hash, or have the same one.
+def _looked_up(a: DataFrame, b: DataFrame, min_size: int, by: list[str]) -> DataFrame:
+    """Files of A with how many of B share the key, lack a full hash, or have the same one, and the first such path.
 
     B is reduced to its keys and full hashes first; pairs of files are never made.
     """
-    y = _hashed(b, min_size)
-    keys = y.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_all"), F.count_if(F.col("full_hash").isNull()).alias("n_open"))
-    same = y.where("full_hash is not null").groupBy(*KEY, "full_hash").agg(F.count(F.lit(1)).alias("n_same"))
-    j = _hashed(a, min_size).join(keys, list(KEY), "left").join(same, [*KEY, "full_hash"], "left")
-    n = F.when(F.col("full_hash").isNull(), F.col("n_all")).otherwise(F.col("n_open") + F.coalesce("n_same", F.lit(0)))
-    return j.withColumn("n_in_b", F.coalesce(n, F.lit(0))).withColumn("confirmed", F.col("n_same").isNotNull())
+    y, key = _hashed(b, min_size), [*by, *KEY]
+    open_ = F.col("full_hash").isNull()
+    keys = y.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n_all"), F.count_if(open_).alias("n_open"), F.min("rel_path").alias("first_all"), F.min(F.when(open_, F.col("rel_path"))).alias("first_open")
+    )
+    same = y.where("full_hash is not null").groupBy(*key, "full_hash").agg(F.count(F.lit(1)).alias("n_same"), F.min("rel_path").alias("first_same"))
+    j = _hashed(a, min_size).join(keys, key, "left").join(same, [*key, "full_hash"], "left")
+    n = F.when(open_, F.col("n_all")).otherwise(F.col("n_open") + F.coalesce("n_same", F.lit(0)))
+    return j.withColumns({
+        "n_in_b": F.coalesce(n, F.lit(0)), "confirmed": F.col("n_same").isNotNull(),
+        "first_in_b": F.when(open_, F.col("first_all")).otherwise(F.coalesce("first_same", "first_open")),
+    })
 
 
-def compare_matches(a: DataFrame, b: DataFrame, min_size: int = 1024) -> DataFrame:
-    """Files of A that B has: how many files of B match, and whether by full hash.
+def compare_matches(a: DataFrame, b: DataFrame, min_size: int = 1024, by: Sequence[str] = ()) -> DataFrame:
+    """Files of A that B has: how many files of B match, the first of them, and whether by full hash.
 
-    A match has the same key and a full hash that doesn't contradict.
+    A match has the same key and a full hash that doesn't contradict. The first
+    match is that of the same full hash where there is one, then of the lowest path.
     """
-    return _looked_up(a, b, min_size).where("n_in_b > 0").select("id", "rel_path", "size", "n_in_b", "confirmed")
+    by = list(by)
+    return _looked_up(a, b, min_size, by).where("n_in_b > 0").select(*by, "id", "rel_path", "size", "n_in_b", "first_in_b", "confirmed")
 
 
-def compare_summary(a: DataFrame, b: DataFrame, min_size: int = 1024) -> DataFrame:
-    """One row: files of A with a match in B, their bytes, how many are confirmed, and files whose key B lacks.
+def compare_summary(a: DataFrame, b: DataFrame, min_size: int = 1024, by: Sequence[str] = ()) -> DataFrame:
+    """Files of A with a match in B, their bytes, how many are confirmed, and files whose key B lacks; and the same in pairs.
 
-    A file whose key matches but whose full hash contradicts is in neither.
+    A pair is a file of A with one of B that matches; pairs are counted, not made. A
+    file whose key matches but whose full hash contradicts is in none. One row, or
+    with ``by`` one for each value that A has.
     """
     match, lacking, size = F.col("n_in_b") > 0, F.col("n_all").isNull(), F.col("size")
-    return _looked_up(a, b, min_size).agg(
-        F.count_if(match).alias("matched_files"), F.coalesce(F.sum(F.when(match, size)), F.lit(0)).alias("matched_bytes"),
-        F.count_if(match & F.col("confirmed")).alias("confirmed_files"), F.count_if(lacking).alias("only_in_a"),
-        F.coalesce(F.sum(F.when(lacking, size)), F.lit(0)).alias("only_in_a_bytes"),
+
+    def total(value):
+        return F.coalesce(F.sum(value), F.lit(0)).cast("long")
+
+    return _looked_up(a, b, min_size, list(by)).groupBy(*by).agg(
+        F.count_if(match).alias("matched_files"), total(F.when(match, size)).alias("matched_bytes"), F.count_if(match & F.col("confirmed")).alias("confirmed_files"),
+        F.count_if(lacking).alias("only_in_a"), total(F.when(lacking, size)).alias("only_in_a_bytes"),
+        total("n_in_b").alias("pairs"), total(F.col("n_in_b") * size).alias("pair_bytes"), total("n_same").alias("confirmed_pairs"),
     )
 
 
-def only_in_a(a: DataFrame, b: DataFrame, min_size: int = 1024) -> DataFrame:
+def only_in_a(a: DataFrame, b: DataFrame, min_size: int = 1024, by: Sequence[str] = ()) -> DataFrame:
     """Files of A whose key no file of B has."""
-    return _hashed(a, min_size).join(_hashed(b, min_size), list(KEY), "left_anti").select("id", "rel_path", "size")
+    return _hashed(a, min_size).join(_hashed(b, min_size), [*by, *KEY], "left_anti").select(*by, "id", "rel_path", "size")
+
+
+def paired(latest: DataFrame, pairs: DataFrame, drives: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The files of both sides of all pairs of drives (pair_id, label_a, label_b), with ``pair_id``.
+
+    A label names the drive of that label with the lowest id; a pair with a side
+    that no drive has is left out.
+    """
+    ids = drives.where("label is not null").groupBy("label").agg(F.min("id").alias("drive_id"))
+    known = pairs.join(ids.select(F.col("label").alias("label_a"), F.col("drive_id").alias("a")), "label_a").join(ids.select(F.col("label").alias("label_b"), F.col("drive_id").alias("b")), "label_b")
+    sides = materialize(known.select("pair_id", "a", "b"), "pairs")
+    return tuple(latest.join(sides.select("pair_id", F.col(s).alias("drive_id")), "drive_id") for s in ("a", "b"))
 
 
 def _copies(latest: DataFrame, min_size: int) -> DataFrame:
@@ -130,10 +159,10 @@ def single_copies(latest: DataFrame, min_size: int = 1 << 20) -> DataFrame:
     groups = rows.where("key_drives = 1 or not open").groupBy(*KEY, "sub").agg(
         F.countDistinct("drive_id").alias("n_drives"), F.min("drive_id").alias("drive_id"), F.min("short").alias("short"), F.sum("n").alias("internal_copies")
     )
-    drives = latest.agg(F.min("drive_id").alias("_lo"), F.max("drive_id").alias("_hi"))
+    several = latest.agg(F.min("drive_id") < F.max("drive_id")).scalar()
     return (
         groups.where("n_drives = 1")
-        .join(F.broadcast(drives), F.col("_lo") < F.col("_hi"))  # one row
+        .where(several)
         .select("drive_id", F.col("short.rel_path").alias("path"), "size", "internal_copies")
     )
 

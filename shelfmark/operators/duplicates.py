@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.columns import human_size, physical_copy
-from shelfmark.operators.hot_keys import running_totals
+from shelfmark.operators.hot_keys import ordered_ranks
 
 KEY = ("drive_id", "size", "partial_hash")
 
@@ -89,8 +89,7 @@ def unconfirmed_backlog(latest: DataFrame, min_size: int = 1024) -> DataFrame:
 
 def number_groups(groups: DataFrame) -> DataFrame:
     """Adds ``group_id``: the rank of a drive's group by full hash, from 1, without one task per drive."""
-    one = groups.withColumn("_one", F.lit(1).cast("long"))
-    return running_totals(one, ["drive_id"], ["full_hash"], "_one").withColumnRenamed("key_row", "group_id").drop("running", "_one")
+    return ordered_ranks(groups, ["drive_id"], ["full_hash"], "group_id")
 
 
 def duplicate_rows(latest: DataFrame, min_size: int = 1024) -> DataFrame:

@@ -138,6 +138,18 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str], value: str,
     )
 
 
+def ordered_ranks(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """Adds each row's number within its key, from 1, in the order given.
+
+    The rows are range-partitioned and sorted once; a number is the rows of the key
+    in the partitions before, and those before it in its own.
+    """
+    by = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
+    spread = materialize(_positions(df.repartitionByRange(*by).sortWithinPartitions(*by)), "ordered")
+    # Chunks of one row; a key of one row isn't numbered and is its first.
+    return _chunked(spread, keys, 1).withColumn(name, F.col("chunk") + 1).drop("chunk")
+
+
 def content_key_totals(entries: DataFrame, chunk_rows: int | None = None, stable: bool = True) -> DataFrame:
     """(size, partial_hash, n_rows, n_bytes, n_drives) of all delivered file rows with a hash.
 
