@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def nfc(text: Column) -> Column:
-    """Unicode normal form C, for comparison only; plain ASCII doesn't leave the JVM's form."""
+    """Unicode normal form C, for comparison only. Neither Spark nor Arrow composes characters, so Python does."""
 
     @F.pandas_udf("string")
     def compose(s: pd.Series) -> pd.Series:
         import unicodedata
 
-        return s.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFC", t))
+        return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
     return compose(text)
 
 
+def with_nfc(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with the composed form of a text column; only rows beyond ASCII, and nulls, go through Python."""
+    plain = F.coalesce(F.col(column).rlike(r"^[\x00-\x7F]*$"), F.lit(False))
+    return df.where(plain).withColumn(name, F.col(column)).unionByName(df.where(~plain).withColumn(name, nfc(F.col(column))))
+
+
 def glob_to_regex(pattern: str) -> str:
     """An anchored Java regex for a shell pattern with *, ?, [seq] and [!seq]."""
     out, i = [], 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.columns import top_folder
-from shelfmark.functions.text import nfc
+from shelfmark.functions.text import with_nfc
 from shelfmark.runtime import materialize
 
 
@@ -35,7 +35,7 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     )
     rows = j.select("drive_id", change.alias("change"), F.coalesce("new_path", "old_path").alias("rel_path"), "path_id", "old_size", "new_size").where("change is not null")
     rows = materialize(rows, "changes")
-    loose = rows.where("change <> 'modified'").withColumn("form", nfc(F.col("rel_path")))
+    loose = with_nfc(rows.where("change <> 'modified'"), "rel_path", "form")
     gone = (
         loose.where("change = 'removed'").groupBy("drive_id", "form").agg(F.max(F.struct("rel_path", "path_id", "old_size")).alias("g"))
         .select("drive_id", "form", F.col("g.old_size").alias("gone_size"), F.lit(1).alias("was"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.columns import same_mtime
-from shelfmark.functions.text import nfc
+from shelfmark.functions.text import with_nfc
 from shelfmark.tables import current_rows
 
 
@@ -34,11 +34,11 @@ def reuse_hashes(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     usable = old.where("is_dir = 0 and error is null and coalesce(is_symlink, 0) = 0 and partial_hash is not null and size is not null and mtime is not null")
     cache = (
-        usable.withColumn("form", nfc(F.col("rel_path")))
+        with_nfc(usable, "rel_path", "form")
         .groupBy("drive_id", "form")
         .agg(F.min(F.struct("rel_path", "id", "size", "mtime", "partial_hash", "full_hash")).alias("c"))
     )
-    files = new.where("is_dir = 0 and coalesce(is_symlink, 0) = 0").withColumn("form", nfc(F.col("rel_path")))
+    files = with_nfc(new.where("is_dir = 0 and coalesce(is_symlink, 0) = 0"), "rel_path", "form")
     return (
         files.join(cache, ["drive_id", "form"])
         .where((F.col("size") == F.col("c.size")) & same_mtime(F.col("mtime"), F.col("c.mtime")))

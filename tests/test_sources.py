@@ -11,7 +11,7 @@ from shelfmark.sources import actions, exports, filesystem, sqlite
 from shelfmark.sources.store import Store
 from pyspark.sql import functions as F
 
-from shelfmark.streaming.arrivals import first_deliveries, load_totals, read_arrivals
+from shelfmark.streaming.arrivals import arriving_totals, first_deliveries, load_totals, read_arrivals, read_totals
 
 GOLDEN = [
     (b"", "c804ce198ec337e3dc762bdd1a09aece"),
@@ -176,6 +176,18 @@ def test_arrivals(spark, tmp_path):
     assert sorted(r.id for r in spark.sql("SELECT id FROM first").collect()) == [1, 2]
 
 
+def test_arriving_totals_keep_rows_that_come_late(spark, tmp_path):
+    schema = "id long, snapshot_id long, is_dir int, size long, loaded_at timestamp"
+    batches = [[(1, 1, 0, 5, datetime(2024, 3, 1, 10))], [(2, 1, 0, 7, datetime(2024, 1, 1, 10)), (3, 1, 1, None, datetime(2024, 3, 1, 10))], [(4, 2, 0, 1, datetime(2023, 1, 1, 10))]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = read_arrivals(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, 1)
+        arriving_totals(stream, str(tmp_path / "totals"), str(tmp_path / "checkpoint")).awaitTermination()
+        assert len(os.listdir(tmp_path / "totals")) == n + 1
+    got = {tuple(r) for r in read_totals(spark, str(tmp_path / "totals")).collect()}
+    assert got == {(datetime(2024, 3, 1, 10), 1, 2, 1, 5), (datetime(2024, 1, 1, 10), 1, 1, 1, 7), (datetime(2023, 1, 1, 10), 2, 1, 1, 1)}
+
+
 def test_batch_totals_count_late_rows(spark):
     rows = [("2024-03-01 00:00:00", 1, 0, 5), ("2024-01-01 00:00:00", 1, 0, 7)]
     df = spark.createDataFrame(rows, "loaded_at string, snapshot_id long, is_dir int, size long").withColumn("loaded_at", F.col("loaded_at").cast("timestamp"))
