@@ -6,6 +6,7 @@ import fnmatch
 import os
 import stat
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
@@ -63,9 +64,13 @@ class Pruning:
         return any(fnmatch.fnmatchcase(low, e.lower()) if "*" in e else low == e.lower() for e in self.exclusions if "/" not in e)
 
 
+#: Parts of a tree that are walked side by side, at least where it has as many folders.
+UNITS = 64
+
+
 @dataclass
 class Top(InputPartition):
-    """One folder with all below it, or (deep=False) only what lies directly in the root."""
+    """One folder with all below it, or (deep=False) the folder and the files directly in it."""
 
     rel: str
     deep: bool
@@ -80,25 +85,36 @@ class _Reader(DataSourceReader):
         self.root, self.partial, self.full, self.pruning = root, partial, full, pruning
 
     def partitions(self) -> list[InputPartition]:
-        tops = []
-        with os.scandir(self.root) as entries:
-            for e in sorted(entries, key=lambda e: e.name):
-                if e.is_dir(follow_symlinks=False) and not self.pruning.drops(e.name, e.name, e.stat(follow_symlinks=False).st_dev):
-                    tops.append(Top(e.name, True))
-        return [Top(".", False), *tops]
+        """Folders are opened level by level until there are enough to share out, so one large folder is no task of its own."""
+        opened, waiting = [], ["."]
+        while waiting and len(opened) + len(waiting) < UNITS:
+            rel = waiting.pop(0)
+            opened.append(Top(rel, False))
+            waiting += self._subfolders(rel)
+        return [*opened, *(Top(rel, True) for rel in waiting)]
+
+    def _subfolders(self, rel: str) -> list[str]:
+        found = []
+        with suppress(OSError), os.scandir(os.path.join(self.root, rel)) as entries:
+            for e in entries:
+                path = e.name if rel == "." else f"{rel}/{e.name}"
+                if e.is_dir(follow_symlinks=False) and not self.pruning.drops(path, e.name, e.stat(follow_symlinks=False).st_dev):
+                    found.append(path)
+        return sorted(found)
 
     def read(self, partition: Top) -> Iterator[tuple]:
-        if not partition.deep:
+        rel, at = partition.rel, os.path.join(self.root, partition.rel)
+        if rel == ".":
             yield (".", None, 1, None, None, None, None, 0, None, None, None)
-            yield from (r for r in self._folder(".") if r[2] == 0 or r[7] == 1)
+        else:
+            yield self._row(rel, os.path.dirname(rel) or ".", os.stat(at, follow_symlinks=False), None)
+        if not partition.deep:
+            yield from (r for r in self._folder(rel) if r[2] == 0 or r[7] == 1)
             return
-        at = os.path.join(self.root, partition.rel)
-        yield self._row(partition.rel, ".", os.stat(at, follow_symlinks=False), None)
         seen = {(os.stat(at).st_ino, os.stat(at).st_dev)}
-        waiting = [partition.rel]
+        waiting = [rel]
         while waiting:
-            rel = waiting.pop()
-            for row in self._folder(rel):
+            for row in self._folder(waiting.pop()):
                 yield row
                 if row[2] == 1 and row[7] == 0 and (row[9], row[10]) not in seen:
                     seen.add((row[9], row[10]))
@@ -136,7 +152,7 @@ class _Reader(DataSourceReader):
 
 
 class FolderTree(DataSource):
-    """``spark.read.format("foldertree").load(root)``; a partition for each top folder.
+    """``spark.read.format("foldertree").load(root)``; some folders with all below them are a partition.
 
     Options: partial (sampled hash, on by default), full (hash whole files),
     exclusions (JSON list), skip_cloud, one_fs.

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.hashing import full_file_digest, partial_file_digest
-from shelfmark.functions.columns import base_name
+from shelfmark.functions.columns import ancestors, base_name
 from shelfmark.operators.duplicates import fill_candidates
 from shelfmark.operators.folders import folder_hashes
 from shelfmark.operators.upkeep import reuse_hashes, verify
@@ -35,7 +35,23 @@ def walk(spark: SparkSession, root: str, exclusions: Sequence[str] = (), skip_cl
     """The tree below ``root`` without hashes."""
     filesystem.register(spark)
     options = {"partial": "false", "exclusions": json.dumps(list(exclusions)), "skip_cloud": str(skip_cloud), "one_fs": str(one_fs)}
-    return spark.read.format("foldertree").options(**options).load(root)
+    return without_repeats(spark.read.format("foldertree").options(**options).load(root))
+
+
+def without_repeats(rows: DataFrame) -> DataFrame:
+    """A walked tree without what lies below a folder that was met before under another path.
+
+    The same folder may be mounted at several places; of its paths the lowest keeps
+    what is below it, and the others are listed as folders only.
+    """
+    rows = materialize(rows, "walked")
+    folders = rows.where("is_dir = 1 and is_symlink = 0 and inode is not null")
+    same = folders.groupBy("inode", "device").agg(F.count(F.lit(1)).alias("n"), F.min("rel_path").alias("first")).where("n > 1")
+    again = materialize(folders.join(same, ["inode", "device"]).where("rel_path <> first").select(F.col("rel_path").alias("above")), "met-again")
+    if again.isEmpty():
+        return rows
+    below = rows.select("rel_path", F.explode(ancestors(F.col("rel_path"))).alias("above")).join(again, "above").select("rel_path").distinct()
+    return rows.join(below, "rel_path", "left_anti")
 
 
 def index(spark: SparkSession, store: Store, root: str, drive_id: int, taken_at: str, label: str | None = None, mode: str = "snapshot", full: bool = False, **options) -> int:

@@ -38,6 +38,18 @@ def test_a_whole_journey(spark, tmp_path):
     assert ingest.confirm(latest, str(root)).count() == 0
 
 
+def test_a_folder_met_twice_is_walked_once(spark, tmp_path):
+    rows = [("a", 1, 1), ("a/f", 0, 2), ("b", 1, 1), ("b/f", 0, 2), ("b/c", 1, 3), ("b/c/g", 0, 4), ("c", 1, 5), ("ab", 0, 6)]
+    df = spark.createDataFrame([(p, d, 0, i, 9) for p, d, i in rows], "rel_path string, is_dir int, is_symlink int, inode long, device long")
+    assert {r.rel_path for r in ingest.without_repeats(df).collect()} == {"a", "a/f", "b", "c", "ab"}
+    for n in range(70):
+        (tmp_path / f"deep/d{n}/e").mkdir(parents=True)
+        (tmp_path / f"deep/d{n}/e/f").write_text("x")
+    found = ingest.walk(spark, str(tmp_path))
+    paths = [r.rel_path for r in found.collect()]
+    assert len(paths) == len(set(paths)) == 2 + 70 * 3
+
+
 def test_confirm_reads_only_candidates(spark, tmp_path):
     for name, content in (("p", b"1" * 2000), ("q", b"1" * 2000), ("r", b"2" * 2000)):
         (tmp_path / name).write_bytes(content)
