@@ -30,16 +30,16 @@ def _no_ids() -> Column:
     return F.array().cast("array<bigint>")
 
 
-def _nodes(rows: DataFrame, id_col: str, parent_col: str, name_col: str | None, tree: str | None) -> DataFrame:
+def _nodes(rows: DataFrame, id_col: str, parent_col: str, name_col: str | None, tree: int = 0) -> DataFrame:
     """(tree, id, parent, segment), one row per tree and id: that with the smallest parent, then name; nulls are smallest."""
     given = rows.where(F.col(id_col).isNotNull()).select(
-        F.lit(tree or "").alias("tree"), F.col(id_col).cast("long").alias("id"), F.col(parent_col).cast("long").alias("parent"),
+        F.lit(tree).alias("tree"), F.col(id_col).cast("long").alias("id"), F.col(parent_col).cast("long").alias("parent"),
         *([F.col(name_col).cast("string").alias("segment")] if name_col else []),
     )
     if name_col:
-        return given.groupBy("tree", "id").agg(F.min(F.struct("parent", "segment")).alias("v")).select("tree", "id", "v.parent", "v.segment")
+        return given.groupBy("id", "tree").agg(F.min(F.struct("parent", "segment")).alias("v")).select("tree", "id", "v.parent", "v.segment")
     # Two numbers instead of a struct: a hash aggregation without a sort.
-    one = given.groupBy("tree", "id").agg(F.min("parent").alias("least"), F.count("parent").alias("given"), F.count(F.lit(1)).alias("n"))
+    one = given.groupBy("id", "tree").agg(F.min("parent").alias("least"), F.count("parent").alias("given"), F.count(F.lit(1)).alias("n"))
     return one.select("tree", "id", F.when(F.col("given") == F.col("n"), F.col("least")).alias("parent"), F.lit(None).cast("string").alias("segment"))
 
 
@@ -53,43 +53,47 @@ def _joined(sep: str, *names: str) -> Column:
 def _marked(live: DataFrame) -> DataFrame:
     """``live`` with ``how`` each node leaves in the coming round, and ``open``: whether it could leave at all.
 
-    Every node has a number in each round. A leaf leaves where its number is above
-    its parent's, a link where it is above those of both neighbours; so no two
-    neighbours leave in the same round.
+    A node with one child may leave as a link once its child knows that it is
+    ``alone``. Every node has a number in each round: a link leaves where its number is
+    above those of both neighbours, a leaf that is alone where it is above its
+    parent's, any other leaf at once. So no two neighbours leave in the same round.
     """
     number = {c: F.xxhash64("turn", c) for c in ("id", "up", "kid")}
     leaf = F.col("kids") == 0
     link = (F.col("kids") == 1) & ~F.col("top") & (F.col("up") != F.col("id"))
     over_parent = number["id"] > number["up"]
-    how = F.when(leaf & (F.col("top") | over_parent), _LEAF).when(link & over_parent & (number["id"] > number["kid"]), _LINK).otherwise(_STAYS)
-    return live.withColumns({"how": how, "open": leaf | link})
+    leaves = leaf & (F.col("top") | ~F.col("alone") | over_parent)
+    how = F.when(leaves, _LEAF).when(link & F.col("told") & over_parent & (number["id"] > number["kid"]), _LINK).otherwise(_STAYS)
+    return live.withColumns({"how": how, "link": link, "open": leaf | link})
 
 
 def _next(marked: DataFrame, sep: str, chains: bool) -> DataFrame:
-    """The nodes that stay, after those that leave have told their neighbours.
+    """The nodes that stay, after all have told their neighbours what is new.
 
     A leaf tells its parent its size. A link tells its parent its size so far and
-    which child takes its place, and its child the way to its parent.
+    which child takes its place, and its child the way to its parent. A node that has
+    come to have one child tells it that it is alone.
     """
     leaf, link = F.col("how") == _LEAF, F.col("how") == _LINK
+    tells = (F.col("how") == _STAYS) & F.col("link") & ~F.col("told")
     between = [F.concat("between", F.array("id")).alias("between")] if chains else []
-    way = F.struct("up", "gap", "name", *between)
-
-    def message(to: str, lost: Column, got: Column, swap: Column, way: Column) -> Column:
-        return F.struct(F.col(to).alias("id"), lost.cast("long").alias("lost"), got.cast("long").alias("got"), swap.alias("swap"), way.alias("way"))
-
-    up = message("up", F.when(leaf, 1).otherwise(0), F.col("below_n") + 1, F.when(leaf, F.col("id")).otherwise(F.col("id").bitwiseXOR(F.col("kid"))), F.when(F.lit(False), way))
-    down = F.when(link, message("kid", _zero(), _zero(), _zero(), way))
+    # A node gets at most one way, so ways needn't be aggregated; the rest are numbers, which are by hash.
+    ways = marked.where(link).select("tree", F.col("kid").alias("id"), F.struct("up", "gap", "name", "alone", *between).alias("way"))
+    sends = leaf | link
     told = (
-        marked.where(leaf | link)
-        .select("tree", F.explode(F.array_compact(F.array(up, down))).alias("m"))
-        .groupBy("tree", F.col("m.id").alias("id"))
-        .agg(F.sum("m.lost").alias("lost"), F.sum("m.got").alias("got"), F.bit_xor("m.swap").alias("swap"), F.max("m.way").alias("way"))
-    )
+        marked.where(sends | tells)
+        .select(
+            "tree", F.when(sends, F.col("up")).otherwise(F.col("kid")).alias("id"), F.when(leaf, 1).otherwise(0).alias("lost"), F.when(sends, F.col("below_n") + 1).otherwise(0).alias("got"),
+            F.when(leaf, F.col("id")).when(link, F.col("id").bitwiseXOR(F.col("kid"))).otherwise(0).alias("swap"), (~sends).alias("now_alone"),
+        )
+        .groupBy("id", "tree")
+        .agg(F.sum("lost").alias("lost"), F.sum("got").alias("got"), F.bit_xor("swap").alias("swap"), F.max("now_alone").alias("now_alone"))
+    )
     moved = F.col("way").isNotNull()
     return _marked(
         marked.where(F.col("how") == _STAYS)
-        .join(told, ["tree", "id"], "left")
+        .join(told, ["id", "tree"], "left")
+        .join(ways, ["id", "tree"], "left")
         .select(
             "tree", "id", "parent", "top",
             # As a column, since a new constant would be compiled anew in every round.
@@ -97,6 +101,9 @@ def _next(marked: DataFrame, sep: str, chains: bool) -> DataFrame:
             (F.col("kids") - F.coalesce("lost", _zero())).alias("kids"),
             F.col("kid").bitwiseXOR(F.coalesce("swap", _zero())).alias("kid"),
             (F.col("below_n") + F.coalesce("got", _zero())).alias("below_n"),
+            # A child that took another's place in this round hasn't heard it yet.
+            (F.col("told") | tells & (F.coalesce("swap", _zero()) == 0)).alias("told"),
+            (F.coalesce("way.alone", "alone") | F.coalesce("now_alone", F.lit(False))).alias("alone"),
             F.coalesce("way.up", "up").alias("up"),
             (F.col("gap") + F.coalesce("way.gap", F.lit(0))).alias("gap"),
             F.when(moved, _joined(sep, "way.name", "name")).otherwise(F.col("name")).alias("name"),
@@ -112,14 +119,14 @@ def _assign(layer: DataFrame, above: DataFrame, sep: str, chains: bool) -> DataF
     """
     has = ["chain"] if chains else []
     up = above.select("tree", F.col("id").alias("up"), *[F.col(c).alias(f"u_{c}") for c in ("state", "depth", "level", "root", "path", *has)])
-    j = layer.join(up, ["tree", "up"], "left")
+    j = layer.join(up, ["up", "tree"], "left")
     is_root, sound = F.col("parent").isNull(), F.col("u_state") == SOUND
     state = F.when(is_root, SOUND).when(F.col("u_state").isNull(), ORPHAN).when(sound, SOUND).otherwise(BELOW)
     below_n = F.col("below_n")
     if "kid" in layer.columns:
         child = above.select("tree", F.col("id").alias("kid"), F.col("state").alias("k_state"), F.col("below_n").alias("k_below"))
         link = F.col("how") == _LINK
-        j = j.withColumn("kid", F.when(link, F.col("kid"))).join(child, ["tree", "kid"], "left")
+        j = j.withColumn("kid", F.when(link, F.col("kid"))).join(child, ["kid", "tree"], "left")
         # What hangs on a cycle isn't on it; a link of a cycle is, as its child is.
         turns = F.coalesce(F.col("k_state") == CYCLE, F.lit(False))
         state = F.when(turns, CYCLE).otherwise(state)
@@ -141,16 +148,16 @@ def _assign(layer: DataFrame, above: DataFrame, sep: str, chains: bool) -> DataF
 
 def _inner_nodes(nodes: DataFrame, sep: str, chains: bool) -> tuple[DataFrame, DataFrame]:
     """The nodes that have children, assigned; and (tree, id) of parents that are no nodes."""
-    counted = nodes.where("parent is not null").groupBy("tree", F.col("parent").alias("named")).agg(F.count(F.lit(1)).alias("below_n"))
+    counted = nodes.where("parent is not null").groupBy(F.col("parent").alias("named"), "tree").agg(F.count(F.lit(1)).alias("below_n"))
     known = nodes.withColumn("named", F.col("id"))
-    parents = materialize(counted.join(known, ["tree", "named"], "left"), "parents")
+    parents = materialize(counted.join(known, ["named", "tree"], "left"), "parents")
     missing = parents.where("id is null").select("tree", F.col("named").alias("id"))
     inner = parents.where("id is not null").drop("named")
-    kids = inner.where("parent is not null").groupBy("tree", F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("kids"), F.bit_xor("id").alias("kid"))
+    kids = inner.where("parent is not null").groupBy(F.col("parent").alias("id"), "tree").agg(F.count(F.lit(1)).alias("kids"), F.bit_xor("id").alias("kid"))
     lost = missing.select("tree", F.col("id").alias("parent"), F.lit(True).alias("lost"))
     live = _marked(
-        inner.join(kids, ["tree", "id"], "left").join(lost, ["tree", "parent"], "left").select(
-            "tree", "id", "parent", (F.col("parent").isNull() | F.col("lost").isNotNull()).alias("top"), F.lit(0).alias("turn"),
+        inner.join(kids, ["id", "tree"], "left").join(lost, ["parent", "tree"], "left").select(
+            "tree", "id", "parent", (F.col("parent").isNull() | F.col("lost").isNotNull()).alias("top"), F.lit(0).alias("turn"), F.lit(False).alias("told"), F.lit(False).alias("alone"),
             F.coalesce("kids", _zero()).alias("kids"), F.coalesce("kid", _zero()).alias("kid"),
             # Children without children of their own are counted from the start.
             (F.col("below_n") - F.coalesce("kids", _zero())).alias("below_n"),
@@ -179,7 +186,7 @@ def _inner_nodes(nodes: DataFrame, sep: str, chains: bool) -> tuple[DataFrame, D
 
 
 def _with_leaves(nodes: DataFrame, inner: DataFrame, sep: str, chains: bool) -> DataFrame:
-    leaves = nodes.join(inner.select("tree", "id"), ["tree", "id"], "left_anti").select(
+    leaves = nodes.join(inner.select("tree", "id"), ["id", "tree"], "left_anti").select(
         "tree", "id", "parent", F.col("parent").alias("up"), F.lit(1).alias("gap"), F.col("segment").alias("name"), _zero().alias("below_n"), *([_no_ids().alias("between")] if chains else []),
     )
     return inner.unionByName(_assign(leaves, inner, sep, chains))
@@ -193,7 +200,7 @@ def _broken(nodes: DataFrame, inner: DataFrame, missing: DataFrame) -> DataFrame
     """
     bad = materialize(inner.where(F.col("state") != SOUND).select("tree", "id", "state"), "broken")
     parents = bad.select("tree", F.col("id").alias("parent"), F.lit(BELOW).alias("state")).unionByName(missing.select("tree", F.col("id").alias("parent"), F.lit(ORPHAN).alias("state")))
-    leaves = nodes.join(parents, ["tree", "parent"]).join(bad.select("tree", "id"), ["tree", "id"], "left_anti")
+    leaves = nodes.join(parents, ["parent", "tree"]).join(bad.select("tree", "id"), ["id", "tree"], "left_anti")
     return bad.unionByName(leaves.select("tree", "id", "state"))
 
 
@@ -214,14 +221,14 @@ def build_hierarchy(rows: DataFrame, id_col: str = "id", parent_col: str = "pare
     rows with the same id are one node with the smallest (parent, name). Other
     columns, whatever their names, don't matter. No rows give no rows.
     """
-    nodes = _nodes(rows, id_col, parent_col, name_col, None)
+    nodes = materialize(_nodes(rows, id_col, parent_col, name_col), "nodes")
     inner, _ = _inner_nodes(nodes, sep, chains)
     return _with_leaves(nodes, inner, sep, chains).drop("tree")
 
 
 def broken_links(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
     """(id, state) of the nodes of :func:`build_hierarchy` that aren't sound."""
-    nodes = _nodes(rows, id_col, parent_col, None, None)
+    nodes = materialize(_nodes(rows, id_col, parent_col, None), "nodes")
     return _broken(nodes, *_inner_nodes(nodes, "/", False)).drop("tree")
 
 
@@ -241,11 +248,13 @@ def link_defects(paths: DataFrame, entries: DataFrame) -> DataFrame:
     sound paths whose full_path isn't null and differs from the names of the chain.
     """
     # Both tables' trees are peeled together.
-    names, links = _nodes(paths, "id", "parent_id", "segment", "paths"), _nodes(entries, "id", "parent_id", None, "entries_core")
+    sources = ("paths", "entries_core")
+    names = materialize(_nodes(paths, "id", "parent_id", "segment", 0), "names")
+    links = materialize(_nodes(entries, "id", "parent_id", None, 1), "links")
     inner, missing = _inner_nodes(names.unionByName(links), "/", False)
-    tree = materialize(_with_leaves(names, inner.where("tree = 'paths'"), "/", False).select("tree", "id", "state", "path"), "path-tree")
+    tree = materialize(_with_leaves(names, inner.where("tree = 0"), "/", False).select("tree", "id", "state", "path"), "path-tree")
     stored = paths.where("id is not null and full_path is not null").select("id", "full_path")
     stale = tree.where("state = 'sound' and path is not null").join(stored, "id").where("path <> full_path").select("tree", "id", F.lit("stale_path").alias("state")).distinct()
-    broken = _broken(links, *[df.where("tree = 'entries_core'") for df in (inner, missing)])
+    broken = _broken(links, *[df.where("tree = 1") for df in (inner, missing)])
     defects = tree.where(F.col("state") != SOUND).select("tree", "id", "state").unionByName(stale).unionByName(broken)
-    return defects.select(F.col("tree").alias("src"), F.col("id").alias("node_id"), F.col("state").alias("defect"))
+    return defects.select(F.when(F.col("tree") == 0, sources[0]).otherwise(sources[1]).alias("src"), F.col("id").alias("node_id"), F.col("state").alias("defect"))
