@@ -19,6 +19,7 @@ from shelfmark.operators.snapshot_changes import snapshot_changes
 from shelfmark.plans.search import QueryError, search, search_total
 from shelfmark.runtime import get_session, materialize
 from shelfmark.sources import actions, exports, ingest, registry
+from shelfmark.sources.filesystem import SYSTEM_DISK_FOLDERS
 from shelfmark.sources.store import Store
 
 
@@ -35,7 +36,7 @@ def _index(mode: str):
         store = Store(spark, a.tables)
         if a.label or store.drives().where(F.col("id") == a.drive).isEmpty():
             store.name_drive(a.drive, a.label or None, os.path.abspath(a.root))
-        exclusions = [e for e in a.exclude.split(",") if e]
+        exclusions = [e for e in a.exclude.split(",") if e] + list(SYSTEM_DISK_FOLDERS) * a.skip_system
         n = ingest.index(spark, store, a.root, a.drive, a.at or _now(), a.note or None, mode, a.full, exclusions=exclusions, skip_cloud=a.skip_cloud, one_fs=a.one_fs)
         return f"drive {a.drive}: snapshot {n}"
 
@@ -71,6 +72,12 @@ def _duplicate_folders(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return groups.join(latest.select(F.col("id").alias("first_id"), "rel_path"), "first_id").select("drive_id", "n", "rel_path")
 
 
+def _auto_tags(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    if a.init:
+        registry.write_tag_rules(a.rules)
+    return folders.auto_tags(load(spark, a.tables), registry.tag_rules(a.rules or None))
+
+
 def _two(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
     latest = load(spark, a.tables)
     return latest.where(F.col("drive_id") == a.a), latest.where(F.col("drive_id") == a.b)
@@ -104,13 +111,14 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(f"--{flag.replace('_', '-')}", **kind)
         c.set_defaults(run=run)
 
-    taking = {"drive": 1, "at": "", "note": "", "full": False, "exclude": "", "skip_cloud": False, "one_fs": False}
+    taking = {"drive": 1, "at": "", "note": "", "full": False, "exclude": "", "skip_system": False, "skip_cloud": False, "one_fs": False}
     for name, mode in (("index", "fresh"), ("snapshot", "snapshot"), ("refresh", "refresh")):
         add(name, _index(mode), "root", **taking, label="")
     add("fill", lambda s, a: f"hashed {ingest.fill(Store(s, a.tables), a.drive, a.root, a.min_size)}", "root", drive=1, min_size=1024)
     add("verify", lambda s, a: ingest.reread(s, Store(s, a.tables), a.drive, a.root), "root", drive=1)
     add("prune", _prune, drive=1, as_of="", keep_last=10, keep_monthly=12, force=False)
     add("compact", _compact, drive=1, snapshot=None, files=1)
+    add("hash-versions", lambda s, a: registry.differing_hash_versions(*_tables(s, a, "drive", "copy_pairs")))
     add("drives", lambda s, a: _tables(s, a, "drive")[0])
     add("root", lambda s, a: registry.resolve_root(load(s, a.tables).where(F.col("drive_id") == a.drive), a.stored), "stored", drive=1)
     add("import-folder", lambda s, a: s.createDataFrame(registry.import_folder(a.folder), "file string, state string"), "folder")
@@ -133,7 +141,7 @@ def parser() -> argparse.ArgumentParser:
     add("retention", lambda s, a: diff.snapshot_retention(*_tables(s, a, "snapshots"), a.as_of, a.keep_last, a.keep_monthly), as_of="2024-01-01 00:00:00", keep_last=10, keep_monthly=12)
     add("cold", lambda s, a: folders.cold_folders(load(s, a.tables), a.before, a.min_size), before=1.5e9, min_size=100 << 20)
     add("treemap", lambda s, a: folders.treemap_rows(load(s, a.tables), a.min_size, a.files), min_size=100 << 20, files=False)
-    add("auto-tags", lambda s, a: folders.auto_tags(load(s, a.tables)))
+    add("auto-tags", _auto_tags, rules="", init=False)
     add("cleanup", lambda s, a: cleanup.cleanup_plan(load(s, a.tables), a.strategy, a.min_size), strategy="shortest", min_size=1 << 20)
     add("links", lambda s, a: link_defects(*_tables(s, a, "paths", "entries_core")))
     add("doctor", lambda s, a: upkeep.health_checks(*_tables(s, a, "drive", "snapshots", "paths", "entries_core")))

@@ -60,6 +60,8 @@ def read_inventory(spark: SparkSession, folder: str, *names: str) -> list[DataFr
     """
     if is_store(spark, folder):
         tables = Store(spark, folder).tables()
+        if unknown := set(names) - set(tables):
+            raise ValueError(f"a store has no tables {sorted(unknown)}")
         return [tables[n] for n in names]
     unlabelled = "drive" in names and not _exists(spark, f"{folder}/drive.parquet")
     return [spark.createDataFrame([], "id long, label string") if n == "drive" and unlabelled else read_table(spark, folder, n) for n in names]

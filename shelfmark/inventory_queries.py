@@ -191,8 +191,8 @@ SELECT drive_id, folder, growth, files, CAST(row_number() OVER (PARTITION BY dri
 _ANCESTORS = """list_concat(['.'], list_transform(range(1, len(string_split({0}, '/'))), lambda i: array_to_string(string_split({0}, '/')[1:i], '/')))"""
 _FOLDERS = f"""{_E}, f AS (SELECT drive_id, rel_path, size, mtime, error, unnest({_ANCESTORS.format("rel_path")}) AS folder FROM l WHERE is_dir = 0)"""
 
-_RULES = ", ".join(f"({i}, '{tag}', '{ext}')" for i, (tag, exts) in enumerate(folders.TAG_RULES.items()) for ext in exts.split())
-_COMPOUND = "|".join(e.replace(".", "\\.") for e in sorted({e for exts in folders.TAG_RULES.values() for e in exts.split() if "." in e}, key=lambda e: -len(e)))
+_RULES = ", ".join(f"({i}, '{tag}', '{ext}')" for i, (tag, exts) in enumerate(folders.TAG_RULES.items()) for ext in exts)
+_COMPOUND = "|".join(e.replace(".", "\\.") for e in sorted({e for exts in folders.TAG_RULES.values() for e in exts if "." in e}, key=lambda e: -len(e)))
 
 def _search(name: str) -> str:
     return f"""{_E} SELECT drive_id, drive, id, rel_path, is_dir, coalesce(size, 0) AS size, mtime FROM l WHERE {_HITS[name]}
@@ -318,7 +318,7 @@ SQL = {
  c(name, n_bad, allowed) AS (
   SELECT 'hash_version', count(*), 0 FROM drive WHERE hash_version IS DISTINCT FROM 2 UNION ALL SELECT 'labels', count(*), 0 FROM drive WHERE label IS NULL
   UNION ALL SELECT 'snapshot_times', count(*), 0 FROM snapshots WHERE try_strptime(taken_at, '%Y-%m-%dT%H:%M:%S') IS NULL
-  UNION ALL SELECT 'orphan_paths', count(*), 0 FROM entries_core e WHERE NOT EXISTS (SELECT 1 FROM paths p WHERE p.id = e.path_id)
+  UNION ALL SELECT 'orphan_paths', count(*), 0 FROM entries_core e WHERE path_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM paths p WHERE p.id = e.path_id)
   UNION ALL SELECT 'unlisted_snapshots', count(*), 0 FROM entries_core e WHERE NOT EXISTS (SELECT 1 FROM snapshots s WHERE s.id = e.snapshot_id)
   UNION ALL SELECT 'file_sizes', count(*), 0 FROM f WHERE size IS NULL
   UNION ALL SELECT 'hash_coverage', count(*) FILTER (partial_hash IS NULL), count(*) / 20.0 FROM f WHERE size IS NOT NULL)

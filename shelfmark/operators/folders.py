@@ -18,22 +18,22 @@ BLOCK_ROWS = 200_000
 
 # The default tags and the extensions that give them, in order of precedence.
 TAG_RULES = {
-    "nanopore": "pod5 fast5 blow5",
-    "NGS": "fastq fq fastq.gz fq.gz bam bai cram crai sam",
-    "variantes": "vcf bcf gvcf vcf.gz gvcf.gz bcf.gz",
-    "genómica": "bed bedgraph bigwig bw bigbed bb gtf gff gff3 gff2 fasta fa fna faa ffn",
-    "imagiologia": "dcm dicom",
-    "PDF": "pdf",
-    "documentos": "docx doc odt rtf pages tex",
-    "tabelas": "xlsx xls ods csv tsv",
-    "apresentações": "pptx ppt odp key",
-    "música": "mp3 flac wav ogg aac m4a opus wma alac aiff",
-    "vídeo": "avi mp4 mkv mov wmv webm m4v mpg mpeg mts ts vob",
-    "imagens": "jpg jpeg png gif tiff tif heic heif raw cr2 nef arw dng orf rw2 bmp webp",
-    "código": "py r rmd qmd ipynb jl m scala",
-    "scripts": "sh bash zsh fish ps1 cmd bat nf",
-    "arquivo": "zip tar gz bz2 xz 7z rar tar.gz tar.bz2 tar.xz",
-    "base de dados": "db sqlite sqlite3",
+    "nanopore": ("pod5", "fast5", "blow5"),
+    "NGS": ("fastq", "fq", "fastq.gz", "fq.gz", "bam", "bai", "cram", "crai", "sam"),
+    "variantes": ("vcf", "bcf", "gvcf", "vcf.gz", "gvcf.gz", "bcf.gz"),
+    "genómica": ("bed", "bedgraph", "bigwig", "bw", "bigbed", "bb", "gtf", "gff", "gff3", "gff2", "fasta", "fa", "fna", "faa", "ffn"),
+    "imagiologia": ("dcm", "dicom"),
+    "PDF": ("pdf",),
+    "documentos": ("docx", "doc", "odt", "rtf", "pages", "tex"),
+    "tabelas": ("xlsx", "xls", "ods", "csv", "tsv"),
+    "apresentações": ("pptx", "ppt", "odp", "key"),
+    "música": ("mp3", "flac", "wav", "ogg", "aac", "m4a", "opus", "wma", "alac", "aiff"),
+    "vídeo": ("avi", "mp4", "mkv", "mov", "wmv", "webm", "m4v", "mpg", "mpeg", "mts", "ts", "vob"),
+    "imagens": ("jpg", "jpeg", "png", "gif", "tiff", "tif", "heic", "heif", "raw", "cr2", "nef", "arw", "dng", "orf", "rw2", "bmp", "webp"),
+    "código": ("py", "r", "rmd", "qmd", "ipynb", "jl", "m", "scala"),
+    "scripts": ("sh", "bash", "zsh", "fish", "ps1", "cmd", "bat", "nf"),
+    "arquivo": ("zip", "tar", "gz", "bz2", "xz", "7z", "rar", "tar.gz", "tar.bz2", "tar.xz"),
+    "base de dados": ("db", "sqlite", "sqlite3"),
 }
 
 
@@ -90,11 +90,11 @@ def cold_folders(latest: DataFrame, cutoff: float, min_size: int = 100 << 20) ->
     )
 
 
-def auto_tags(latest: DataFrame, rules: dict[str, str] = TAG_RULES) -> DataFrame:
+def auto_tags(latest: DataFrame, rules: dict[str, tuple[str, ...]] = TAG_RULES) -> DataFrame:
     """(drive_id, folder, tags): tags of the file types directly in a folder, in the rules' order."""
-    extensions = {e for exts in rules.values() for e in exts.split()}
+    extensions = {e for exts in rules.values() for e in exts}
     spark = latest.sparkSession
-    table = spark.createDataFrame([(i, tag, e) for i, (tag, exts) in enumerate(rules.items()) for e in exts.split()], "rule int, tag string, ext string")
+    table = spark.createDataFrame([(i, tag, e) for i, (tag, exts) in enumerate(rules.items()) for e in exts], "rule int, tag string, ext string")
     files = latest.where("is_dir = 0 and error is null")
     seen = files.select("drive_id", parent_path(F.col("rel_path")).alias("folder"), tag_extension(F.col("rel_path"), [e for e in extensions if "." in e]).alias("ext")).distinct()
     # The rules are a parameter of some hundred rows.

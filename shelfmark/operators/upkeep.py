@@ -67,8 +67,8 @@ def health_checks(drives: DataFrame, snapshots: DataFrame, paths: DataFrame, ent
     """(name, ok, n_bad): checks of the tables against each other; ``entries`` as delivered.
 
     hash_version: drives that don't say 2; labels: drives without one;
-    snapshot_times: times that can't be read; orphan_paths: rows whose path isn't
-    listed; unlisted_snapshots: rows of unknown snapshots; file_sizes: files
+    snapshot_times: times that can't be read; orphan_paths: rows that name a path
+    which isn't listed; unlisted_snapshots: rows of unknown snapshots; file_sizes: files
     without error and size; hash_coverage: sized files without a partial hash, ok
     below one in twenty.
     """
@@ -80,7 +80,7 @@ def health_checks(drives: DataFrame, snapshots: DataFrame, paths: DataFrame, ent
     files = entries.where("is_dir = 0 and error is null and coalesce(is_symlink, 0) = 0")
     sized = files.where("size is not null")
     at = F.try_to_timestamp("taken_at", F.lit("yyyy-MM-dd'T'HH:mm:ss"))
-    orphans = entries.join(paths.select(F.col("id").alias("path_id")), "path_id", "left_anti")
+    orphans = entries.where("path_id is not null").join(paths.select(F.col("id").alias("path_id")), "path_id", "left_anti")
     unlisted = entries.join(snapshots.select(F.col("id").alias("snapshot_id")), "snapshot_id", "left_anti")
     parts = [
         check(drives, "hash_version", ~F.col("hash_version").eqNullSafe(F.lit(2))),

@@ -25,6 +25,8 @@ SYSTEM_FOLDERS = {
     ".Spotlight-V100", ".Trashes", ".fseventsd", ".TemporaryItems", ".DocumentRevisions-V100", ".PKInstallSandboxManager",
     ".PKInstallSandboxManager-SystemSoftware", ".HFS+ Private Directory Data", ".vol", "System Volume Information", "$RECYCLE.BIN",
 }
+# Folders of whole system disks that a user may want to leave out; to be given as exclusions.
+SYSTEM_DISK_FOLDERS = ("Windows", "Program Files", "Program Files (x86)", "ProgramData", "AppData", "node_modules", "PerfLogs", "Recovery", "$WinREAgent")
 # How the names of folders begin that cloud services keep, in lower case.
 CLOUD_PREFIXES = (
     "cloudstorage", "mobile documents", "icloud drive", "onedrive", "google drive", "googledrive", "dropbox", "pclouddrive",

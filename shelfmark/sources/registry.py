@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import json
 import os
 import re
 import sqlite3
@@ -46,18 +47,32 @@ def drop_drive(drives: DataFrame, drive_id: int) -> DataFrame:
     return drives.where(F.col("id") != drive_id)
 
 
-def tag_rules(file: str | Path | None = None) -> dict[str, str]:
+def tag_rules(file: str | Path | None = None) -> dict[str, tuple[str, ...]]:
     """Tags and extensions from a YAML file {tag: [extension, ...]}; the defaults where it is missing or wrong."""
     try:
         import yaml
 
         data = yaml.safe_load(Path(file).read_text(encoding="utf-8"))
-        rules = {str(tag): " ".join(e for e in (str(x).lower().lstrip(".").strip() for x in exts) if e) for tag, exts in data.items() if exts}
+        rules = {str(tag): tuple(e for e in (str(x).lower().lstrip(".").strip() for x in exts) if e) for tag, exts in data.items() if exts}
         return {tag: exts for tag, exts in rules.items() if exts} or TAG_RULES
     except Exception:
         return TAG_RULES
 
 
+def write_tag_rules(file: str | Path, overwrite: bool = False) -> None:
+    """The default rules as a YAML file to edit; one that is there stays unless ``overwrite``."""
+    if overwrite or not Path(file).exists():
+        lines = [f"{json.dumps(tag, ensure_ascii=False)}: {json.dumps(exts, ensure_ascii=False)}" for tag, exts in TAG_RULES.items()]
+        Path(file).write_text("\n".join(["# tag: [extensions]", *lines, ""]), encoding="utf-8")
+
+
+def differing_hash_versions(drives: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair_id, version_a, version_b) of the pairs of drives whose partial hashes can't be compared."""
+    side = drives.where("label is not null").groupBy("label").agg(F.min_by("hash_version", "id").alias("v"))
+    a, b = (side.select(F.col("label").alias(f"label_{s}"), F.col("v").alias(f"version_{s}")) for s in "ab")
+    return pairs.join(a, "label_a").join(b, "label_b").where("not (version_a <=> version_b)").select("pair_id", "version_a", "version_b")
+
+
 def fingerprint(latest: DataFrame, names: int = 12, files: int = 8) -> tuple[list[str], list[tuple[str, int]]]:
     """Names at the top of a drive, folders and large files first, and its largest readable files with their sizes."""
     top = latest.where("not contains(rel_path, '/') and not contains(rel_path, '\\\\') and rel_path <> '.'")

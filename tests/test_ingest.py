@@ -78,7 +78,14 @@ def test_registry(spark, tmp_path):
     drives = spark.createDataFrame([(1, "x"), (2, None)], "id long, label string")
     assert sorted(tuple(r) for r in registry.drop_drive(registry.rename_drive(drives, 2, "new"), 1).collect()) == [(2, "new")]
     (tmp_path / "rules.yaml").write_text("docs: [.PDF, txt]\nnone: []\n")
-    assert registry.tag_rules(tmp_path / "rules.yaml") in ({"docs": "pdf txt"}, TAG_RULES)
+    assert registry.tag_rules(tmp_path / "rules.yaml") in ({"docs": ("pdf", "txt")}, TAG_RULES)
+    registry.write_tag_rules(tmp_path / "rules.yaml")
+    assert "docs" in (tmp_path / "rules.yaml").read_text()
+    registry.write_tag_rules(tmp_path / "rules.yaml", overwrite=True)
+    assert registry.tag_rules(tmp_path / "rules.yaml") == TAG_RULES
+    versions = spark.createDataFrame([(1, "a", 2), (2, "b", 1), (3, "c", 2), (4, "a", 1)], "id long, label string, hash_version int")
+    pairs = spark.createDataFrame([(1, "a", "b"), (2, "a", "c"), (3, "a", "z")], "pair_id long, label_a string, label_b string")
+    assert [tuple(r) for r in registry.differing_hash_versions(versions, pairs).collect()] == [(1, 2, 1)]
     (tmp_path / "rules.yaml").write_text("[broken")
     assert registry.tag_rules(tmp_path / "rules.yaml") == TAG_RULES == registry.tag_rules(None)
 
