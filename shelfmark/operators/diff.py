@@ -35,7 +35,7 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     )
     rows = j.select("drive_id", change.alias("change"), F.coalesce("new_path", "old_path").alias("rel_path"), "path_id", "old_size", "new_size").where("change is not null")
     rows = materialize(rows, "changes")
-    loose = with_nfc(rows.where("change <> 'modified'"), "rel_path", "form")
+    loose = materialize(with_nfc(rows.where("change <> 'modified'"), "rel_path", "form"), "loose")
     gone = (
         loose.where("change = 'removed'").groupBy("drive_id", "form").agg(F.max(F.struct("rel_path", "path_id", "old_size")).alias("g"))
         .select("drive_id", "form", F.col("g.old_size").alias("gone_size"), F.lit(1).alias("was"))
