@@ -37,8 +37,11 @@ def _index(mode: str):
         if a.label or store.drives().where(F.col("id") == a.drive).isEmpty():
             store.name_drive(a.drive, a.label or None, os.path.abspath(a.root))
         exclusions = [e for e in a.exclude.split(",") if e] + list(SYSTEM_DISK_FOLDERS) * a.skip_system
-        n = ingest.index(spark, store, a.root, a.drive, a.at or _now(), a.note or None, mode, a.full, exclusions=exclusions, skip_cloud=a.skip_cloud, one_fs=a.one_fs)
-        return f"drive {a.drive}: snapshot {n}"
+        how = {"full": a.full, "exclusions": exclusions, "skip_cloud": a.skip_cloud, "one_fs": a.one_fs}
+        if mode == "snapshot" and not a.keep_all:
+            n, gone = ingest.take(spark, store, a.root, a.drive, a.at or _now(), a.note or None, **how)
+            return f"drive {a.drive}: snapshot {n}, dropped {gone}"
+        return f"drive {a.drive}: snapshot {ingest.index(spark, store, a.root, a.drive, a.at or _now(), a.note or None, mode, **how)}"
 
     return run
 
@@ -111,7 +114,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(f"--{flag.replace('_', '-')}", **kind)
         c.set_defaults(run=run)
 
-    taking = {"drive": 1, "at": "", "note": "", "full": False, "exclude": "", "skip_system": False, "skip_cloud": False, "one_fs": False}
+    taking = {"drive": 1, "at": "", "note": "", "full": False, "exclude": "", "skip_system": False, "skip_cloud": False, "one_fs": False, "keep_all": False}
     for name, mode in (("index", "fresh"), ("snapshot", "snapshot"), ("refresh", "refresh")):
         add(name, _index(mode), "root", **taking, label="")
     add("fill", lambda s, a: f"hashed {ingest.fill(Store(s, a.tables), a.drive, a.root, a.min_size)}", "root", drive=1, min_size=1024)

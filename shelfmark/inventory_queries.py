@@ -98,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "drive_totals": _latest(totals.drive_totals),
     "latest_snapshot": _latest_snapshot,
     "snapshot_list": lambda spark, folder: totals.snapshot_list(read_table(spark, folder, "snapshots")),
+    "drive_info": lambda spark, folder: totals.drive_info(read_table(spark, folder, "drive"), read_table(spark, folder, "snapshots")),
     "human_sizes": _latest(totals.sizes_for_people),
     "ext_breakdown": _latest(totals.extension_breakdown),
     "dup_candidate_groups": _latest(duplicates.candidate_groups, MIN),
@@ -241,6 +242,8 @@ x AS (SELECT fa.pair_id, fa.id, fa.rel_path, fa.size, count(fb.id) AS n_all,
 SQL = {
     "drive_totals": f"""{_E} SELECT drive_id, snapshot_id, count(*) FILTER (is_dir = 0 AND coalesce(is_symlink, 0) = 0 AND error IS NULL) AS total_files,
  count(*) FILTER (is_dir = 1) AS total_dirs, CAST(coalesce(sum(size) FILTER (is_dir = 0 AND coalesce(is_symlink, 0) = 0 AND error IS NULL), 0) AS BIGINT) AS total_size FROM l GROUP BY drive_id, snapshot_id""",
+    "drive_info": """WITH s AS (SELECT drive_id, count(*) AS n, max_by(taken_at, (taken_at, id)) AS last_taken_at, arg_max_null(label, (taken_at, id)) AS last_label FROM snapshots GROUP BY drive_id)
+ SELECT id AS drive_id, d.label, root_path, indexed_at, hash_version, total_files, total_dirs, total_size, coalesce(s.n, 0) AS n_snapshots, last_taken_at, last_label FROM drive d LEFT JOIN s ON s.drive_id = d.id""",
     "latest_snapshot": f"WITH {DELIVERED} SELECT drive_id, snapshot_id FROM deliv WHERE next_id IS NULL",
     "snapshot_list": "SELECT drive_id, id AS snapshot_id, taken_at, label FROM snapshots",
     "human_sizes": f"{_E} SELECT id, {_human('size')} AS size_human FROM l WHERE is_dir = 0",

@@ -16,6 +16,18 @@ def drive_totals(latest: DataFrame) -> DataFrame:
     )
 
 
+def drive_info(drives: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Each listed drive with its recorded totals, the number of its snapshots and the latest one's time and label.
+
+    The latest is by taken_at, then id. A drive without snapshots has 0 of them and nulls.
+    """
+    per = snapshots.groupBy("drive_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("taken_at", "id", "label")).alias("last"))
+    return drives.join(per, F.col("id") == F.col("drive_id"), "left").select(
+        F.col("id").alias("drive_id"), drives["label"], "root_path", "indexed_at", "hash_version", "total_files", "total_dirs", "total_size",
+        F.coalesce("n", F.lit(0)).alias("n_snapshots"), F.col("last.taken_at").alias("last_taken_at"), F.col("last.label").alias("last_label"),
+    )
+
+
 def snapshot_list(snapshots: DataFrame) -> DataFrame:
     """Snapshots, newest id first."""
     return snapshots.select("drive_id", F.col("id").alias("snapshot_id"), "taken_at", "label").orderBy(F.desc("snapshot_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import logging
 import shlex
@@ -21,6 +22,14 @@ def write_csv(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(folder)
 
 
+def write_csv_file(df: DataFrame, file: str, encoding: str = "utf-8-sig") -> None:
+    """A report as one file, which spreadsheets read as Unicode by its mark; rows come partition by partition."""
+    with open(file, "w", encoding=encoding, newline="") as out:
+        lines = csv.writer(out)
+        lines.writerow(df.columns)
+        lines.writerows(df.toLocalIterator())
+
+
 def write_json(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").json(folder)
 

@@ -75,6 +75,12 @@ def index(spark: SparkSession, store: Store, root: str, drive_id: int, taken_at:
     return store.write(materialize(rows, "indexed"), drive_id, taken_at, label, mode)
 
 
+def take(spark: SparkSession, store: Store, root: str, drive_id: int, taken_at: str, label: str | None = None, keep_last: int = 10, keep_monthly: int = 12, **options) -> tuple[int, list[int]]:
+    """A new snapshot, after which the drive's old ones are dropped by the usual rule; gives its id and theirs."""
+    taken = index(spark, store, root, drive_id, taken_at, label, "snapshot", **options)
+    return taken, store.prune(drive_id, taken_at.replace("T", " "), keep_last, keep_monthly)
+
+
 def confirm(latest: DataFrame, root: str, min_size: int = 1024) -> DataFrame:
     """(id, full_hash): whole-file hashes of the duplicates that have none yet."""
     todo = fill_candidates(latest, min_size).select("id", "rel_path")

@@ -50,6 +50,14 @@ def test_a_folder_met_twice_is_walked_once(spark, tmp_path):
     assert len(paths) == len(set(paths)) == 2 + 70 * 3
 
 
+def test_taking_snapshots_drops_old_ones(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/f").write_text("x")
+    store = Store(spark, str(tmp_path / "store"))
+    taken = [ingest.take(spark, store, str(tmp_path / "d"), 1, f"2024-01-0{n}T00:00:00", keep_last=2, keep_monthly=0) for n in (1, 2, 3)]
+    assert taken == [(1, []), (2, []), (3, [1])] and {r.snapshot_id for r in store.snapshots().collect()} == {2, 3}
+
+
 def test_confirm_reads_only_candidates(spark, tmp_path):
     for name, content in (("p", b"1" * 2000), ("q", b"1" * 2000), ("r", b"2" * 2000)):
         (tmp_path / name).write_bytes(content)

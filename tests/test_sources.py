@@ -93,6 +93,8 @@ def test_exports(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "q", b')], "n long, t string")
     exports.write_csv(df, str(tmp_path / "csv"))
     assert [tuple(r) for r in spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).collect()] == [("1", 'a "q", b')]
+    exports.write_csv_file(df.withColumn("none", F.lit(None).cast("string")), str(tmp_path / "one.csv"))
+    assert (tmp_path / "one.csv").read_bytes() == b'\xef\xbb\xbfn,t,none\r\n1,"a ""q"", b",\r\n'
     exports.write_json(df, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 1
     for outcome in ("ç", "moved"):
