@@ -242,6 +242,10 @@ x AS (SELECT fa.pair_id, fa.id, fa.rel_path, fa.size, count(fb.id) AS n_all,
 SQL = {
     "drive_totals": f"""{_E} SELECT drive_id, snapshot_id, count(*) FILTER (is_dir = 0 AND coalesce(is_symlink, 0) = 0 AND error IS NULL) AS total_files,
  count(*) FILTER (is_dir = 1) AS total_dirs, CAST(coalesce(sum(size) FILTER (is_dir = 0 AND coalesce(is_symlink, 0) = 0 AND error IS NULL), 0) AS BIGINT) AS total_size FROM l GROUP BY drive_id, snapshot_id""",
+    "doctor_entry_counts": f"""WITH {CURRENT}, n AS (SELECT snapshot_id AS id, count(*) FILTER (is_dir = 0 AND coalesce(is_symlink, 0) = 0) AS f, count(*) FILTER (is_dir = 1) AS d, count(*) AS n FROM cur GROUP BY snapshot_id),
+ x AS (SELECT s.*, coalesce(n.f, 0) AS f, coalesce(n.d, 0) AS d, coalesce(n.n, 0) AS n FROM snapshots s LEFT JOIN n USING (id))
+ SELECT drive_id, id AS snapshot_id, (coalesce(total_files, 0) <= 0 OR abs(f - total_files) * 20 <= total_files) AND (total_dirs IS NULL OR abs(d - total_dirs) <= 1)
+   AND NOT (n = 0 AND (coalesce(total_files, 0) > 0 OR coalesce(total_dirs, 0) > 0)) AS ok, total_files, f AS n_files, total_dirs, d AS n_dirs FROM x""",
     "drive_info": """WITH s AS (SELECT drive_id, count(*) AS n, max_by(taken_at, (taken_at, id)) AS last_taken_at, arg_max_null(label, (taken_at, id)) AS last_label FROM snapshots GROUP BY drive_id)
  SELECT id AS drive_id, d.label, root_path, indexed_at, hash_version, total_files, total_dirs, total_size, coalesce(s.n, 0) AS n_snapshots, last_taken_at, last_label FROM drive d LEFT JOIN s ON s.drive_id = d.id""",
     "latest_snapshot": f"WITH {DELIVERED} SELECT drive_id, snapshot_id FROM deliv WHERE next_id IS NULL",
