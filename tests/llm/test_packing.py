@@ -91,3 +91,30 @@ def test_nulls_empty_tables_and_only_empty_items(spark):
     assert pack(spark.createDataFrame([(1, 5)], schema), caps.where("false")).count() == 0
     got = [tuple(r) for r in pack(spark.createDataFrame([(1, None), (None, 0), (2, 0), (2, 0)], schema), caps).collect()]
     assert [r[1] for r in got] == [0] * 4 and [r[5] for r in got] == [0] * 4
+
+
+def test_more_kinds_than_are_packed_together(spark, monkeypatch):
+    from shelfmark.llm import packing
+
+    monkeypatch.setattr(packing, "KINDS_AT_ONCE", 2)
+    random.seed(2)
+    sizes = {i: random.randint(0, 90) for i in range(120)}
+    kinds = [(f"k{c}", c) for c in (5, 16, 33, 64, 100)]
+    df = spark.createDataFrame([(i, n) for i, n in sizes.items()], "doc_id long, n_tokens long")
+    rows = [tuple(r) for r in packing.pack(df, spark.createDataFrame(kinds, "container_kind string, capacity_tokens long")).collect()]
+    verify(rows, sizes, kinds)
+    assert {r[0] for r in rows} == {k for k, _ in kinds}
+
+
+def test_a_large_capacity_is_planned_in_time():
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    lengths = np.clip(rng.lognormal(5.5, 1.1, 1_000_000), 1, 32_768).astype(int)
+    counts = Counter(lengths.tolist())
+    began = time.perf_counter()
+    placed, total = plan_containers(dict(counts), 32_768)
+    assert time.perf_counter() - began < 10
+    assert total <= -(-int(lengths.sum()) // 32_768) + 1 and sum(p[2] for p in placed) == len(lengths)

@@ -1,7 +1,7 @@
 import pyarrow as pa
 import pytest
 
-from shelfmark.llm.quality import measure, not_prose, text_quality
+from shelfmark.llm.quality import RULES, measure, not_prose, text_quality
 
 COMMON = pa.array("the of and to in a is that for it was on with as at by this o de da que e em um para não por el la los y en se no der die das und ist nicht и в не на что".split())
 
@@ -79,3 +79,30 @@ def test_statistics_and_reasons(spark):
     assert got[3, 2].passage_reasons.split(",")[0] == "bullets" and first.passage_reasons == ""
     assert [r.doc_id for r in not_prose(docs, words).collect()].count(3) == 1
     assert text_quality(docs.where("false"), words.where("false")).count() == 0
+
+
+def test_each_rule_has_a_text_that_fails_it():
+    texts = {
+        "bullets": "* a list of things that we have in the box\n* and the other things on it",
+        "symbols": "a==b && c||d {x} <y> #z @q $$$ %%% ^^^ &&& *** ~~~",
+        "non_alphabetic": "12 345 6789 a 12.5 77 8 9 10 of 11",
+        "word_length": "aGVsbG8gd29ybGQgdGhpcyBpcyBhIGxvbmcgdG9rZW4gb2Ygbm9uc2Vuc2U",
+        "few_common_words": "Krimb plosk vatter quonim dresk pallov fimter grodek.",
+        "only_common_words": "the of and to in a is that for it was on with as at by this.",
+        "repeated_words": "scan " * 40 + ".",
+        "short_open_lines": "blue label\nphoto set\nthe box",
+        "separators": "red, green, blue, the sea, a tree, on top",
+        "columns": "the oldest folder of all that is on it    12 GB\nthe newest folder of all that is on it    13 GB",
+    }
+    assert list(texts) == list(RULES)
+    for rule, text in texts.items():
+        got = measure([text], COMMON)
+        assert got["not_prose"][0] and rule in got["passage_reasons"][0].split(","), (rule, got["passage_reasons"][0])
+
+
+def test_passages_are_weighed_by_their_characters():
+    prose = "The old drive was scanned again, and the report is on the shelf of the lab."
+    few, many = "- a b\n- c d", "\n".join(f"- item {i} of the box" for i in range(20))
+    assert not measure([f"{prose}\n{few}"], COMMON)["not_prose"][0] and measure([f"{prose}\n{many}"], COMMON)["not_prose"][0]
+    mixed = measure([f"{prose}\n{few}"], COMMON)
+    assert mixed["passage_reasons"][0].startswith("bullets") and 0.5 < mixed["prose_share"][0] < 1 and mixed["main_reason"][0] == ""
