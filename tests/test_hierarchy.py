@@ -71,6 +71,24 @@ def test_long_circles_with_chains_below_and_levels(spark):
     }
 
 
+def test_roots_only_ties_and_clashing_columns(spark):
+    rows = [(1, None, "b", 9, 9), (2, None, None, 9, 9), (1, None, "a", 9, 9), (None, None, "n", 9, 9)]
+    df = spark.createDataFrame(rows, "id long, parent_id long, segment string, tree long, up long")
+    got = {r.id: (r.state, r.depth, r.level, r.root, r.path, r.below_n, r.chain) for r in build_hierarchy(df, name_col="segment", chains=True).collect()}
+    assert got == {1: ("sound", 0, 0, 1, "a", 0, [1]), 2: ("sound", 0, 0, 2, None, 0, [2])}
+    assert broken_links(df).count() == 0 and descendants(build_hierarchy(df, chains=True)).count() == 0
+    pair = spark.createDataFrame([(1, 2, "x"), (2, 1, "y"), (3, 3, "z"), (4, 5, "v"), (5, None, "w")], SCHEMA.replace(", state string", ""))
+    assert {r.id: (r.state, r.path, r.below_n) for r in build_hierarchy(pair, name_col="segment").collect()} == {
+        1: ("cycle", None, None), 2: ("cycle", None, None), 3: ("cycle", None, None), 4: ("sound", "w/v", 0), 5: ("sound", "w", 1),
+    }
+
+
+def test_a_folder_that_holds_most_nodes(spark):
+    rows = [(0, None, "r", "s"), (1, 0, "hot", "s")] + [(i, 1, "f", "s") for i in range(2, 3000)] + [(10_000 + i, i, "g", "s") for i in range(2, 40)]
+    got = {r.id: (r.depth, r.below_n) for r in build_hierarchy(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1] == (1, 2998 + 38) and got[0] == (0, 2998 + 39) and got[10_002] == (3, 0) and len(got) == len(rows)
+
+
 def test_defects_of_both_tables_and_empty_ones(spark):
     paths = spark.createDataFrame(
         [(1, None, "a", "a"), (2, 1, "b", "a/B"), (3, 1, "c", None), (4, 4, "d", "d"), (5, 4, "e", "x"), (6, 99, "f", "f"), (7, 6, "g", "g"), (8, 1, None, "a/h")],

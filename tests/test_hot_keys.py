@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.operators.hot_keys import content_key_totals, heavy_content_keys, key_results, running_totals, with_chunks
+from shelfmark.operators.hot_keys import content_key_totals, heavy_content_keys, key_results, ordered_ranks, running_totals, with_chunks
 
 SCHEMA = "k string, v long, o long, chunk_note string"
 
@@ -47,6 +47,28 @@ def test_running_totals_match_a_loop(skewed, chunk_rows):
     assert got == expected
 
 
+def test_chunks_are_a_share_of_all_rows_by_default(skewed):
+    rows, df = skewed
+    shared = with_chunks(df, ["k"])
+    # 2000 rows, 4 shuffle tasks with 4 chunks each: 125 rows a chunk.
+    sizes = sorted(r["count"] for r in shared.where("k = 'hot'").groupBy("chunk").count().collect())
+    hot = sum(r[0] == "hot" for r in rows)
+    assert sizes == sorted([125] * (hot // 125) + [hot % 125] * (hot % 125 > 0))
+    assert {r.chunk for r in shared.where("k like 'k%'").collect()} == {0}
+    # Each chunk's rows come before those of the next, in the order of the input.
+    ranges = shared.where("k = 'hot'").groupBy("chunk").agg(F.count("*").alias("n")).orderBy("chunk").collect()
+    assert [r.n for r in ranges[:-1]] == [125] * (len(ranges) - 1)
+
+
+def test_ranks_in_order_match_a_sort(skewed):
+    rows, df = skewed
+    expected, seen = {}, defaultdict(int)
+    for k, _, o, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[2])):
+        seen[k] += 1
+        expected[o] = seen[k]
+    assert {r.o: r["rank"] for r in ordered_ranks(df, ["k"], ["o"]).collect()} == expected
+
+
 def test_empty_input_and_bad_chunk(spark, skewed):
     none = spark.createDataFrame([], SCHEMA)
     assert with_chunks(none, ["k"]).count() == 0
